@@ -56,6 +56,33 @@ def simple_sample(df: DataFrame, n: int, key: str = "CPF") -> DataFrame:
     return ranked.where(F.col("_rn") <= n).select(*df.columns)
 
 
+def take_by_relation(df: DataFrame, one_row: DataFrame, count: str, key: str = "CPF") -> DataFrame:
+    """The first rows in hash order, as many as ``one_row[count]`` says (a relation of one row)."""
+    rows = _bucketed(settle(df), key).withColumn("_all", F.lit(0))
+    wanted = F.broadcast(one_row.select(F.col(count).alias("_wanted")))
+    histogram = _histogram(rows, "_all").crossJoin(wanted)
+    ranked = _ranked_by_histogram(rows, histogram, F.col("_wanted"), key, "_all").crossJoin(wanted)
+    return ranked.where(F.col("_rn") <= F.col("_wanted")).select(*df.columns)
+
+
+def first_per_stratum(
+    df: DataFrame, quotas: dict[str, int], key: str = "CPF", stratum: str = "CATEGORIA", rank: str = "RN_CAT"
+) -> DataFrame:
+    """Rows within their stratum's quota in hash order, with their rank; strata without quota give none."""
+    quota = _quota_of(quotas, stratum)
+    most = max(quotas.values())
+    if most <= GROUP_LIMIT_RANKS:
+        by_stratum = Window.partitionBy(stratum).orderBy("_hash", key)
+        hashed = df.where(F.col(stratum).isin(*quotas)).withColumn("_hash", hash_order(key))
+        ranked = hashed.withColumn(rank, F.row_number().over(by_stratum)).where(F.col(rank) <= most)
+    else:
+        rows = _bucketed(settle(df.where(F.col(stratum).isin(*quotas))), key)
+        ranked = _ranked_by_histogram(rows, _histogram(rows, stratum), quota, key, stratum).withColumn(
+            rank, F.col("_rn").cast("int")
+        )
+    return ranked.where(F.col(rank) <= quota).select(*df.columns, rank)
+
+
 def _quota_of(quotas: dict[str, int], stratum: str) -> Column:
     quota = F
     for name, size in quotas.items():
