@@ -9,7 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.catalog.star_views import star_frames
+from rollcall.catalog.star_views import star_registry, star_view
 from rollcall.params import Period
 from rollcall.registry import Registry
 from rollcall.sources import people_list
@@ -27,16 +27,16 @@ class Star:
     sf_dir: str
 
     @cached_property
-    def frames(self) -> dict[str, DataFrame]:
-        return star_frames(self.spark, self.sf_dir)
+    def reg(self) -> Registry:
+        return star_registry(self.spark, self.sf_dir)
 
     @cached_property
-    def reg(self) -> Registry:
-        return Registry.from_tables(self.frames)
+    def raw_list(self) -> DataFrame:
+        return star_view(self.spark, self.sf_dir, "VT_LISTA_CPF")
 
     @cached_property
     def people(self) -> DataFrame:
-        return people_list(self.frames["VT_LISTA_CPF"])
+        return people_list(self.raw_list)
 
 
 @dataclass(frozen=True)

@@ -103,7 +103,7 @@ _CURRENT_SQL = oracle(
 )
 
 # Q19, Q20, Q23 candidates ---------------------------------------------------------------------------
-_STATE_RULES = CandidateRules(age=(16, 50), months_since_update=(0, 24), schooling=("EMC", "EMI"))
+_STATE_RULES = CandidateRules(age=(16, 60), months_since_update=(0, 60), schooling=("EMC", "EMI"))
 _STATE_SQL = oracle(
     """SELECT lpad(CAST(cpf_num AS VARCHAR), 11, '0') AS CPF, * EXCLUDE (cpf_num, nth, family),
          CASE FL_PRE_HAB WHEN 1 THEN 'PRE' ELSE CASE FL_PBF WHEN 1 THEN 'PBF' ELSE 'CAD' END END AS categoria
@@ -117,9 +117,9 @@ _STATE_SQL = oracle(
           row_number() OVER (PARTITION BY coalesce(CAST(doc.cpf_num AS VARCHAR), doc.NU_CPF_PESSOA) ORDER BY {_CURRENT_FIRST}) AS nth
         FROM {_PEOPLE.replace("TB_DOCUMENTO_05", "doc_num")}
         WHERE f.CO_EST_CADASTRAL_FAM NOT IN (1, 2, 4) AND p.CO_EST_CADASTRAL_MEMB = 3 AND f.CO_MUNIC_IBGE_2_FAM = 35
-          AND p.age BETWEEN 16 AND 50 AND p.months_old BETWEEN 0 AND 24""",
+          AND p.age BETWEEN 16 AND 60 AND p.months_old BETWEEN 0 AND 60""",
 )
-_ELIGIBLE_RULES = CandidateRules(age=(16, 50), months_since_update=(0, 13), schooling=("EMI", "EMC", "EFC"))
+_ELIGIBLE_RULES = CandidateRules(age=(16, 60), months_since_update=(0, 48), schooling=("EMI", "EMC", "EFC"))
 _ELIGIBLE_SQL = oracle(
     """SELECT * EXCLUDE (nth, family), CAST(family IN (SELECT CO_FAMILIAR FROM paid) AS INT) AS FL_PBF,
          CAST(family IN (SELECT CO_FAMILIAR FROM queued) AS INT) AS FL_PRE_HAB
@@ -128,7 +128,7 @@ _ELIGIBLE_SQL = oracle(
           c.ddd AS DDD, c.phone AS TELEFONE, p.DT_ATUAL_MEMB, f.DT_ATUALIZACAO_FAM, f.CO_FAMILIAR_FAM AS family,
           row_number() OVER (PARTITION BY doc.NU_CPF_PESSOA ORDER BY {_CURRENT_FIRST}) AS nth
         FROM {_PEOPLE}
-        WHERE e.level IN ('EMI', 'EMC', 'EFC') AND p.age BETWEEN 16 AND 50 AND p.months_old BETWEEN 0 AND 13
+        WHERE e.level IN ('EMI', 'EMC', 'EFC') AND p.age BETWEEN 16 AND 60 AND p.months_old BETWEEN 0 AND 48
           AND f.CO_EST_CADASTRAL_FAM NOT IN (1, 2, 4) AND p.CO_EST_CADASTRAL_MEMB = 3
           AND f.IN_CADASTRO_VALIDO_FAM <> 2 AND f.CO_CONDICAO_CADASTRO_FAM <> 6 AND f.CO_MUNIC_IBGE_2_FAM = 35""",
 )

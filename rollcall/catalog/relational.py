@@ -24,7 +24,7 @@ from rollcall.operators.headcount import count_by_uf
 from rollcall.operators.keysets import families_on_payroll, families_prequalified, family_benefits, flag_membership
 from rollcall.operators.recency import recency_buckets
 from rollcall.operators.sampling import first_per_stratum, simple_sample, take_by_relation
-from rollcall.operators.sizing import measure
+from rollcall.operators.sizing import measure_keys
 from rollcall.operators.universe import active_universe, families_of, persons_of
 from rollcall.params import Month, Period
 from rollcall.plans.headcounts import (
@@ -97,7 +97,7 @@ ENTRIES = [
     ),
     Entry(
         "r03_caller_list",
-        lambda s: people_list(s.frames["VT_LISTA_CPF"]).withColumn("CPF_NUM", F.col("CPF_NUM").cast("string")),
+        lambda s: people_list(s.raw_list).withColumn("CPF_NUM", F.col("CPF_NUM").cast("string")),
         oracle("SELECT NOME, CPF_RAW, CAST(cpf_num AS VARCHAR) AS CPF_NUM FROM listed"),
     ),
     Entry(
@@ -138,7 +138,7 @@ ENTRIES = [
     Entry(
         "r08_equality_and_in_list",
         lambda s: s.reg.document.join(
-            measure(s.people.select(format_cpf(F.col("CPF_NUM")).alias("NU_CPF_PESSOA")).distinct()).hinted(),
+            measure_keys(s.people.select(format_cpf(F.col("CPF_NUM")).alias("NU_CPF_PESSOA"))).hinted(),
             "NU_CPF_PESSOA",
             "left_semi",
         ).select("NU_CPF_PESSOA", PERSON),
@@ -494,7 +494,7 @@ ENTRIES = [
     ),
     Entry(
         "r51_fill_column",
-        lambda s: s.frames["VT_LISTA_CPF"].withColumn("CPF_NUM", clean_cpf(F.col("CPF_RAW")).cast("string")),
+        lambda s: s.raw_list.withColumn("CPF_NUM", clean_cpf(F.col("CPF_RAW")).cast("string")),
         oracle("SELECT NOME, CPF_RAW, CAST(cpf_num AS VARCHAR) AS CPF_NUM FROM listed"),
     ),
     Entry(

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.registry import Registry
-from rollcall.sources import people_list
 
 _CPF = """CASE WHEN o_orderkey % 50 = 3 THEN lpad(CAST(900000000 + o_orderkey AS STRING), 11, '0')
             ELSE lpad(CAST(CAST(floor(o_orderkey / 3) AS BIGINT) * 7 AS STRING), 11, '0') END"""
@@ -107,17 +106,11 @@ VIEWS = {
 SOURCES = ("customer", "orders")
 
 
-def star_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The views as frames over the Parquet tables of ``sf_dir``."""
-    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCES}
-    return {
-        name: spark.sql(text, **{t: tables[t] for t in SOURCES if f"{{{t}}}" in text}) for name, text in VIEWS.items()
-    }
+def star_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One view as a frame over the Parquet tables of ``sf_dir``."""
+    source = next(t for t in SOURCES if f"{{{t}}}" in VIEWS[name])
+    return spark.sql(VIEWS[name], **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
 
 
 def star_registry(spark: SparkSession, sf_dir: str) -> Registry:
-    return Registry.from_tables(star_frames(spark, sf_dir))
-
-
-def star_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people_list(star_frames(spark, sf_dir)["VT_LISTA_CPF"])
+    return Registry(lambda name: star_view(spark, sf_dir, name))

@@ -11,7 +11,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.operators.sizing import Measured, measure
+from rollcall.operators.joins import attach
+from rollcall.operators.sizing import Measured, measure, measure_keys
 from rollcall.registry import Registry
 
 PERSON_KEY = "CO_CHV_NATURAL_PESSOA"
@@ -96,7 +97,7 @@ def documents_of(document: DataFrame, cpfs: Sequence[str] | DataFrame | None) ->
     if cpfs is None:
         return Measured(document, None)
     if isinstance(cpfs, DataFrame):
-        keys = measure(cpfs.select(F.col(cpfs.columns[0]).alias("NU_CPF_PESSOA")).where("NU_CPF_PESSOA IS NOT NULL").distinct())
+        keys = measure_keys(cpfs.select(F.col(cpfs.columns[0]).alias("NU_CPF_PESSOA")))
         hits = document.join(keys.hinted(), "NU_CPF_PESSOA", "left_semi")
         if not keys.small:
             return Measured(hits, None)
@@ -133,19 +134,16 @@ def dossier_rows(
         on_family = F.col("FAM_" + FAMILY_KEY) == F.col("CO_FAMILIAR")
         narrowed = found.narrow(benefits, "CO_FAMILIAR", "PES_" + FAMILY_KEY)
         household = household.join(narrowed, on_family, "left").drop("CO_FAMILIAR")
+    out = found.frame.join(household, F.col("PES_" + FAMILY_KEY) == F.col("FAM_" + FAMILY_KEY))
     if contact:
+        family_keys = found.frame.select("PES_" + FAMILY_KEY)
         phones = found.narrow(contacts(reg.contact), "CONT_FAMILY", "PES_" + FAMILY_KEY)
-        household = household.join(
-            phones, F.col("FAM_" + FAMILY_KEY) == F.col("CONT_FAMILY"), "left"
-        ).drop("CONT_FAMILY")
-
-    out = found.frame.join(household, F.col("PES_" + FAMILY_KEY) == F.col("FAM_" + FAMILY_KEY))
+        out = attach(out, phones, "FAM_" + FAMILY_KEY, "CONT_FAMILY", family_keys)
     if exclusions:
+        person_keys = found.frame.select("PES_" + PERSON_KEY)
         removed = found.narrow(reg.exclusion, PERSON_KEY, "PES_" + PERSON_KEY)
         removed = prefixed(removed, "EXC_", (PERSON_KEY,) + EXCLUSION_ALL)
-        out = out.join(removed, F.col("PES_" + PERSON_KEY) == F.col("EXC_" + PERSON_KEY), "left").drop(
-            "EXC_" + PERSON_KEY
-        )
+        out = attach(out, removed, "PES_" + PERSON_KEY, "EXC_" + PERSON_KEY, person_keys)
     return out
 
 

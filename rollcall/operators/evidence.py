@@ -9,6 +9,8 @@ from rollcall.functions.cpf import parse_cpf
 from rollcall.operators.keysets import has_flag
 from rollcall.operators.universe import REGISTERED
 
+# The person columns the evidence is drawn from.
+TRAIL_PERSON_COLUMNS = ("CO_CHV_NATURAL_PESSOA", "CO_FAMILIAR_FAM", "CO_EST_CADASTRAL_MEMB", "DT_ATUAL_MEMB")
 PAYROLL_POLICIES = ("current_family", "any_family_if_person3", "any_family")
 
 
@@ -24,7 +26,10 @@ def cpf_person_map(document: DataFrame) -> DataFrame:
 def cpf_trail(cpf_map: DataFrame, person: DataFrame, family: DataFrame, benefits: DataFrame) -> DataFrame:
     """Every (tax id, person, family) occurrence with states, dates and benefit flags.
 
-    The family side (unique per family) is put together first, so the person rows meet it in one join.
+    Each tax id also has one row with nothing but itself per document person, which keeps those without a
+    person. Persons are found by an inner join, where a person key with very many rows can be split; the
+    aggregates over a tax id are maxima, so the extra rows change none of them. The family side (unique per
+    family) is put together first, so the person rows meet it in one join.
     """
     households = (
         family.select(
@@ -34,16 +39,11 @@ def cpf_trail(cpf_map: DataFrame, person: DataFrame, family: DataFrame, benefits
         .withColumn("ON_PAYROLL", has_flag("ON_PAYROLL"))
         .withColumn("IN_QUEUE", has_flag("IN_QUEUE"))
     )
-    people = person.select(
-        F.col("CO_CHV_NATURAL_PESSOA").alias("PERSON_KEY"),
-        "CO_FAMILIAR_FAM",
-        "CO_EST_CADASTRAL_MEMB",
-        "DT_ATUAL_MEMB",
-    )
-    linked = cpf_map.join(people, cpf_map["CO_CHV_NATURAL_PESSOA"] == people["PERSON_KEY"], "left")
-    return linked.join(households, F.col("CO_FAMILIAR_FAM") == F.col("FAM_KEY"), "left").drop(
-        "CO_CHV_NATURAL_PESSOA"
-    )
+    people = person.select(*TRAIL_PERSON_COLUMNS).withColumnRenamed("CO_CHV_NATURAL_PESSOA", "PERSON_KEY")
+    found = cpf_map.withColumnRenamed("CO_CHV_NATURAL_PESSOA", "_p")
+    linked = found.join(people, F.col("_p") == F.col("PERSON_KEY")).drop("_p")
+    trail = linked.join(households, F.col("CO_FAMILIAR_FAM") == F.col("FAM_KEY"), "left")
+    return trail.unionByName(cpf_map.select("CPF_NUM"), allowMissingColumns=True)
 
 
 def _flag(test: Column) -> Column:

@@ -19,7 +19,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Measured:
-    """A relation whose size is known to be small (``rows``) or known to be too large (``rows is None``)."""
+    """A relation known to have at most ``rows`` rows, or too many or an unknown number (``None``)."""
 
     frame: DataFrame
     rows: int | None
@@ -44,13 +44,30 @@ class Measured:
         return F.broadcast(self.frame) if self.small else self.frame
 
 
-def measure(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, keep: bool = False) -> Measured:
-    """Count ``df`` (one job; nothing but the count reaches the driver).
+def measure(df: DataFrame, max_rows: int | None = None, keep: bool = False) -> Measured:
+    """Count ``df``; nothing but the count reaches the driver.
 
-    ``keep`` also writes a small relation to the checkpoint folder, so that the joins built on it do not
-    compute it again. A large one is never written.
+    ``keep`` writes the relation to the checkpoint folder first and counts it there, so that neither the
+    count nor the joins built on it compute it again. Use it for what is expected to be a small part of a
+    large table.
     """
-    rows = df.count()
-    if rows > max_rows:
-        return Measured(df, None)
-    return Measured(settle(df) if keep else df, rows)
+    frame = settle(df) if keep else df
+    rows = frame.count()
+    return Measured(frame, rows if rows <= _limit(max_rows) else None)
+
+
+def measure_keys(keys: DataFrame, max_rows: int | None = None) -> Measured:
+    """Distinct non-NULL values of a one-column frame, measured.
+
+    The number of rows bounds the number of keys and is cheap to count, so the keys themselves are only
+    counted when there are too many rows to tell.
+    """
+    distinct = keys.where(F.col(keys.columns[0]).isNotNull()).distinct()
+    rows = keys.count()
+    if rows <= _limit(max_rows):
+        return Measured(distinct, rows)
+    return measure(distinct, max_rows)
+
+
+def _limit(max_rows: int | None) -> int:
+    return MAX_BROADCAST_ROWS if max_rows is None else max_rows

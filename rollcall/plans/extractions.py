@@ -35,6 +35,7 @@ from rollcall.functions.schooling import NOT_INFORMED, OTHERS
 from rollcall.functions.territory import UNKNOWN_IN_REPORTS
 from rollcall.operators import dossier as d
 from rollcall.operators.dedup import current_by_cpf, family_recency, member_recency, one_per_key
+from rollcall.operators.joins import attach
 from rollcall.operators.keysets import (
     families_prequalified,
     family_benefits,
@@ -170,9 +171,8 @@ def municipal_history(
     ``rule="all"`` gives every occurrence, registered or not.
     """
     found = _people_of(reg, territory, rule, CandidateRules(), period, d.PERSON_ALL, (*d.FAMILY_ALL, *d.TERRITORY))
-    rows = found.rows.join(
-        found.of_family(d.contacts(reg.contact), "CONT_FAMILY"), F.col(_FAM_KEY) == F.col("CONT_FAMILY"), "left"
-    )
+    phones = found.of_family(d.contacts(reg.contact), "CONT_FAMILY")
+    rows = attach(found.rows, phones, _FAM_KEY, "CONT_FAMILY", found.people.frame.select(_FAM_KEY))
     return rows.select(
         *d.with_prefix("DOC_", d.DOCUMENT_ALL),
         *d.with_prefix("PES_", d.PERSON_ALL),

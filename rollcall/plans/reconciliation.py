@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import format_cpf, parse_cpf
 from rollcall.operators.dossier import yes_no
-from rollcall.operators.evidence import cpf_person_map, cpf_trail, evidence_columns, payroll_columns
+from rollcall.operators.evidence import (
+    TRAIL_PERSON_COLUMNS,
+    cpf_person_map,
+    cpf_trail,
+    evidence_columns,
+    payroll_columns,
+)
 from rollcall.operators.keysets import family_benefits
-from rollcall.operators.sizing import Measured, measure
+from rollcall.operators.sizing import Measured, measure, measure_keys
 from rollcall.params import Period
 from rollcall.registry import Registry
 
@@ -93,22 +99,20 @@ def reconcile(
     persons found, and the family and benefit tables to their families. Each cut is a map-side semi-join
     when its keys were counted and are few.
     """
-    wanted = measure(people.select("CPF_NUM").where(F.col("CPF_NUM").isNotNull()).distinct())
+    wanted = measure_keys(people.select("CPF_NUM"))
     listed = reg.document.select(parse_cpf(F.col("NU_CPF_PESSOA")).alias("CPF_NUM"), "NU_CPF_PESSOA", "CO_CHV_NATURAL_PESSOA")
-    listed = listed.join(wanted.hinted(), "CPF_NUM", "left_semi")
-    cpf_map = cpf_person_map(listed)
+    cpf_map = cpf_person_map(listed.join(wanted.hinted(), "CPF_NUM", "left_semi"))
     known = measure(cpf_map, keep=True) if wanted.small else Measured(cpf_map, None)
-    person = known.narrow(reg.person, "CO_CHV_NATURAL_PESSOA")
-    people_found = person.select("CO_FAMILIAR_FAM").distinct()
-    families = measure(people_found, keep=True) if known.small else Measured(people_found, None)
-    family = families.narrow(reg.family, "CO_FAMILIAR_FAM")
+    person = known.narrow(reg.person, "CO_CHV_NATURAL_PESSOA").select(*TRAIL_PERSON_COLUMNS)
+    found = measure(person, keep=True) if known.small else Measured(person, None)
+    family = found.narrow(reg.family, "CO_FAMILIAR_FAM")
     benefits = family_benefits(
-        families.narrow(reg.payroll, "CO_FAMILIAR", "CO_FAMILIAR_FAM"),
-        families.narrow(reg.queue, "CO_FAMILIAR", "CO_FAMILIAR_FAM"),
+        found.narrow(reg.payroll, "CO_FAMILIAR", "CO_FAMILIAR_FAM"),
+        found.narrow(reg.queue, "CO_FAMILIAR", "CO_FAMILIAR_FAM"),
         period.rf_payroll,
         period.rf_queue,
     )
-    trail = cpf_trail(known.frame, person, family, benefits)
+    trail = cpf_trail(known.frame, found.frame, family, benefits)
     per_cpf = trail.groupBy("CPF_NUM").agg(*evidence_columns(), *payroll_columns(policy))
     if wanted.small:
         # At most one row per counted tax id. The list itself is then not shuffled, however often it

@@ -67,13 +67,14 @@ class Snapshot:
 
     def table(self, name: str) -> DataFrame:
         """A registry table at this month, or a benefit view with all its months."""
+        return conform(self._rows(name), TABLES[name], name)
+
+    def _rows(self, name: str) -> DataFrame:
         rows = self.store.open_table(name)
-        if name not in MONTHLY_VIEWS:
-            rows = rows.where(F.col(MONTH_COLUMN) == self.month.yyyymm)
-        return conform(rows, TABLES[name], name)
+        return rows if name in MONTHLY_VIEWS else rows.where(F.col(MONTH_COLUMN) == self.month.yyyymm)
 
     def registry(self) -> Registry:
-        return Registry.from_tables({name: self.table(name) for name in TABLES})
+        return Registry(self._rows)
 
 
 def _clustered(df: DataFrame, name: str) -> DataFrame:
