@@ -9,7 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.catalog.star_views import star_registry, star_view
+from rollcall.catalog.star_views import StarTables
 from rollcall.params import Period
 from rollcall.registry import Registry
 from rollcall.sources import people_list
@@ -26,13 +26,17 @@ class Star:
     spark: SparkSession
     sf_dir: str
 
+    @cached_property
+    def tables(self) -> StarTables:
+        return StarTables(self.spark, self.sf_dir)
+
     @cached_property
     def reg(self) -> Registry:
-        return star_registry(self.spark, self.sf_dir)
+        return Registry(self.tables.view)
 
     @cached_property
     def raw_list(self) -> DataFrame:
-        return star_view(self.spark, self.sf_dir, "VT_LISTA_CPF")
+        return self.tables.view("VT_LISTA_CPF")
 
     @cached_property
     def people(self) -> DataFrame:

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.registry import Registry
-
 _CPF = """CASE WHEN o_orderkey % 50 = 3 THEN lpad(CAST(900000000 + o_orderkey AS STRING), 11, '0')
             ELSE lpad(CAST(CAST(floor(o_orderkey / 3) AS BIGINT) * 7 AS STRING), 11, '0') END"""
 _MONTH = "CAST(200000 + month(o_orderdate) AS INT)"
@@ -106,11 +104,18 @@ VIEWS = {
 SOURCES = ("customer", "orders")
 
 
-def star_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view as a frame over the Parquet tables of ``sf_dir``."""
-    source = next(t for t in SOURCES if f"{{{t}}}" in VIEWS[name])
-    return spark.sql(VIEWS[name], **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
+class StarTables:
+    """The views over the Parquet tables of one directory; each source table is opened once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        self._sources: dict[str, DataFrame] = {}
 
+    def source(self, table: str) -> DataFrame:
+        if table not in self._sources:
+            self._sources[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self._sources[table]
 
-def star_registry(spark: SparkSession, sf_dir: str) -> Registry:
-    return Registry(lambda name: star_view(spark, sf_dir, name))
+    def view(self, name: str) -> DataFrame:
+        source = next(t for t in SOURCES if f"{{{t}}}" in VIEWS[name])
+        return self.spark.sql(VIEWS[name], **{source: self.source(source)})

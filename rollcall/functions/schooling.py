@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -48,38 +47,33 @@ NOT_INFORMED = "Não Informado"
 OTHERS = "OUTROS"
 
 
+def _in(code: str, values: Iterable[int]) -> str:
+    return f"{code} IN ({', '.join(map(str, values))})"
+
+
 def _level(levels: Iterable[str], default: str, prefix: str) -> Column:
-    def code(name: str) -> Column:
-        return F.col(prefix + name)
-
-    literate = code("CO_SABE_LER_ESCREVER_MEMB") == 1
-    situation = {
-        NOW: code("IN_FREQUENTA_ESCOLA_MEMB").isin(1, 2),
-        PAST: code("IN_FREQUENTA_ESCOLA_MEMB") == 3,
-    }
-    course = {NOW: code("CO_CURSO_FREQUENTA_MEMB"), PAST: code("CO_CURSO_FREQ_PESSOA_MEMB")}
-    grade = {NOW: code("CO_ANO_SERIE_FREQUENTA_MEMB"), PAST: code("CO_ANO_SERIE_FREQUENTOU_MEMB")}
-
-    def matches(rule: Rule) -> Column:
-        test = course[rule.attending].isin(*rule.courses)
-        return test if rule.grades is None else test & grade[rule.attending].isin(*rule.grades)
-
-    def any_of(rules: Iterable[Rule]) -> Column:
-        return reduce(lambda a, b: a | b, [matches(r) for r in rules])
-
-    def cascade(attending: bool) -> Column:
-        label = F
+    def cascade(attending: bool, course: str, grade: str) -> str:
+        branches = []
         for level in levels:
-            rules = [r for r in LEVELS[level] if r.attending is attending]
-            if rules:
-                label = label.when(any_of(rules), level)
-        return label.otherwise(default)
-
+            tests = [
+                f"({_in(prefix + course, rule.courses)}"
+                + (f" AND {_in(prefix + grade, rule.grades)})" if rule.grades else ")")
+                for rule in LEVELS[level]
+                if rule.attending is attending
+            ]
+            if tests:
+                branches.append(f"WHEN {' OR '.join(tests)} THEN '{level}'")
+        return f"CASE {' '.join(branches)} ELSE '{default}' END"
+
+    now = cascade(NOW, "CO_CURSO_FREQUENTA_MEMB", "CO_ANO_SERIE_FREQUENTA_MEMB")
+    past = cascade(PAST, "CO_CURSO_FREQ_PESSOA_MEMB", "CO_ANO_SERIE_FREQUENTOU_MEMB")
     # Literacy and attendance are tested once, not once per rule.
-    return (
-        F.when(literate & situation[NOW], cascade(NOW))
-        .when(literate & situation[PAST], cascade(PAST))
-        .otherwise(default)
+    return F.expr(
+        f"""CASE WHEN {prefix}CO_SABE_LER_ESCREVER_MEMB = 1 THEN
+              CASE WHEN {_in(prefix + "IN_FREQUENTA_ESCOLA_MEMB", (1, 2))} THEN {now}
+                   WHEN {prefix}IN_FREQUENTA_ESCOLA_MEMB = 3 THEN {past}
+                   ELSE '{default}' END
+            ELSE '{default}' END"""
     )
 
 

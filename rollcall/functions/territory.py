@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +23,8 @@ UNKNOWN_IN_REPORTS = "Não Informado"
 
 def uf_sigla(code: Column, default: str = UNKNOWN_IN_COUNTS) -> Column:
     """Two-letter label of a state code; ``default`` for unknown codes and NULL."""
-    labels = F.create_map(*[F.lit(x) for x in chain.from_iterable(UF_BY_CODE.items())])
-    return F.coalesce(F.try_element_at(labels, code.cast("int")), F.lit(default))
+    pairs = ", ".join(f"{number}, '{label}'" for number, label in UF_BY_CODE.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), code.cast("int")), F.lit(default))
 
 
 def codibge(uf: Column, municipality: Column) -> Column:

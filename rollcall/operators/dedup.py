@@ -41,4 +41,4 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row per key: the smallest in column order, NULLs first. Settles ties among repeated rows."""
     rest = [c for c in df.columns if c != key]
     smallest = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
-    return smallest.select(key, *[F.col("_row")[c].alias(c) for c in rest])
+    return smallest.select(key, "_row.*")

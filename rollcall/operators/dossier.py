@@ -73,7 +73,7 @@ CONTACT_NAMES = {
 
 def prefixed(df: DataFrame, prefix: str, columns: Iterable[str]) -> DataFrame:
     """Select columns under ``prefix``; joined tables then share no names."""
-    return df.select(*[F.col(c).alias(prefix + c) for c in columns])
+    return df.selectExpr(*[f"{c} AS {prefix}{c}" for c in columns])
 
 
 def with_prefix(prefix: str, columns: Iterable[str]) -> list[str]:
@@ -82,9 +82,8 @@ def with_prefix(prefix: str, columns: Iterable[str]) -> list[str]:
 
 def contacts(contact: DataFrame) -> DataFrame:
     """Contact columns under their short names, with the family key as ``CONT_FAMILY``."""
-    return contact.select(
-        F.col(FAMILY_KEY).alias("CONT_FAMILY"),
-        *[F.col(c).alias(short) for c, short in CONTACT_NAMES.items()],
+    return contact.selectExpr(
+        f"{FAMILY_KEY} AS CONT_FAMILY", *[f"{c} AS {short}" for c, short in CONTACT_NAMES.items()]
     )
 
 

@@ -68,9 +68,9 @@ def plain_dossier(reg: Registry, cpfs: Cpfs) -> DataFrame:
     """The same report without prefixes; the keys appear once, as the document has them."""
     person = [c for c in d.PERSON_ALL if c not in d.DOCUMENT_KEYS]
     family = [c for c in d.FAMILY_ALL if c not in d.DOCUMENT_KEYS]
-    return d.dossier_rows(reg, cpfs).select(
+    return d.dossier_rows(reg, cpfs).selectExpr(
         *[
-            F.col(prefix + c).alias(c)
+            f"{prefix}{c} AS {c}"
             for prefix, columns in (("DOC_", d.DOCUMENT_KEYS), ("PES_", person), ("FAM_", family))
             for c in columns
         ]
@@ -80,7 +80,7 @@ def plain_dossier(reg: Registry, cpfs: Cpfs) -> DataFrame:
 def batch_dossier(reg: Registry, cpfs: Cpfs) -> DataFrame:
     """Short report for many tax ids, sorted by tax id."""
     rows = d.dossier_rows(reg, cpfs)
-    return rows.select(*[F.col(c).alias(name) for name, c in BATCH_COLUMNS.items()]).orderBy(
+    return rows.selectExpr(*[f"{c} AS {name}" for name, c in BATCH_COLUMNS.items()]).orderBy(
         "NU_CPF_PESSOA", "DOC_CHAVE_PESSOA", "CO_FAMILIAR_FAM"
     )
 

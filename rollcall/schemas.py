@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LONG, _INT, _STR, _DATE = T.LongType(), T.IntegerType(), T.StringType(), T.DateType()
@@ -116,9 +115,12 @@ def conform(df: DataFrame, schema: T.StructType, table: str = "table") -> DataFr
     missing = [f.name for f in schema.fields if f.name not in present]
     if missing:
         raise MissingColumns(f"{table} lacks {', '.join(missing)}")
-    return df.select(
+    wanted = {f.name: f.dataType for f in schema.fields}
+    if list(present.items()) == list(wanted.items()):
+        return df
+    return df.selectExpr(
         *[
-            F.col(f.name) if present[f.name] == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name)
-            for f in schema.fields
+            name if present[name] == kind else f"CAST({name} AS {kind.simpleString()}) AS {name}"
+            for name, kind in wanted.items()
         ]
     )
