@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rollcall.operators.joins import attach
 from rollcall.operators.sizing import Measured, measure, measure_keys
+from rollcall.operators.skew import hot_keys, join_unique
 from rollcall.registry import Registry
 
 PERSON_KEY = "CO_CHV_NATURAL_PESSOA"
@@ -133,7 +134,9 @@ def dossier_rows(
         on_family = F.col("FAM_" + FAMILY_KEY) == F.col("CO_FAMILIAR")
         narrowed = found.narrow(benefits, "CO_FAMILIAR", "PES_" + FAMILY_KEY)
         household = household.join(narrowed, on_family, "left").drop("CO_FAMILIAR")
-    out = found.frame.join(household, F.col("PES_" + FAMILY_KEY) == F.col("FAM_" + FAMILY_KEY))
+    household = household.withColumn("PES_" + FAMILY_KEY, F.col("FAM_" + FAMILY_KEY))
+    crowded = [] if found.small else hot_keys(reg.person, FAMILY_KEY)
+    out = join_unique(found.frame, household, "PES_" + FAMILY_KEY, crowded)
     if contact:
         family_keys = found.frame.select("PES_" + FAMILY_KEY)
         phones = found.narrow(contacts(reg.contact), "CONT_FAMILY", "PES_" + FAMILY_KEY)

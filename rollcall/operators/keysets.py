@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.benefits import ACTIVE_SITUATIONS, HELD_SITUATIONS
+from rollcall.operators.skew import join_unique
 
 FAMILY_KEY = "CO_FAMILIAR"
 
@@ -85,11 +86,15 @@ def flag_membership(
     out: str = "FLAG",
     yes: object = "SIM",
     no: object = "NAO",
+    hot: Sequence = (),
 ) -> DataFrame:
-    """Add ``out``: ``yes`` where ``df[on]`` occurs in ``keys[key]``, else ``no``. Rows never multiply."""
+    """Add ``out``: ``yes`` where ``df[on]`` occurs in ``keys[key]``, else ``no``. Rows never multiply.
+
+    ``hot`` names values of ``on`` that hold very many rows (see ``skew.hot_keys``).
+    """
     marked = keys.select(F.col(key).alias(on)).distinct().withColumn("_hit", F.lit(True))
     return (
-        df.join(marked, on, "left")
+        join_unique(df, marked, on, hot, "left")
         .withColumn(out, F.when(F.col("_hit"), F.lit(yes)).otherwise(F.lit(no)))
         .drop("_hit")
     )

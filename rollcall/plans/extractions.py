@@ -44,6 +44,7 @@ from rollcall.operators.keysets import (
 )
 from rollcall.operators.sampling import simple_sample, stratified_sample
 from rollcall.operators.sizing import Measured, measure
+from rollcall.operators.skew import hot_keys, join_unique
 from rollcall.operators.universe import families_of, persons_of
 from rollcall.params import CandidateRules, Period, SamplePlan, Territory
 from rollcall.registry import Registry
@@ -62,6 +63,8 @@ class _People:
 
     rows: DataFrame
     people: Measured
+    hot_families: list
+    hot_persons: list
 
     def of_person(self, table: DataFrame) -> DataFrame:
         return self.people.narrow(table, d.PERSON_KEY, _PES_KEY)
@@ -93,33 +96,37 @@ def _people_of(
         families.hinted(), F.col("PES_" + d.FAMILY_KEY) == F.col(_FAM_KEY)
     )
     people = measure(joined, keep=True) if families.small else Measured(joined, None)
+    hot_families, hot_persons = [], []
+    if not people.small:
+        hot_families = hot_keys(person, d.FAMILY_KEY)
+        hot_persons = list({*hot_keys(person, d.PERSON_KEY), *hot_keys(reg.document, d.PERSON_KEY)})
 
     documents = people.narrow(reg.document.where(F.col("NU_CPF_PESSOA").isNotNull()), d.PERSON_KEY, _PES_KEY)
     rows = people.frame.join(
         d.prefixed(documents, "DOC_", document_columns),
         F.col(_PES_KEY) == F.col("DOC_" + d.PERSON_KEY),
     )
-    return _People(rows, people)
+    return _People(rows, people, hot_families, hot_persons)
 
 
-def _with_schooling(rows: DataFrame, schooling: DataFrame, level: Column, default: str) -> DataFrame:
+def _with_schooling(found: _People, rows: DataFrame, schooling: DataFrame, level: Column, default: str) -> DataFrame:
     """Left-join the schooling level; repeated schooling rows of a person give one level."""
-    levels = schooling.select(F.col(d.PERSON_KEY).alias("_p"), level.alias("ESCOLARIDADE"))
-    levels = levels.groupBy("_p").agg(F.min("ESCOLARIDADE").alias("ESCOLARIDADE"))
-    joined = rows.join(levels, F.col(_PES_KEY) == F.col("_p"), "left").drop("_p")
+    levels = schooling.select(F.col(d.PERSON_KEY).alias(_PES_KEY), level.alias("ESCOLARIDADE"))
+    levels = levels.groupBy(_PES_KEY).agg(F.min("ESCOLARIDADE").alias("ESCOLARIDADE"))
+    joined = join_unique(rows, levels, _PES_KEY, found.hot_persons, "left")
     return joined.withColumn("ESCOLARIDADE", F.coalesce("ESCOLARIDADE", F.lit(default)))
 
 
-def _with_household(rows: DataFrame, *tables: DataFrame) -> DataFrame:
+def _with_household(found: _People, rows: DataFrame, *tables: DataFrame) -> DataFrame:
     """Left-join tables holding one row per family (first column: the family key).
 
     They are joined to each other first, so the person rows are moved by family only once.
     """
     first, *others = tables
-    household = first.withColumnRenamed(first.columns[0], "_f")
+    household = first.withColumnRenamed(first.columns[0], _FAM_KEY)
     for other in others:
-        household = household.join(other.withColumnRenamed(other.columns[0], "_f"), "_f", "full")
-    return rows.join(household, F.col(_FAM_KEY) == F.col("_f"), "left").drop("_f")
+        household = household.join(other.withColumnRenamed(other.columns[0], _FAM_KEY), _FAM_KEY, "full")
+    return join_unique(rows, household, _FAM_KEY, found.hot_families, "left")
 
 
 def _place(municipality: str | None = None) -> list[Column]:
@@ -199,8 +206,8 @@ def municipal_current(
     found = _people_of(reg, territory, rule, CandidateRules(), period, d.PERSON_ALL, (*d.FAMILY_ALL, *d.TERRITORY))
     order = member_recency("PES_DT_ATUAL_MEMB", "FAM_DT_ATUALIZACAO_FAM", _PES_KEY, _FAM_KEY)
     current = current_by_cpf(found.rows, order, "DOC_NU_CPF_PESSOA")
-    rows = _with_schooling(current, found.of_person(reg.schooling), schooling_level(), NOT_INFORMED)
-    rows = _with_household(rows, _one_contact(found, reg), _benefits(found, reg, period))
+    rows = _with_schooling(found, current, found.of_person(reg.schooling), schooling_level(), NOT_INFORMED)
+    rows = _with_household(found, rows, _one_contact(found, reg), _benefits(found, reg, period))
     return rows.select(
         F.col("DOC_NU_CPF_PESSOA").alias("CPF"),
         *d.with_prefix("DOC_", d.DOCUMENT_ALL),
@@ -233,10 +240,10 @@ def state_candidates(
     )
     order = member_recency("PES_DT_ATUAL_MEMB", "FAM_DT_ATUALIZACAO_FAM", _PES_KEY, _FAM_KEY)
     rows = current_by_cpf(rows, order, "_key")
-    rows = _with_schooling(rows, found.of_person(reg.schooling), schooling_level_short(), OTHERS)
+    rows = _with_schooling(found, rows, found.of_person(reg.schooling), schooling_level_short(), OTHERS)
     if rules.schooling is not None:
         rows = rows.where(F.col("ESCOLARIDADE").isin(*rules.schooling))
-    rows = _with_household(rows, _one_contact(found, reg), _benefits(found, reg, period))
+    rows = _with_household(found, rows, _one_contact(found, reg), _benefits(found, reg, period))
     paid, queued = has_flag("ON_PAYROLL"), has_flag("IN_QUEUE")
     return rows.select(
         format_cpf(F.col("_number")).alias("CPF"),
@@ -265,12 +272,12 @@ def eligible_candidates(
     wanted = rules.schooling
     if wanted is not None and NOT_INFORMED not in wanted:
         schooling = schooling.where(schooling_level().isin(*wanted))
-    rows = _with_schooling(found.rows, schooling, schooling_level(), NOT_INFORMED)
+    rows = _with_schooling(found, found.rows, schooling, schooling_level(), NOT_INFORMED)
     if wanted is not None:
         rows = rows.where(F.col("ESCOLARIDADE").isin(*wanted))
     order = member_recency("PES_DT_ATUAL_MEMB", "FAM_DT_ATUALIZACAO_FAM", _PES_KEY, _FAM_KEY)
     rows = current_by_cpf(rows, order, "DOC_NU_CPF_PESSOA")
-    rows = _with_household(rows, _one_contact(found, reg), _benefits(found, reg, period))
+    rows = _with_household(found, rows, _one_contact(found, reg), _benefits(found, reg, period))
     return rows.select(
         F.col("DOC_NU_CPF_PESSOA").alias("CPF"),
         *_person_head(period),
@@ -309,7 +316,7 @@ def municipal_benefit_status(
     rows = current_by_cpf(found.rows, order, "DOC_NU_CPF_PESSOA")
     if sample_size is not None:
         rows = simple_sample(rows, sample_size, "DOC_NU_CPF_PESSOA")
-    rows = _with_schooling(rows, found.of_person(reg.schooling), schooling_level(), NOT_INFORMED)
+    rows = _with_schooling(found, rows, found.of_person(reg.schooling), schooling_level(), NOT_INFORMED)
 
     situation = family_situation(
         found.of_family(reg.payroll, "CO_FAMILIAR"), None if any_month else period.rf_payroll
@@ -317,7 +324,7 @@ def municipal_benefit_status(
     queued = families_prequalified(
         found.of_family(reg.queue, "CO_FAMILIAR"), None if any_month else period.rf_queue
     ).withColumn("IN_QUEUE", F.lit(True))
-    rows = _with_household(rows, _one_contact(found, reg), situation, queued)
+    rows = _with_household(found, rows, _one_contact(found, reg), situation, queued)
     paid, in_queue, text = has_flag("ON_PAYROLL"), has_flag("IN_QUEUE"), F.col("SITUATION")
     return rows.select(
         F.col("DOC_NU_CPF_PESSOA").alias("CPF"),
@@ -346,12 +353,12 @@ def municipal_sample(
     )
     order = family_recency("FAM_DT_ULT_ATUAL_FAM", _PES_KEY, _FAM_KEY)
     current = current_by_cpf(found.rows, order, "DOC_NU_CPF_PESSOA")
-    strata = _with_household(current, _benefits(found, reg, period, (RELEASED, "L"))).withColumn(
+    strata = _with_household(found, current, _benefits(found, reg, period, (RELEASED, "L"))).withColumn(
         "CATEGORIA", category(has_flag("IN_QUEUE"), has_flag("ON_PAYROLL"))
     )
     picked = stratified_sample(strata, plan, "DOC_NU_CPF_PESSOA")
-    rows = _with_schooling(picked, found.of_person(reg.schooling), schooling_level(), NOT_INFORMED)
-    rows = _with_household(rows, _one_contact(found, reg))
+    rows = _with_schooling(found, picked, found.of_person(reg.schooling), schooling_level(), NOT_INFORMED)
+    rows = _with_household(found, rows, _one_contact(found, reg))
     return rows.select(
         F.col("DOC_NU_CPF_PESSOA").alias("CPF"),
         *_person_head(period),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from rollcall.operators.evidence import (
 )
 from rollcall.operators.keysets import family_benefits
 from rollcall.operators.sizing import Measured, measure, measure_keys
+from rollcall.operators.skew import hot_keys, join_unique
 from rollcall.params import Period
 from rollcall.registry import Registry
 
@@ -49,16 +52,22 @@ def _is_set(flag: str) -> Column:
     return F.coalesce(F.col(flag), F.lit(0)) == 1
 
 
-def reconcile_report(people: DataFrame, per_cpf: DataFrame, wording: dict[str, str], same_row: bool = False) -> DataFrame:
+def reconcile_report(
+    people: DataFrame,
+    per_cpf: DataFrame,
+    wording: dict[str, str],
+    same_row: bool = False,
+    hot_cpfs: Sequence = (),
+) -> DataFrame:
     """The list with answers and reasons; every list row is kept, repeated ones too.
 
     ``per_cpf`` has one row per tax id with the evidence and payroll flags. By default ATIVO asks for a
     state-3 person and a state-3 family that may be on different occurrences; ``same_row`` wants one
-    occurrence with both.
+    occurrence with both. ``hot_cpfs`` are tax ids that fill a large part of the list.
     """
     spread = -(F.pmod(F.xxhash64("NOME", "CPF_RAW"), F.lit(NULL_KEY_SPREAD)) + 1)
     keyed = people.withColumn("_key", F.coalesce("CPF_NUM", spread.cast("decimal(20,0)")))
-    joined = keyed.join(per_cpf.withColumnRenamed("CPF_NUM", "_key"), "_key", "left")
+    joined = join_unique(keyed, per_cpf.withColumnRenamed("CPF_NUM", "_key"), "_key", hot_cpfs, "left")
 
     active = _is_set("FL_MESMA_LINHA") if same_row else _is_set("FL_PESSOA_3") & _is_set("FL_FAM_3")
     reason_registry = (
@@ -112,10 +121,12 @@ def reconcile(
         period.rf_payroll,
         period.rf_queue,
     )
-    trail = cpf_trail(known.frame, found.frame, family, benefits)
+    crowded = [] if found.small else hot_keys(reg.person, "CO_FAMILIAR_FAM")
+    trail = cpf_trail(known.frame, found.frame, family, benefits, crowded)
     per_cpf = trail.groupBy("CPF_NUM").agg(*evidence_columns(), *payroll_columns(policy))
     if wanted.small:
         # At most one row per counted tax id. The list itself is then not shuffled, however often it
         # repeats one of them.
         per_cpf = F.broadcast(per_cpf)
-    return reconcile_report(people, per_cpf, WORDING[policy], same_row)
+    frequent = [] if wanted.small else hot_keys(people, "CPF_NUM")
+    return reconcile_report(people, per_cpf, WORDING[policy], same_row, frequent)

@@ -73,6 +73,7 @@ def session():
         SparkSession.builder.master("local[8]")
         .appName("rollcall-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.default.parallelism", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
