@@ -96,7 +96,7 @@ VIEWS = {
         SELECT concat('PESSOA ', CAST(o_orderkey AS STRING)) AS NOME,
           CASE o_orderkey % 10 WHEN 0 THEN '' WHEN 5 THEN ' .-/' WHEN 1 THEN NULL WHEN 6 THEN '12A45'
                WHEN 4 THEN '99999999999'
-               WHEN 9 THEN '123456789012345678901'
+               WHEN 9 THEN '111122223333444455556'
                WHEN 2 THEN concat(substr(c, 1, 3), '.', substr(c, 4, 3), '.', substr(c, 7, 3), '-', substr(c, 10, 2))
                ELSE concat(' ', c) END AS CPF_RAW
         FROM (SELECT o_orderkey, {_CPF} AS c FROM {{orders}}) t""",

@@ -19,7 +19,7 @@ from rollcall.schemas import TABLES  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     spark = session()
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield spark
