@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there afterwards.
+    """Write ``df`` once as a table in the shared checkpoint folder and read it from there afterwards.
 
-    Reliable checkpoints survive the loss of executors, unlike local ones.
+    It survives the loss of executors. Unlike a checkpointed plan, the table has real statistics and
+    columns of its own, so Spark sees how small it is and reads only the columns a join needs. Rows are
+    rebalanced first: many scan tasks with few matches each would otherwise leave as many small files.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid4().hex}"
+    df.hint("rebalance").write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
