@@ -179,8 +179,7 @@ def _stratified_sql(quotas: dict[str, int]) -> str:
     )
 
 
-# Registry-only records are the rare class here, so the other two overshoot and none is filled; the large
-# plan asks for more queued records than there are, so the fill is used.
+# One plan within the group limit and one beyond it, so that both ways of ranking are compared.
 _SMALL_SAMPLE, _LARGE_SAMPLE = SamplePlan(total=250), SamplePlan(total=1600, shares={"CAD": 0.05, "PRE": 0.9, "PBF": 0.05})
 
 _REPORT_SAME_ROW = _SQL["q22_reconcile_any_family"].replace("b.member_3 AND b.family_3", "b.same_row").replace(
