@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import sys
 import time
-from datetime import date, datetime
+from datetime import datetime
 from decimal import Decimal
 from pathlib import Path
 
