@@ -15,6 +15,9 @@ from rollcall.llm.queries import vocabulary_path
 from rollcall.llm.storage import documents, settle, ship
 
 
+NEAR_BITS = 6
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality scorer keeps."""
     return quality.keep_good(docs)
@@ -26,8 +29,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, at most three differing bits."""
-    return simhash.keep_first_of_groups(docs, width=5, radius=3)
+    """One document of each group of near copies: shingles of five words, at most ``NEAR_BITS`` differing bits.
+
+    Wide enough for copies of similarity 0.8 and more as far as 64 bits can tell them (README gives the share found),
+    and still so narrow that unrelated documents meet once in some 10^11 pairs.
+    """
+    return simhash.keep_first_of_groups(docs, width=5, radius=NEAR_BITS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
