@@ -28,8 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.streams import sliced
+
 # Words a task remembers before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 # Longer words are merged one by one.
 BATCH_WIDTH = 32
 BATCH_WORDS = 20_000
@@ -269,7 +271,7 @@ def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in sliced(batches, text):
             coded = bpe.encode(batch.column(text).to_pylist())
             yield _add(
                 batch.select(kept),
@@ -291,7 +293,7 @@ def encode_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in sliced(batches, text):
             coded = bpe.encode(batch.column(text).to_pylist())
             tokens = pa.array([np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in coded], pa.list_(pa.int32()))
             yield _add(batch, {"tokens": tokens, "decoded": pa.array([shown for _, shown in coded], pa.string())})

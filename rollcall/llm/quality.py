@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.streams import sliced
+
 # Rows the scorer is trained on; more add nothing to so small a model.
 TRAINING_ROWS = 4000
 FEATURES = 1 << 12
@@ -218,7 +220,7 @@ def training_sample(docs: DataFrame, labels: LabelModel, text: str = "text", row
     pick = F.pmod(F.xxhash64(text), F.lit(1 << 30)) < F.lit(int(min(1.0, rows / max(total, 1)) * (1 << 30)))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out = []
             for t in batch.column("text"):
                 pattern = votes(t.as_py())
@@ -248,7 +250,7 @@ def scored(df: DataFrame, model: tuple[LabelModel, Scorer], text: str = "text",
 
     def run(batches):
         labels, scorer = shared.value
-        for batch in batches:
+        for batch in sliced(batches, text):
             texts = batch.column(text).to_pylist()
             weak = [labels.posterior(votes(t)) for t in texts]
             score = [scorer.score(t) for t in texts]

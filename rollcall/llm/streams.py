@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 2) -> Iterator[pa.RecordBatch]:
@@ -43,3 +44,14 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str], least: int
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     parts = [p for p in parts if p.num_rows]
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def sliced(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text, so that what a task makes of them stays small."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // limit
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
