@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from rollcall.llm.streams import sliced
 
 # Words a task remembers before it starts anew.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 60_000
 # Longer words are merged one by one.
 BATCH_WIDTH = 32
 BATCH_WORDS = 20_000
 # Characters of text whose new words are merged together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
+# Bytes of text encoded before their rows are handed on.
+SLICE_BYTES = 1 << 20
 NONE = np.int64(1) << 62
 # Letters and numbers of lower-case Latin-1 text, as ranges of a character class.
 LATIN_LETTERS = "a-zªµºß-öø-ÿ"
@@ -256,10 +259,22 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordBpe:
+def _loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@contextmanager
+def tokenizer(path: str):
+    """The tokenizer of a worker process, which other tasks use too; the words it met are forgotten afterwards."""
+    bpe = _loaded(path)
+    try:
+        yield bpe
+    finally:
+        bpe.cache.clear()
+        bpe.shown.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def _add(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
@@ -270,17 +285,17 @@ def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches):
-        bpe = tokenizer(path)
-        for batch in sliced(batches, text):
-            coded = bpe.encode(batch.column(text).to_pylist())
-            yield _add(
-                batch.select(kept),
-                {
-                    "n_tokens": pa.array([len(ids) // 4 for ids, _ in coded], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in coded]),
-                    "decoded_sha256": pa.array([hashlib.sha256(shown.encode()).hexdigest() for _, shown in coded]),
-                },
-            )
+        with tokenizer(path) as bpe:
+            for batch in sliced(batches, text, SLICE_BYTES):
+                coded = bpe.encode(batch.column(text).to_pylist())
+                yield _add(
+                    batch.select(kept),
+                    {
+                        "n_tokens": pa.array([len(ids) // 4 for ids, _ in coded], pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in coded]),
+                        "decoded_sha256": pa.array([hashlib.sha256(shown.encode()).hexdigest() for _, shown in coded]),
+                    },
+                )
 
     return df.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -292,11 +307,11 @@ def encode_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches):
-        bpe = tokenizer(path)
-        for batch in sliced(batches, text):
-            coded = bpe.encode(batch.column(text).to_pylist())
-            tokens = pa.array([np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in coded], pa.list_(pa.int32()))
-            yield _add(batch, {"tokens": tokens, "decoded": pa.array([shown for _, shown in coded], pa.string())})
+        with tokenizer(path) as bpe:
+            for batch in sliced(batches, text, SLICE_BYTES):
+                coded = bpe.encode(batch.column(text).to_pylist())
+                tokens = pa.array([np.frombuffer(ids, "<i4") for ids, _ in coded], pa.list_(pa.int32()))
+                yield _add(batch, {"tokens": tokens, "decoded": pa.array([shown for _, shown in coded], pa.string())})
 
     return df.mapInArrow(run, f"{schema}, tokens array<int>, decoded string")
 
@@ -306,9 +321,9 @@ def decode_tokens(df: DataFrame, path: str, tokens: str = "tokens") -> DataFrame
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches):
-        bpe = tokenizer(path)
-        for batch in batches:
-            yield _add(batch, {"decoded": pa.array([bpe.decode(ids or []) for ids in batch.column(tokens).to_pylist()], pa.string())})
+        with tokenizer(path) as bpe:
+            for batch in batches:
+                yield _add(batch, {"decoded": pa.array([bpe.decode(ids or []) for ids in batch.column(tokens).to_pylist()], pa.string())})
 
     return df.mapInArrow(run, f"{schema}, decoded string")
 
