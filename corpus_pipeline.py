@@ -20,11 +20,13 @@ NEAR_BITS = 6
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality scorer keeps."""
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    ship(spark)
     return exact_dedup.keep_first_copies(docs)
 
 
@@ -34,16 +36,19 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Wide enough for copies of similarity 0.8 and more as far as 64 bits can tell them (README gives the share found),
     and still so narrow that unrelated documents meet once in some 10^11 pairs.
     """
+    ship(spark)
     return simhash.keep_first_of_groups(docs, width=5, radius=NEAR_BITS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    ship(spark)
     return mixing.take_mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, and the text they decode to."""
+    ship(spark)
     return bpe.encode_tokens(docs, vocabulary_path())
 
 
@@ -60,7 +65,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
