@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.streams import sliced
+from rollcall.llm.streams import sliced, tidy
 
 # Words a task remembers before it starts anew.
 CACHED_WORDS = 60_000
@@ -272,7 +272,6 @@ def tokenizer(path: str):
     finally:
         bpe.cache.clear()
         bpe.shown.clear()
-        pa.default_memory_pool().release_unused()
 
 
 def _add(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -297,7 +296,7 @@ def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                     },
                 )
 
-    return df.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.mapInArrow(tidy(run), f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -313,7 +312,7 @@ def encode_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 tokens = pa.array([np.frombuffer(ids, "<i4") for ids, _ in coded], pa.list_(pa.int32()))
                 yield _add(batch, {"tokens": tokens, "decoded": pa.array([shown for _, shown in coded], pa.string())})
 
-    return df.mapInArrow(run, f"{schema}, tokens array<int>, decoded string")
+    return df.mapInArrow(tidy(run), f"{schema}, tokens array<int>, decoded string")
 
 
 def decode_tokens(df: DataFrame, path: str, tokens: str = "tokens") -> DataFrame:
@@ -325,7 +324,7 @@ def decode_tokens(df: DataFrame, path: str, tokens: str = "tokens") -> DataFrame
             for batch in batches:
                 yield _add(batch, {"decoded": pa.array([bpe.decode(ids or []) for ids in batch.column(tokens).to_pylist()], pa.string())})
 
-    return df.mapInArrow(run, f"{schema}, decoded string")
+    return df.mapInArrow(tidy(run), f"{schema}, decoded string")
 
 
 def total_tokens(df: DataFrame) -> int:

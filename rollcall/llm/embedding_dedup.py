@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from rollcall.llm.buckets import block_pairs
 from rollcall.llm.components import components
 from rollcall.llm.storage import numbered, settle
-from rollcall.llm.streams import sorted_groups
+from rollcall.llm.streams import sorted_groups, tidy
 
 COSINE = 0.9
 # Chance for a pair of cosine 0.9 to meet: 1 - (1 - 0.82^8)^24, over 99 %; unrelated pairs meet in a bucket at 0.3 %.
@@ -64,7 +64,7 @@ def _with_codes(nodes: DataFrame) -> DataFrame:
             columns = [*batch.columns, pa.array(codes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "codes"])
 
-    return nodes.mapInArrow(run, "node long, n long, vector array<double>, codes array<long>")
+    return nodes.mapInArrow(tidy(run), "node long, n long, vector array<double>, codes array<long>")
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
                 added = pa.array([*counts[some].tolist(), *[None] * len(a)], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((node[some], node[a]))), ends, added], names=["a", "b", "added"])
 
-    return met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, "a long, b long, added long")
+    return met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(tidy(run), "a long, b long, added long")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:

@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.storage import numbered, settle
+from rollcall.llm.streams import tidy
 from rollcall.llm.trie import Patricia
 
 WHITE = r"[\x20\x09-\x0D]+"
 # Bytes of text and nodes a task's trie may hold before it gives up a subtree.
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 32 << 20
 
 LOCAL = "row long, id long, sha string, length long, hash long, rep long, text binary, n long, first_id long, first_row long"
 OWNER = "rep long, keep_id long, keep_row long, group_size long"
@@ -147,9 +148,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), norm.alias("text")).select(
         "row", "id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")
     )
-    local = settle(texts.mapInArrow(local_owners(budget), LOCAL))
+    local = settle(texts.mapInArrow(tidy(local_owners(budget)), LOCAL))
     owners = local.where("text is not null").select("length", "hash", "text", "rep", "n", "first_id", "first_row")
-    groups = owners.repartition("length", "hash").mapInArrow(merge_owners(budget), OWNER)
+    groups = owners.repartition("length", "hash").mapInArrow(tidy(merge_owners(budget)), OWNER)
     members = local.where("row is not null").select("row", "id", "sha", "rep")
     return members.join(groups, "rep").select(
         F.col("id").alias(id_col),

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.streams import tidy
+
 UNKNOWN = "und"
 # Hash buckets of n-grams, and the lengths counted.
 BUCKETS = 1 << 16
@@ -118,7 +120,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", buckets: in
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(where)), pa.array(where), pa.array(total[where])], names=["lang", "bucket", "n"])
 
     rows = training.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN))
-    counted = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, "lang string, bucket long, n long")
+    counted = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(tidy(run), "lang string, bucket long, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
     found = {r["lang"]: r["cells"] for r in table.collect()}
     languages = sorted(found)
@@ -150,7 +152,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(doubts, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return df.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(id_col: str) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.streams import sliced
+from rollcall.llm.streams import sliced, tidy
 
 # Rows the scorer is trained on; more add nothing to so small a model.
 TRAINING_ROWS = 4000
@@ -210,7 +210,7 @@ def vote_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
             seen.update(votes(t.as_py()) for t in batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "pattern long, n long")
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "pattern long, n long")
     return {r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -233,7 +233,7 @@ def training_sample(docs: DataFrame, labels: LabelModel, text: str = "text", row
 
     # Equal texts are one row here: copies would only crowd the sample.
     sample = docs.where(F.col(text).isNotNull() & pick).select(F.col(text).alias("text")).distinct()
-    return [tuple(r) for r in sample.mapInArrow(run, "slots array<int>, `values` array<float>, good double").collect()]
+    return [tuple(r) for r in sample.mapInArrow(tidy(run), "slots array<int>, `values` array<float>, good double").collect()]
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
@@ -257,7 +257,7 @@ def scored(df: DataFrame, model: tuple[LabelModel, Scorer], text: str = "text",
             columns = [pa.array(weak, pa.float64()), pa.array(score, pa.float64()), pa.array([s >= KEEP for s in score], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, "votes_good", "quality_score", "keep"])
 
-    return df.mapInArrow(run, f"{schema}, votes_good double, quality_score double, keep boolean")
+    return df.mapInArrow(tidy(run), f"{schema}, votes_good double, quality_score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:

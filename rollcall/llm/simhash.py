@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rollcall.llm.buckets import block_pairs
 from rollcall.llm.components import components
 from rollcall.llm.storage import numbered, settle
-from rollcall.llm.streams import sorted_groups
+from rollcall.llm.streams import sorted_groups, tidy
 
 SHINGLE = 4
 RADIUS = 4
@@ -69,7 +69,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fp", width:
             found = pa.array([_signed(fingerprint(x.as_py(), width)) for x in batch.column(text)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, found], names=[*kept, name])
 
-    return df.mapInArrow(run, f"{schema}, `{name}` long")
+    return df.mapInArrow(tidy(run), f"{schema}, `{name}` long")
 
 
 def tables(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -159,7 +159,7 @@ def fingerprint_links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame
                 a, b = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
-    return met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, "a long, b long")
+    return met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(tidy(run), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str = "_row", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +52,7 @@ def ship(spark: SparkSession) -> None:
     """Let Python on the executors import this package where it is neither installed nor on their path, and hand
     whole texts over in small batches: the default of 10,000 rows holds tens of MB on both sides of every task."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
     root = Path(__file__).resolve().parents[2]
     paths = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
     if root in paths or getattr(spark.sparkContext, "_rollcall_shipped", False) or "site-packages" in root.parts:

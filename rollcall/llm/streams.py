@@ -1,14 +1,36 @@
-"""Groups out of a stream of Arrow batches whose rows are sorted by their key."""
+"""Helpers for functions over a stream of Arrow batches: sorted groups, slices, and memory given back at the end."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+Batches = Iterable[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``run``, after which its task hands free memory back to the system: the worker process lives on, idle or for
+    other tasks, and the allocators would keep what this task needed at its peak."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 2) -> Iterator[pa.RecordBatch]:
     """Each run of rows equal in ``keys`` (never null), whole even where it crosses batches, if it has ``least`` rows."""
     open_: list[pa.RecordBatch] = []

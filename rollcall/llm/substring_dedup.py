@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.storage import numbered, settle
-from rollcall.llm.streams import sorted_groups
+from rollcall.llm.streams import sorted_groups, tidy
 
 LENGTH = 400
 GRAM = 64
@@ -281,7 +281,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", row_col: str = "_row", l
     table (_row, n_bytes, sha, copied) of all rows. ``docs`` should be a stored table."""
     texts = docs.select(F.col(row_col).alias("_row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     sized = texts.select("_row", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha"), "raw")
-    marked = settle(sized.mapInArrow(_anchor_rows(length, gram), "_row long, n_bytes long, sha string, grams array<long>, times array<int>"))
+    marked = settle(sized.mapInArrow(tidy(_anchor_rows(length, gram)), "_row long, n_bytes long, sha string, grams array<long>, times array<int>"))
     same = marked.groupBy("sha", "n_bytes").agg(F.min("_row").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     rows = marked.select("_row", "n_bytes", "sha").join(same, ["sha", "n_bytes"], "left")
     rows = settle(rows.select("_row", "n_bytes", "sha", F.col("first").isNotNull().alias("copied"), F.coalesce(F.col("first") == F.col("_row"), F.lit(True)).alias("stands")))
@@ -291,8 +291,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", row_col: str = "_row", l
     repeated = each.groupBy("hash").agg(F.sum("times").alias("times")).where("times > 1").select("hash")
     wanted = each.join(repeated, "hash", "left_semi").groupBy("_row").agg(F.collect_list("hash").alias("repeated"))
     near = texts.join(wanted, "_row")
-    around = near.mapInArrow(_local_candidates(length, gram), FOUND)
-    spans = around.repartition("hash").sortWithinPartitions("hash").mapInArrow(_resolve(length), "_row long, begin long, stop long")
+    around = near.mapInArrow(tidy(_local_candidates(length, gram)), FOUND)
+    spans = around.repartition("hash").sortWithinPartitions("hash").mapInArrow(tidy(_resolve(length)), "_row long, begin long, stop long")
     own = rows.where(F.col("copied") & (F.col("n_bytes") >= length)).select("_row", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("stop"))
     lost = spans.join(own.select("_row"), "_row", "left_anti").unionByName(own)
     listed = lost.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans"))
