@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rollcall.catalog.entries import PERIOD, Entry, Star
 from rollcall.catalog.jobs import ENTRIES as JOBS
-from rollcall.catalog.oracle import oracle
+from rollcall.catalog.oracle import oracle, within_quota
 from rollcall.functions import (
     age_years,
     benefit_flag,
@@ -166,16 +166,10 @@ _STRATA = """SELECT CPF, CASE WHEN fam IN (SELECT CO_FAMILIAR FROM queued) THEN
 
 
 def _stratified_sql(quotas: dict[str, int]) -> str:
-    wanted = " UNION ALL ".join(f"SELECT '{name}' AS CATEGORIA, {n} AS wanted" for name, n in quotas.items())
     return oracle(
-        """SELECT CPF, CATEGORIA FROM picked UNION ALL
-           SELECT CPF, CATEGORIA FROM (SELECT *, row_number() OVER (ORDER BY md5(CPF), CPF) AS extra FROM drawn
-             WHERE CATEGORIA = 'CAD' AND CPF NOT IN (SELECT CPF FROM picked)) x
-           WHERE extra <= (SELECT sum(wanted) FROM quota) - (SELECT count(*) FROM picked)""",
+        "SELECT CPF, CATEGORIA FROM drawn WHERE " + within_quota(quotas, "CAD"),
         strata=_STRATA,
-        quota=wanted,
-        drawn="SELECT *, row_number() OVER (PARTITION BY CATEGORIA ORDER BY md5(CPF), CPF) AS draw FROM strata",
-        picked="SELECT d.* FROM drawn d JOIN quota q USING (CATEGORIA) WHERE draw <= wanted",
+        drawn="SELECT *, row_number() OVER (PARTITION BY CATEGORIA ORDER BY md5(CPF), CPF) AS place FROM strata",
     )
 
 

@@ -72,6 +72,13 @@ _SHARED = {
 }
 
 
+def within_quota(quotas: dict[str, int], fill: str) -> str:
+    """The test that a stratified sample takes a row of ``drawn`` (CATEGORIA, place in its stratum)."""
+    own = "CASE CATEGORIA " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in quotas.items()) + " ELSE 0 END"
+    short = f"{sum(quotas.values())} - (SELECT count(*) FROM drawn WHERE place <= {own})"
+    return f"place <= {own} + CASE CATEGORIA WHEN '{fill}' THEN {short} ELSE 0 END"
+
+
 def oracle(select: str, **ctes: str) -> str:
     """A full statement: views, shared sub-relations, the given CTEs, then ``select``."""
     views = {name: text.format(**{t: t for t in SOURCES}) for name, text in VIEWS.items()}

@@ -23,6 +23,7 @@ from rollcall.operators.evidence import cpf_evidence, cpf_person_map, cpf_trail
 from rollcall.operators.headcount import count_by_uf
 from rollcall.operators.keysets import families_on_payroll, families_prequalified, family_benefits, flag_membership
 from rollcall.operators.recency import recency_buckets
+from rollcall.operators.joins import scattered
 from rollcall.operators.sampling import first_per_stratum, simple_sample, take_by_relation
 from rollcall.operators.sizing import measure_keys
 from rollcall.operators.universe import active_universe, families_of, persons_of
@@ -72,7 +73,8 @@ def _people(s: Star) -> DataFrame:
 
 def _listed_with_evidence(s: Star) -> DataFrame:
     evidence = cpf_evidence(_trail(s)).select("CPF_NUM", "FL_TEM_PESSOA", "FL_FAM_3")
-    return s.people.join(evidence, "CPF_NUM", "left").select(
+    listed = s.people.withColumn("_key", scattered("CPF_NUM"))
+    return listed.join(evidence.withColumnRenamed("CPF_NUM", "_key"), "_key", "left").select(
         "NOME", F.coalesce("FL_TEM_PESSOA", F.lit(0)).alias("FL_TEM_PESSOA"), F.coalesce("FL_FAM_3", F.lit(0)).alias("FL_FAM_3")
     )
 
@@ -455,6 +457,16 @@ ENTRIES = [
         lambda s: simple_sample(s.reg.person.select("NU_NIS_PESSOA", FAMILY), 100, "NU_NIS_PESSOA"),
         oracle("SELECT NU_NIS_PESSOA, CO_FAMILIAR_FAM FROM TB_PESSOA_04 ORDER BY md5(NU_NIS_PESSOA), NU_NIS_PESSOA LIMIT 100"),
     ),
+    Entry(
+        "r47_seeded_samples",
+        lambda s: simple_sample(s.reg.person.select("NU_NIS_PESSOA", FAMILY), 100, "NU_NIS_PESSOA", seed=1).unionByName(
+            simple_sample(s.reg.person.select("NU_NIS_PESSOA", FAMILY), 100, "NU_NIS_PESSOA", seed=2)
+        ),
+        oracle(
+            """SELECT NU_NIS_PESSOA, CO_FAMILIAR_FAM FROM TB_PESSOA_04, (VALUES ('1:'), ('2:')) seeds(seed)
+               QUALIFY row_number() OVER (PARTITION BY seed ORDER BY md5(concat(seed, NU_NIS_PESSOA)), NU_NIS_PESSOA) <= 100"""
+        ),
+    ),
     Entry(
         "r48_hash_ordered_pick",
         lambda s: first_per_stratum(

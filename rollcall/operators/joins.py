@@ -1,11 +1,21 @@
-"""Joins that stay balanced when a key repeats very often."""
+"""Joins that stay balanced when a key repeats very often or is missing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def scattered(number: str) -> Column:
+    """A join key from a number that is never negative and may be NULL.
+
+    Rows without a number match nothing. They get a negative key for each task they come from, so they are
+    spread over as many join tasks as there are input tasks, equal rows too. A task that runs again gives
+    its rows the same keys.
+    """
+    return F.coalesce(number, (-F.spark_partition_id() - 1).cast("decimal(20,0)"))
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, table_key: str, keys: DataFrame) -> DataFrame:
     """Left join to a table that may hold one key many times; ``table_key`` is dropped.
 

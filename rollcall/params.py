@@ -100,7 +100,8 @@ class SamplePlan:
     """Size and shares of a stratified sample.
 
     Quotas are rounded up one by one, so they may add up to more than ``total`` (250 at 40/35/25 gives
-    100 + 88 + 63 = 251). With ``cap=True`` the surplus is taken off the fill stratum's quota.
+    100 + 88 + 63 = 251). With ``cap=True`` the surplus is taken off the fill stratum's quota. Another
+    ``seed`` draws other persons.
     """
 
     total: int
@@ -109,6 +110,12 @@ class SamplePlan:
     )
     fill: str = "CAD"
     cap: bool = False
+    seed: int | None = None
+
+    @classmethod
+    def for_vacancies(cls, vacancies: int, **options) -> SamplePlan:
+        """Twenty candidates for each vacancy, at least 250."""
+        return cls(total=max(250, 20 * vacancies), **options)
 
     def quotas(self) -> dict[str, int]:
         quota = {

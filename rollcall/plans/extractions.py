@@ -298,6 +298,7 @@ def municipal_benefit_status(
     age: tuple[int, int] = (18, 65),
     municipality: str | None = None,
     any_month: bool = False,
+    seed: int | None = None,
 ) -> DataFrame:
     """Current record per tax id of a municipality with its benefit status, optionally a random sample.
 
@@ -315,7 +316,7 @@ def municipal_benefit_status(
     order = family_recency("FAM_DT_ULT_ATUAL_FAM", _PES_KEY, _FAM_KEY)
     rows = current_by_cpf(found.rows, order, "DOC_NU_CPF_PESSOA")
     if sample_size is not None:
-        rows = simple_sample(rows, sample_size, "DOC_NU_CPF_PESSOA")
+        rows = simple_sample(rows, sample_size, "DOC_NU_CPF_PESSOA", seed)
     rows = _with_schooling(found, rows, found.of_person(reg.schooling), schooling_level(), NOT_INFORMED)
 
     situation = family_situation(

@@ -16,15 +16,13 @@ from rollcall.operators.evidence import (
     evidence_columns,
     payroll_columns,
 )
+from rollcall.operators.joins import scattered
 from rollcall.operators.keysets import family_benefits
 from rollcall.operators.sizing import Measured, measure, measure_keys
 from rollcall.operators.skew import hot_keys, join_unique
 from rollcall.params import Period
 from rollcall.registry import Registry
 
-# Rows without a tax id match nothing; spreading them keeps them from meeting in one join task.
-NULL_KEY_SPREAD = 1024
-
 # The reasons given for each negative answer, per report.
 WORDING = {
     "current_family": {
@@ -65,8 +63,8 @@ def reconcile_report(
     state-3 person and a state-3 family that may be on different occurrences; ``same_row`` wants one
     occurrence with both. ``hot_cpfs`` are tax ids that fill a large part of the list.
     """
-    spread = -(F.pmod(F.xxhash64("NOME", "CPF_RAW"), F.lit(NULL_KEY_SPREAD)) + 1)
-    keyed = people.withColumn("_key", F.coalesce("CPF_NUM", spread.cast("decimal(20,0)")))
+    # The source task is the last sort column: it lets the sort part rows of equal name and tax id.
+    keyed = people.withColumn("_key", scattered("CPF_NUM")).withColumn("_task", F.spark_partition_id())
     joined = join_unique(keyed, per_cpf.withColumnRenamed("CPF_NUM", "_key"), "_key", hot_cpfs, "left")
 
     active = _is_set("FL_MESMA_LINHA") if same_row else _is_set("FL_PESSOA_3") & _is_set("FL_FAM_3")
@@ -96,7 +94,8 @@ def reconcile_report(
         reason_payroll.alias("MOTIVO_PBF"),
         F.col("ANY_EST_PESSOA").alias("DEBUG_CO_EST_CADASTRAL_MEMB"),
         F.col("ANY_EST_FAM").alias("DEBUG_CO_EST_CADASTRAL_FAM"),
-    ).orderBy("NOME", "CPF")
+        "_task",
+    ).orderBy("NOME", "CPF", "_task").drop("_task")
 
 
 def reconcile(

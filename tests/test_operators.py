@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rollcall.operators import sampling, sizing
 from rollcall.operators.dedup import current_by_cpf, member_recency, one_per_key
 from rollcall.operators.headcount import count_by_uf
-from rollcall.operators.joins import attach
+from rollcall.operators.joins import attach, scattered
 from rollcall.operators.keysets import families_on_payroll, family_benefits, family_situation, flag_membership
 from rollcall.operators.recency import recency_buckets
 from rollcall.operators.universe import active_universe, policy
@@ -206,3 +206,33 @@ def test_measure_broadcasts_only_below_the_limit(spark):
     assert Counter(r[0] for r in large.frame.collect()) == Counter(range(10))
     kept = sizing.measure(big.where("k < 5"), keep=True)
     assert kept.rows == 5 and kept.frame.count() == 5
+
+
+# Seeds and missing keys ------------------------------------------------------------------------------
+@pytest.mark.parametrize("group_limit", [1000, 0], ids=["top_n", "histogram"])
+def test_a_seed_draws_others_and_repeats_itself(spark, monkeypatch, group_limit):
+    monkeypatch.setattr(sampling, "GROUP_LIMIT_RANKS", group_limit)
+    rows = [f"{i:011d}" for i in range(500)]
+    df = spark.createDataFrame([(r, "CAD") for r in rows], "CPF string, CATEGORIA string")
+    for seed in (1, 2):
+        want = sorted(sorted(rows, key=lambda r: hash_key(f"{seed}:{r}"))[:40])
+        assert sorted(r[0] for r in sampling.simple_sample(df, 40, seed=seed).collect()) == want
+        plan = SamplePlan(40, shares={"CAD": 1}, seed=seed)
+        assert sorted(r[0] for r in sampling.stratified_sample(df, plan).collect()) == want
+
+
+def test_strata_outside_the_plan_do_not_count(spark):
+    rows = [(f"{i:05d}", f"S{i}") for i in range(300)] + [(f"{i:05d}", "CAD") for i in range(300, 400)]
+    df = spark.createDataFrame(rows, "CPF string, CATEGORIA string")
+    got = sampling.stratified_sample(df, SamplePlan(20)).collect()
+    assert len(got) == 20 and {r["CATEGORIA"] for r in got} == {"CAD"}
+
+
+def test_vacancies_give_the_sample_size():
+    assert [SamplePlan.for_vacancies(n).total for n in (0, 12, 13, 100)] == [250, 250, 260, 2000]
+
+
+def test_equal_rows_without_a_number_are_spread(spark):
+    rows = spark.createDataFrame([("X", None)] * 1000, "NOME string, n decimal(20,0)").repartition(16)
+    keys = rows.select(scattered("n").alias("k")).groupBy("k").count().collect()
+    assert len(keys) == 16 and all(r["k"] < 0 and r["count"] < 200 for r in keys)
