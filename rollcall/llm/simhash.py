@@ -2,9 +2,9 @@
 
 Distinct fingerprints are keyed by combinations of bit blocks: with ``m`` blocks, two fingerprints within the radius
 agree on at least ``m - radius`` of them, so each choice of that many blocks is a table, and no link is missed. The
-members of a bucket are held as 64 vertical bit planes; one fingerprint is compared with all of them at once by
-adding the planes' differing bits in carry-save counters, and a comparison ends once every counter exceeds the
-radius. A search visits each member once, so a bucket emits fewer links than it has members.
+members of a bucket are held as 64 vertical bit planes; fingerprints are compared with all of them at once by adding
+the planes' differing bits in carry-save counters, and a comparison ends once every counter exceeds the radius. A
+search visits each member once, so a bucket emits fewer links than it has members.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; null or repeated identifiers are
 rows like any other, and a component's identifier is its smallest one (null only if it has none); an empty table
@@ -13,6 +13,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -34,25 +35,34 @@ SEED = 42
 CHUNK = 1 << 15
 # Fingerprints in a bucket that one task compares at once.
 BLOCK = 8192
+# Words of 64 members compared with rows at once.
+CELLS = 4096
 # Fingerprints an average bucket may have before more blocks are used.
 BUCKET = 64
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Bit b is 1 if it is set in more than half of the shingles' hashes."""
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, repeats included, in parts; nothing for a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = min(width, len(words))
     starts, ends = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], np.uint64)
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Bit b is 1 if it is set in more than half of the shingles' hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts), bitorder="little").tobytes(), "little")
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
 def _signed(x: int) -> int:
@@ -91,19 +101,22 @@ def _key(fp, ranges):
 
 
 def near_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (positions) that connect exactly what pairs within the radius connect: a spanning forest."""
-    n = len(fps)
-    bits = np.unpackbits(fps.astype(np.uint64).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = [int.from_bytes(np.packbits(bits[:, b], bitorder="little").tobytes(), "little") for b in range(64)]
-    full, values, links = (1 << n) - 1, [int(v) & ((1 << 64) - 1) for v in fps.astype(np.uint64)], []
-    waiting = full
-    while waiting:
-        i = (waiting & -waiting).bit_length() - 1
-        waiting ^= 1 << i
-        todo = [i]
-        while todo and waiting:
+    """Links (positions) that connect exactly what pairs within the radius connect: a spanning forest.
+
+    ``fps``: one row of 64-bit words per fingerprint, or one word each.
+    """
+    rows = np.ascontiguousarray(fps, np.uint64).reshape(len(fps), -1)
+    near = {}
+    for at, hits in _within(rows, radius):
+        for i in np.flatnonzero(hits.any(axis=1)).tolist():
+            near[at + i] = int.from_bytes(hits[i].tobytes(), "little")
+    waiting, links = (1 << len(rows)) - 1, []
+    for first in near:
+        todo = [first] if waiting >> first & 1 else []
+        waiting &= ~(1 << first)
+        while todo:
             i = todo.pop()
-            hits = _within(planes, values[i], waiting, full, radius)
+            hits = near[i] & waiting
             waiting ^= hits
             while hits:
                 low = hits & -hits
@@ -114,38 +127,69 @@ def near_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return links
 
 
-def _within(planes: list[int], value: int, among: int, full: int, radius: int) -> int:
-    """Members of ``among`` within the radius of ``value``. Counters hold 0 to 7; beyond, ``over`` remembers."""
-    one = two = four = over = 0
-    for b in range(64):
-        carry = planes[b] ^ full if value >> b & 1 else planes[b]
-        one, carry = one ^ carry, one & carry
-        two, carry = two ^ carry, two & carry
-        four, carry = four ^ carry, four & carry
-        over |= carry
-        if b & 7 == 7:
-            over |= _exceeds(one, two, four, radius)
-            if not among & ~over:
-                return 0
-    return among & ~over
-
-
-def _exceeds(one: int, two: int, four: int, radius: int) -> int:
-    """Counters greater than ``radius`` (0 to 6)."""
-    out, equal = 0, -1
-    for plane, bit in ((four, radius & 4), (two, radius & 2), (one, radius & 1)):
-        if bit:
-            equal &= plane
+def _add(a, b, c):
+    """Carry-save addition of three planes: sum and carry."""
+    half = a ^ b
+    return half ^ c, a & b | half & c
+
+
+def _within(rows: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For some rows at a time, from a position on: the other rows within the radius, as a bit set for each.
+
+    The rows' bits are planes, one bit set over all rows for each bit. The planes' differences from a row are added
+    eight at a time in carry-save counters of 1, 2, 4 and so on; a sum that outgrows its counters is remembered by
+    ``over``, and the rows at hand are done once all others exceed the radius.
+    """
+    n, width = len(rows), -(-len(rows) // 64)
+    bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
+    padded = np.zeros((64 * width, bits.shape[1]), np.uint8)
+    padded[:n] = bits
+    planes = np.packbits(np.ascontiguousarray(padded.T), axis=1, bitorder="little").view(np.uint64)
+    flips = (-bits.astype(np.int64)).view(np.uint64)
+    step = max(1, CELLS // width)
+    for at in range(0, n, step):
+        flip = flips[at : at + step, :, None]
+        mine = np.arange(at, at + len(flip))
+        counters = [np.zeros((len(flip), width), np.uint64) for _ in range(max(3, radius.bit_length()))]
+        over = np.zeros((len(flip), width), np.uint64)
+        over[:, n // 64 :] = ~np.uint64(0) << np.uint64(n % 64) if n % 64 else 0
+        over[mine - at, mine // 64] |= np.uint64(1) << (mine % 64).astype(np.uint64)
+        for b in range(0, len(planes), 8):
+            p = [planes[b + i] ^ flip[:, b + i] for i in range(8)]
+            one, two, four = counters[:3]
+            one, two_a = _add(one, p[0], p[1])
+            one, two_b = _add(one, p[2], p[3])
+            two, four_a = _add(two, two_a, two_b)
+            one, two_a = _add(one, p[4], p[5])
+            one, two_b = _add(one, p[6], p[7])
+            two, four_b = _add(two, two_a, two_b)
+            four, carry = _add(four, four_a, four_b)
+            counters[:3] = one, two, four
+            for i in range(3, len(counters)):
+                counters[i], carry = counters[i] ^ carry, counters[i] & carry
+            over |= carry
+            over |= _exceeds(counters, radius)
+            if not np.any(~over):
+                break
+        yield at, ~over
+
+
+def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Counters greater than ``radius``."""
+    out, equal = np.uint64(0), ~np.uint64(0)
+    for i in reversed(range(len(counters))):
+        if radius >> i & 1:
+            equal = equal & counters[i]
         else:
-            out |= equal & plane
-            equal &= ~plane
+            out = out | equal & counters[i]
+            equal = equal & ~counters[i]
     return out
 
 
 def fingerprint_links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """``fps``: one long column fp, distinct, a stored table of ``n`` rows. Links (a, b) between near fingerprints."""
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be 0 to 6")
+    if not 0 <= radius < 32:
+        raise ValueError("radius must be 0 to 31")
     keys = [F.struct(F.lit(t).alias("t"), _key(F.col("fp"), ranges).alias("key")) for t, ranges in enumerate(tables(n, radius))]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
     groups = ["t", "key", "_lo", "_hi"]

@@ -1,0 +1,135 @@
+"""SimHash near-dedup at a given similarity: wide fingerprints of the sets of shingles.
+
+64 bits cannot tell a similarity of 0.8 from one of 0.6; 256 can for most pairs. The share of differing bits estimates
+the angle between two sets of shingles, so a least similarity becomes a radius. Distinct fingerprints meet in tables
+keyed by chosen bits, as many tables as find a pair at the radius with a probability of 1 - ``MISS``, and the members
+of a bucket are compared as bit planes (``simhash.near_links``).
+
+Defined cases: a null or blank text has fingerprint zero and links like any other; null or repeated identifiers are
+rows like any other, a group keeps its row with the smallest identifier; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import random
+from math import acos, ceil, log, log2, pi, sqrt
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rollcall.llm.buckets import block_pairs
+from rollcall.llm.components import components
+from rollcall.llm.simhash import _signed, near_links, shingle_hashes
+from rollcall.llm.storage import numbered, settle
+from rollcall.llm.streams import sorted_groups, tidy
+
+WORDS = 4
+BITS = 64 * WORDS
+NAMES = [f"fp{i}" for i in range(WORDS)]
+SHINGLE = 5
+SIMILARITY = 0.8
+# Standard deviations by which the radius exceeds the expected distance of a pair of the least similarity.
+MARGIN = 1.0
+# Chance that the tables miss a pair at the radius.
+MISS = 0.01
+# Fingerprints an average bucket may have before keys get another bit, and those one task compares at once.
+BUCKET = 1024
+BLOCK = 8192
+# Hashes whose bits are counted at once, a multiple of 255.
+PART = 255 * 32
+
+
+def radius_of(similarity: float = SIMILARITY, margin: float = MARGIN) -> int:
+    """Differing bits allowed: those expected of two sets of one size and that Jaccard similarity, plus the margin."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(BITS * share + margin * sqrt(BITS * share * (1 - share)))
+
+
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Another 64 bits of each hash: the finaliser of SplitMix64 (fixed values)."""
+    z = hashes + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def wide_fingerprint(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """``WORDS`` words; a bit is 1 if it is set in more than half of the hashes of the distinct shingles."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width)]
+    if not parts:
+        return np.zeros(WORDS, np.uint64)
+    hashes = np.unique(np.concatenate(parts))
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), PART):
+        some = hashes[at : at + PART]
+        words = np.zeros((-(-len(some) // 255) * 255, WORDS), np.uint64)
+        for w in range(WORDS):
+            words[: len(some), w] = _mixed(some, w)
+        bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+        counts += bits.reshape(-1, 255, BITS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def with_wide_fingerprint(df: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``df`` without ``text``, plus the fingerprint as signed longs ``NAMES``."""
+    kept = [c for c in df.columns if c != text]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([wide_fingerprint(x.as_py(), width) for x in batch.column(text)], np.uint64).reshape(-1, WORDS).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(found[:, w])) for w in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, *NAMES])
+
+    return df.mapInArrow(tidy(run), f"{schema}, " + ", ".join(f"{n} long" for n in NAMES))
+
+
+def bit_choices(n: int, radius: int) -> list[list[int]]:
+    """Bits of each table's key, for ``n`` fingerprints."""
+    k = max(0, ceil(log2(n / BUCKET))) if n else 0
+    met = (1 - radius / BITS) ** k
+    count = 1 if met == 1 else ceil(log(MISS) / log(1 - met))
+    return [sorted(random.Random(t).sample(range(BITS), k)) for t in range(count)]
+
+
+def _key(bits: list[int]):
+    masks = [sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(WORDS)]
+    return F.xxhash64(*[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(NAMES, masks, strict=True)])
+
+
+def wide_links(fps: DataFrame, n: int, radius: int) -> DataFrame:
+    """``fps``: node and ``NAMES``, distinct, a stored table of ``n`` rows. Links (a, b) between near nodes."""
+    keys = [F.struct(F.lit(t).alias("t"), _key(bits).alias("key")) for t, bits in enumerate(bit_choices(n, radius))]
+    rows = fps.select("node", *NAMES, F.explode(F.array(*keys)).alias("k")).select("node", *NAMES, "k.t", "k.key")
+    groups = ["t", "key", "_lo", "_hi"]
+    met = block_pairs(rows, ["t", "key"], "node", BLOCK).select("node", *NAMES, *groups)
+
+    def run(batches):
+        for group in sorted_groups(batches, groups):
+            links = near_links(np.stack([group.column(c).to_numpy().view(np.uint64) for c in NAMES], axis=1), radius)
+            if links:
+                nodes, (a, b) = group.column("node").to_numpy(), np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+
+    return met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(tidy(run), "a long, b long")
+
+
+def wide_groups(docs: DataFrame, id_col: str, text_col: str, row_col: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs``: its row, and the row its group keeps."""
+    marked = settle(with_wide_fingerprint(docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width=width))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    fps = settle(marked.groupBy(*NAMES).agg(best, F.min("row").alias("node")))
+    found = components(wide_links(fps.select("node", *NAMES), fps.count(), radius_of(similarity)))
+    rooted = fps.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = rooted.groupBy("root").agg(F.min("best").alias("first"))
+    named = settle(rooted.join(whole, "root").select(*NAMES, F.col("first.row").alias("first_row")))
+    return marked.join(named, NAMES).select(F.col("row").alias(row_col), "first_row")
+
+
+def keep_first_of_wide_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near copies, columns as they are. ``docs`` should be a stored table."""
+    rows = numbered(docs)
+    dropped = wide_groups(rows, id_col, text_col, "_row", width, similarity).where("first_row <> _row").select("_row")
+    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)

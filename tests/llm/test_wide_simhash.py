@@ -1,0 +1,102 @@
+"""Wide fingerprints and their bit-sliced comparison against brute force."""
+
+from __future__ import annotations
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from rollcall.llm import simhash, wide_simhash
+from rollcall.llm.storage import numbered
+
+SCHEMA = "doc_id long, text string, fp0 string"
+RNG = random.Random(11)
+WORDS = ["".join(RNG.choices("aeinorst", k=RNG.randint(3, 8))) for _ in range(500)]
+
+
+def edited(words, n, seed):
+    rng, out = random.Random(seed), list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = rng.choice(WORDS)
+    return out
+
+
+def roots(n, pairs):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize(("words", "radius"), [(1, 0), (1, 4), (1, 7), (4, 8), (4, 44)])
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 200])
+def test_bit_planes_link_what_pairs_link(words, radius, n):
+    rng = np.random.default_rng(n * radius + words)
+    fps = rng.integers(0, 2**64, (max(1, n // 3), words), np.uint64)[rng.integers(0, max(1, n // 3), n)]
+    for _ in range(radius // 2 + 1):
+        fps[np.arange(n), rng.integers(0, words, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    bits = np.unpackbits(fps.view(np.uint8), axis=1)
+    near = [(i, j) for i, j in itertools.combinations(range(n), 2) if (bits[i] != bits[j]).sum() <= radius]
+    links = simhash.near_links(fps, radius)
+    assert set(map(frozenset, links)) <= set(map(frozenset, near))
+    assert roots(n, links) == roots(n, near)
+
+
+def test_a_bit_is_the_majority_of_distinct_shingles():
+    text = "A b c d e f A b c d e f g h"
+    words = text.lower().split()
+    hashes = np.array(sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)}), np.uint64)
+    got = wide_simhash.wide_fingerprint(text)
+    for w in range(wide_simhash.WORDS):
+        mixed = wide_simhash._mixed(hashes, w).tolist()
+        assert int(got[w]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
+    long = " ".join(random.Random(1).choices(WORDS, k=40_000))
+    assert wide_simhash.wide_fingerprint(long).tolist() == wide_simhash.wide_fingerprint(long.replace(" ", "\n ")).tolist()
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark, tmp_path_factory):
+    """Ten texts of 300 words with five copies of two changed words each, and plain, blank, null and repeated rows."""
+    out, groups = [], []
+    for g in range(10):
+        base = random.Random(g).choices(WORDS, k=300)
+        ids = [100 * g + i for i in range(6)]
+        groups.append(ids)
+        out += [(i, " ".join(edited(base, 2 if i % 100 else 0, i)), None) for i in ids]
+    out += [(5000 + i, " ".join(random.Random(900 + i).choices(WORDS, k=k)), "x") for i, k in enumerate([1, 2, 3, 4, 5, 6, 8, 12, 50, 50, 50, 3000])]
+    out += [(6000, "", None), (6001, None, None), (6002, " \n", "y"), (None, out[0][1], None), (7000, out[-1][1], None), (7000, out[-1][1], None)]
+    path = str(tmp_path_factory.mktemp("wide") / "docs")
+    spark.createDataFrame(out, SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.parquet(path), groups
+
+
+@pytest.mark.parametrize(("bucket", "block"), [(1024, 8192), (4, 4)])
+def test_one_of_each_group_stays(near_copies, monkeypatch, bucket, block):
+    monkeypatch.setattr(wide_simhash, "BUCKET", bucket)
+    monkeypatch.setattr(wide_simhash, "BLOCK", block)
+    docs, groups = near_copies
+    kept = wide_simhash.keep_first_of_wide_groups(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    assert ids == sorted([g[0] for g in groups] + list(range(5000, 5012)) + [6000])
+
+
+def test_an_empty_table(near_copies):
+    docs, _ = near_copies
+    assert wide_simhash.keep_first_of_wide_groups(docs.limit(0)).count() == 0
+
+
+def test_a_wider_radius_for_a_smaller_similarity():
+    assert wide_simhash.radius_of(1.0) == 0 < wide_simhash.radius_of(0.9) < wide_simhash.radius_of(0.8) < 64
+    counts = [len(wide_simhash.bit_choices(n, wide_simhash.radius_of())) for n in (0, 10, 10**5, 10**7, 10**9)]
+    assert counts[:2] == [1, 1] and counts == sorted(counts)
