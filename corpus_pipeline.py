@@ -10,14 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, exact_dedup, mixing, quality, simhash
+from rollcall.llm import bpe, exact_dedup, mixing, quality, wide_simhash
 from rollcall.llm.queries import vocabulary_path
 from rollcall.llm.storage import documents, settle, ship
 
 
-NEAR_BITS = 6
-
-
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality scorer keeps."""
     ship(spark)
@@ -31,13 +28,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, at most ``NEAR_BITS`` differing bits.
-
-    Wide enough for copies of similarity 0.8 and more as far as 64 bits can tell them (README gives the share found),
-    and still so narrow that unrelated documents meet once in some 10^11 pairs.
-    """
+    """One document of each group of near copies: shingles of five words, an estimated similarity of 0.8 or more."""
     ship(spark)
-    return simhash.keep_first_of_groups(docs, width=5, radius=NEAR_BITS)
+    return wide_simhash.keep_first_of_wide_groups(docs, width=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
