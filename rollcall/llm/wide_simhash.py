@@ -1,16 +1,23 @@
 """SimHash near-dedup at a given similarity: wide fingerprints of the sets of shingles.
 
 64 bits cannot tell a similarity of 0.8 from one of 0.6; 256 can for most pairs. The share of differing bits estimates
-the angle between two sets of shingles, so a least similarity becomes a radius. Distinct fingerprints meet in tables
-keyed by chosen bits, as many tables as find a pair at the radius with a probability of 1 - ``MISS``, and the members
-of a bucket are compared as bit planes (``simhash.near_links``).
-
-Defined cases: a null or blank text has fingerprint zero and links like any other; null or repeated identifiers are
-rows like any other, a group keeps its row with the smallest identifier; an empty table gives an empty result.
+the angle between two sets of shingles, so a least similarity becomes a radius. Fingerprints of distinct sets meet in
+tables keyed by chosen bits, as many tables as find a pair at the radius with a probability of 1 - ``MISS``, and the
+members of a bucket are compared as bit planes. A pair within the radius is a candidate only: it links if the exact
+Jaccard similarity of its two sets of shingle hashes is at least the one asked for.
+
+Candidates are named in rounds. Each member of a bucket names its nearest candidates first; those of a later round are
+named only between groups that the links found so far leave apart, until no bucket has such a pair left. So every
+candidate is either compared or already inside a group, and a bucket of near copies needs a few pairs a member.
+
+Defined cases: a null or blank text has no shingles, and is near to texts without shingles only; null or repeated
+identifiers are rows like any other, a group keeps its row with the smallest identifier; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 from math import acos, ceil, log, log2, pi, sqrt
 
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.buckets import block_pairs
 from rollcall.llm.components import components
-from rollcall.llm.simhash import _signed, near_links, shingle_hashes
+from rollcall.llm.simhash import _signed, _within, shingle_hashes
 from rollcall.llm.storage import numbered, settle
 from rollcall.llm.streams import sorted_groups, tidy
 
@@ -37,6 +44,11 @@ MISS = 0.01
 # Fingerprints an average bucket may have before keys get another bit, and those one task compares at once.
 BUCKET = 1024
 BLOCK = 8192
+# Nearest candidates a member of a bucket names in the first round, and how many times as many after each further one.
+NEAREST = 1
+GROWTH = 8
+# Row numbers that are broadcast at most.
+FEW = 1_000_000
 # Hashes whose bits are counted at once, a multiple of 255.
 PART = 255 * 32
 
@@ -55,12 +67,18 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
+def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def wide_fingerprint(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """``WORDS`` words; a bit is 1 if it is set in more than half of the hashes of the distinct shingles."""
-    parts = [np.unique(h) for h in shingle_hashes(text, width)]
-    if not parts:
-        return np.zeros(WORDS, np.uint64)
-    hashes = np.unique(np.concatenate(parts))
+    return _majority(shingle_set(text, width))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), PART):
         some = hashes[at : at + PART]
@@ -73,17 +91,33 @@ def wide_fingerprint(text: str | None, width: int = SHINGLE) -> np.ndarray:
 
 
 def with_wide_fingerprint(df: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``df`` without ``text``, plus the fingerprint as signed longs ``NAMES``."""
+    """``df`` without ``text``, plus the fingerprint as signed longs ``NAMES`` and a digest of the set, ``shingles``."""
     kept = [c for c in df.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches):
         for batch in batches:
-            found = np.array([wide_fingerprint(x.as_py(), width) for x in batch.column(text)], np.uint64).reshape(-1, WORDS).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(found[:, w])) for w in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, *NAMES])
+            found, digests = np.zeros((batch.num_rows, WORDS), np.uint64), []
+            for i, x in enumerate(batch.column(text)):
+                hashes = shingle_set(x.as_py(), width)
+                found[i] = _majority(hashes)
+                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+            columns = [pa.array(np.ascontiguousarray(found[:, w]).view(np.int64)) for w in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns, pa.array(digests, pa.binary())], names=[*kept, *NAMES, "shingles"])
 
-    return df.mapInArrow(tidy(run), f"{schema}, " + ", ".join(f"{n} long" for n in NAMES))
+    return df.mapInArrow(tidy(run), f"{schema}, " + ", ".join(f"{n} long" for n in NAMES) + ", shingles binary")
+
+
+def with_shingles(df: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``node`` of ``df``, and its set as an array of signed longs."""
+
+    def run(batches):
+        for batch in batches:
+            for i, x in enumerate(batch.column(text)):
+                hashes = pa.array([shingle_set(x.as_py(), width).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), hashes], names=["node", "shingles"])
+
+    return df.select("node", text).mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def bit_choices(n: int, radius: int) -> list[list[int]]:
@@ -99,33 +133,96 @@ def _key(bits: list[int]):
     return F.xxhash64(*[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(NAMES, masks, strict=True)])
 
 
-def wide_links(fps: DataFrame, n: int, radius: int) -> DataFrame:
-    """``fps``: node and ``NAMES``, distinct, a stored table of ``n`` rows. Links (a, b) between near nodes."""
+def near_pairs(fps: np.ndarray, roots: np.ndarray, radius: int, first: int, stop: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (positions) within the radius and of different roots, where the second is among the nearest of the first,
+    from place ``first`` up to ``stop``; and whether there are such pairs from ``stop`` on."""
+    rows, ones, others, more = np.ascontiguousarray(fps, np.uint64), [], [], False
+    for at, hits in _within(rows, radius):
+        i, j = np.nonzero(np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little"))
+        if not len(i):
+            continue
+        order = np.lexsort((j, np.bitwise_count(rows[at + i] ^ rows[j]).sum(1), i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        apart = roots[at + i] != roots[j]
+        now = apart & (place >= first) & (place < stop)
+        ones.append(at + i[now])
+        others.append(j[now])
+        more |= bool((apart & (place >= stop)).any())
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(ones or none), np.concatenate(others or none), more
+
+
+BUCKETS = ["t", "key", "_lo", "_hi"]
+
+
+def _candidates(rooted: DataFrame, n: int, radius: int, first: int, stop: int, left: DataFrame | None) -> DataFrame:
+    """``rooted``: node, ``NAMES`` and root. Pairs (a, b) of a round, and rows without a pair that name the buckets
+    with more of them. ``left``: the buckets to look at, or all."""
     keys = [F.struct(F.lit(t).alias("t"), _key(bits).alias("key")) for t, bits in enumerate(bit_choices(n, radius))]
-    rows = fps.select("node", *NAMES, F.explode(F.array(*keys)).alias("k")).select("node", *NAMES, "k.t", "k.key")
-    groups = ["t", "key", "_lo", "_hi"]
-    met = block_pairs(rows, ["t", "key"], "node", BLOCK).select("node", *NAMES, *groups)
+    rows = rooted.select("node", *NAMES, "root", F.explode(F.array(*keys)).alias("k")).select("node", *NAMES, "root", "k.t", "k.key")
+    met = block_pairs(rows, ["t", "key"], "node", BLOCK).select("node", *NAMES, "root", *BUCKETS)
+    if left is not None:
+        met = met.join(left, BUCKETS, "left_semi")
 
     def run(batches):
-        for group in sorted_groups(batches, groups):
-            links = near_links(np.stack([group.column(c).to_numpy().view(np.uint64) for c in NAMES], axis=1), radius)
-            if links:
-                nodes, (a, b) = group.column("node").to_numpy(), np.array(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
-
-    return met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(tidy(run), "a long, b long")
+        for group in sorted_groups(batches, BUCKETS):
+            roots = group.column("root").to_numpy()
+            if (roots == roots[0]).all():
+                continue
+            a, b, more = near_pairs(np.stack([group.column(c).to_numpy().view(np.uint64) for c in NAMES], axis=1), roots, radius, first, stop)
+            nodes = group.column("node").to_numpy()
+            a, b = np.unique(np.sort(np.stack([nodes[a], nodes[b]]), axis=0), axis=1) if len(a) else (a, b)
+            blank = pa.nulls(len(a), pa.int64())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), blank.cast(pa.int32()), blank, blank.cast(pa.int32()), blank.cast(pa.int32())], names=["a", "b", *BUCKETS])
+            if more:
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(group.column(c).slice(0, 1) for c in BUCKETS)], names=["a", "b", *BUCKETS])
+
+    return met.repartition(*BUCKETS).sortWithinPartitions(*BUCKETS).mapInArrow(tidy(run), "a long, b long, t int, key long, _lo int, _hi int")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``pairs`` (a, b, a stored table) plus ``near``: whether their sets are at least that similar."""
+    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = F.broadcast(nodes) if nodes.count() <= FEW else nodes
+    sets = settle(with_shingles(texts.join(wanted, "node", "left_semi"), width=width))
+    one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    return both.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common")) >= similarity).alias("near"))
+
+
+def wide_components(fps: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) of nodes with a link. ``fps``: node and ``NAMES``, one row for each distinct set, a stored table;
+    ``texts``: node and text, for these nodes at least."""
+    n, radius = fps.count(), radius_of(similarity)
+    first, stop, left, done, found = 0, NEAREST, None, None, None
+    while True:
+        rooted = fps.withColumn("root", F.col("node")) if found is None else fps.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = settle(_candidates(rooted, n, radius, first, stop, left))
+        pairs = named.where("a is not null").select("a", "b").distinct()
+        pairs = settle(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        compared = settle(_compared(pairs, texts, width, similarity))
+        done = compared if done is None else done.unionByName(compared)
+        found = components(done.where("near").select("a", "b"))
+        left = named.where("a is null").select(*BUCKETS)
+        if not left.limit(1).count():
+            return found
+        first, stop = stop, stop * GROWTH
 
 
 def wide_groups(docs: DataFrame, id_col: str, text_col: str, row_col: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: its row, and the row its group keeps."""
-    marked = settle(with_wide_fingerprint(docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width=width))
+    texts = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marked = settle(with_wide_fingerprint(texts, width=width))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    fps = settle(marked.groupBy(*NAMES).agg(best, F.min("row").alias("node")))
-    found = components(wide_links(fps.select("node", *NAMES), fps.count(), radius_of(similarity)))
+    fps = settle(marked.groupBy("shingles", *NAMES).agg(best, F.min("row").alias("node")))
+    found = wide_components(fps.select("node", *NAMES), texts.select(F.col("row").alias("node"), "text"), width, similarity)
     rooted = fps.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = rooted.groupBy("root").agg(F.min("best").alias("first"))
-    named = settle(rooted.join(whole, "root").select(*NAMES, F.col("first.row").alias("first_row")))
-    return marked.join(named, NAMES).select(F.col("row").alias(row_col), "first_row")
+    named = settle(rooted.join(whole, "root").select("shingles", F.col("first.row").alias("first_row")))
+    return marked.join(named, "shingles").select(F.col("row").alias(row_col), "first_row")
 
 
 def keep_first_of_wide_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -1,0 +1,79 @@
+"""Near-dedup around its threshold against exact Jaccard similarities."""
+
+from __future__ import annotations
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from rollcall.llm import wide_simhash
+
+SCHEMA = "doc_id long, text string"
+WORDS = ["".join(random.Random(i).choices("aeinorst", k=6)) + str(i) for i in range(500)]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def first_of_groups(n, pairs):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {root(i) for i in range(n)}
+
+
+@pytest.fixture(scope="module")
+def graded(spark, tmp_path_factory):
+    """Pairs whose similarity is about 0.66 to 0.95, one template with 40 fillings of its own, and what must stay."""
+    texts = []
+    for g in range(120):
+        rng = random.Random(7000 + g)
+        base = rng.choices(WORDS, k=rng.randint(200, 400))
+        at, new = rng.randint(0, 100), rng.choices(WORDS, k=int(len(base) * rng.uniform(0.02, 0.18)))
+        texts += [" ".join(base), " ".join(base[:at] + new + base[at + len(new) :])]
+    base = random.Random(3).choices(WORDS, k=300)
+    texts += [" ".join(base[:100] + random.Random(8000 + i).choices(WORDS, k=40) + base[140:]) for i in range(40)]
+    path = str(tmp_path_factory.mktemp("graded") / "docs")
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3).write.parquet(path)
+    pairs = [*((2 * g, 2 * g + 1) for g in range(120)), *itertools.combinations(range(240, 280), 2)]
+    alike = {p: jaccard(texts[p[0]], texts[p[1]]) for p in pairs}
+    assert sum(0.7 <= s < 0.8 for s in alike.values()) > 20 and sum(0.8 <= s < 0.9 for s in alike.values()) > 20
+    return spark.read.parquet(path), first_of_groups(len(texts), [p for p, s in alike.items() if s >= 0.8])
+
+
+def kept_ids(docs):
+    return {r["doc_id"] for r in wide_simhash.keep_first_of_wide_groups(docs).collect()}
+
+
+def test_nothing_below_the_threshold_is_lost(graded):
+    docs, must_stay = graded
+    assert must_stay <= kept_ids(docs)
+
+
+@pytest.mark.parametrize("first,stop", [(0, 1), (1, 8), (0, 10**6)])
+def test_places_of_near_pairs(first, stop):
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**64, (20, 4), np.uint64)[rng.integers(0, 20, 150)]
+    for _ in range(12):
+        fps[np.arange(150), rng.integers(0, 4, 150)] ^= np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)
+    roots = rng.integers(0, 100, 150)
+    want, more = set(), False
+    for i in range(150):
+        distance = {j: int(np.bitwise_count(fps[i] ^ fps[j]).sum()) for j in range(150) if j != i}
+        for place, j in enumerate(sorted((j for j in distance if distance[j] <= 20), key=lambda j: (distance[j], j))):
+            more |= roots[i] != roots[j] and place >= stop
+            if roots[i] != roots[j] and first <= place < stop:
+                want.add((i, j))
+    a, b, left = wide_simhash.near_pairs(fps, roots, 20, first, stop)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and left == more
