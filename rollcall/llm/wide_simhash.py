@@ -38,9 +38,10 @@ NAMES = [f"fp{i}" for i in range(WORDS)]
 SHINGLE = 5
 SIMILARITY = 0.8
 # Standard deviations by which the radius exceeds the expected distance of a pair of the least similarity.
-MARGIN = 1.0
-# Chance that the tables miss a pair at the radius.
-MISS = 0.01
+# The exact check removes the surplus.
+MARGIN = 3.0
+# Chance that the tables miss a pair at the radius; closer ones are missed less often.
+MISS = 0.003
 # Fingerprints an average bucket may have before keys get another bit, and those one task compares at once.
 BUCKET = 1024
 BLOCK = 8192

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from math import acos, comb, pi
 
 import numpy as np
 import pytest
@@ -61,6 +62,19 @@ def test_nothing_below_the_threshold_is_lost(graded):
     assert must_stay <= kept_ids(docs)
 
 
+def test_planted_copies_at_the_threshold_go(graded):
+    docs, must_stay = graded
+    assert kept_ids(docs) == must_stay
+
+
+@pytest.mark.parametrize("n", [10**4, 10**7])
+def test_recall_at_the_threshold_exceeds_99_percent(n):
+    radius, bits = wide_simhash.radius_of(), wide_simhash.BITS
+    share, tables = acos(2 * 0.8 / 1.8) / pi, wide_simhash.bit_choices(n, radius)
+    found = sum(comb(bits, d) * share**d * (1 - share) ** (bits - d) * (1 - (1 - comb(bits - d, len(tables[0])) / comb(bits, len(tables[0]))) ** len(tables)) for d in range(radius + 1))
+    assert found > 0.99
+
+
 @pytest.mark.parametrize("first,stop", [(0, 1), (1, 8), (0, 10**6)])
 def test_places_of_near_pairs(first, stop):
     rng = np.random.default_rng(5)
