@@ -38,10 +38,29 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A row number that two reads of the same stored table agree on; it tells repeated rows apart."""
+    """A row number that every read agrees on; it tells repeated rows apart.
+
+    Rows of Parquet files are numbered by their place in their file, which no split of the files changes. Any other
+    frame is stored once with its numbers, and read from there.
+    """
     if name in df.columns:
         raise ValueError(f"column {name} is reserved")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    if not _scans_parquet(df):
+        return settle(df.withColumn(name, F.monotonically_increasing_id()))
+    file, ordinal = f"{name}_file", f"{name}_ordinal"
+    placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name))
+    files = sorted(r[0] for r in placed.select(file).distinct().collect())
+    ordinals = df.sparkSession.createDataFrame(list(enumerate(files)), f"{ordinal} long, {file} string")
+    number = F.shiftleft(F.col(ordinal), 40) + F.col(name)
+    return placed.join(F.broadcast(ordinals), file).select(*df.columns, number.alias(name))
+
+
+def _scans_parquet(df: DataFrame) -> bool:
+    """Whether ``df`` is rows of Parquet files, at most filtered or with other columns."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.simpleString(1).lower().split() and "_metadata" not in df.columns
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
