@@ -53,7 +53,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encoded),
 ]
 
-# Hash sketches, trained scores and byte-pair merges are beyond SQL; tests compare run() with a brute-force version.
+# Hash sketches, trained scores and byte-pair merges are beyond SQL; tests compare run() with its stages,
+# and the two dedup stages with brute force.
 ORACLE_SQL = None
 
 
