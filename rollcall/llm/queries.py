@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, embedding_dedup, exact_dedup, language_id, licenses, mixing, quality, sharding, simhash, substring_dedup
+from rollcall.llm import bpe, embedding_dedup, exact_dedup, language_id, licenses, mixing, quality, sharding, simhash, substring_dedup, warc
 from rollcall.llm.storage import documents, numbered, settle, ship
 
 SHARDS = 24
@@ -133,6 +133,32 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), quality.fit(docs))
 
 
+def op12_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    read = warc.read_records(warc.write(pages, "page_id", "url", "html"))
+    return read.select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+# Base32 of a digest: four letters for each five hex digits.
+_DIGIT = "strpos('0123456789abcdef', substr(hex, 5 * (i // 4) + {}, 1)) - 1"
+_TWENTY_BITS = "((((" + _DIGIT.format(1) + ") * 16 + " + _DIGIT.format(2) + ") * 16 + " + _DIGIT.format(3) + ") * 16 + " + _DIGIT.format(4) + ") * 16 + " + _DIGIT.format(5)
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+top AS (SELECT page_id, body, hex, max(page_id) OVER (PARTITION BY body) AS best FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((({_TWENTY_BITS}) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to
+FROM top
+"""
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +181,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_canonical_digests,
         op9_suffix_dedup,
         op10_weak_labels,
+        op12_chunked_warc,
     )
 }
 
-ORACLES = {"op2_patricia_owners": OP2_SQL, "op5_p_stable_hashing": OP5_SQL, "op8_canonical_digests": OP8_SQL}
+ORACLES = {
+    "op2_patricia_owners": OP2_SQL,
+    "op5_p_stable_hashing": OP5_SQL,
+    "op8_canonical_digests": OP8_SQL,
+    "op12_chunked_warc": OP12_SQL,
+}
