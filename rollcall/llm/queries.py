@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, embedding_dedup, exact_dedup, language_id, licenses, mixing, quality, sharding, simhash, substring_dedup, warc
+from rollcall.llm import bpe, embedding_dedup, exact_dedup, language_id, lexical_search, licenses, mixing, quality, sharding, simhash, substring_dedup, warc
 from rollcall.llm.storage import documents, numbered, settle, ship
 
 SHARDS = 24
@@ -159,6 +159,28 @@ FROM top
 """
 
 
+def op13_block_max_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs = lexical_search.build_index(documents(spark, sf_dir))
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.search(index, n_docs, asked, k=10).select("item_id", "rank", "doc_id", "score")
+
+
+_TERMS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + lexical_search.TERM + "')"
+OP13_SQL = f"""
+WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format("text")}) AS term FROM documents) GROUP BY doc_id, term),
+n AS (SELECT doc_id, CAST(sum(tf) AS HUGEINT) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS nn, sum(n) AS ll FROM n),
+m AS (SELECT doc_id, CAST(10 + (90 * n * nn) // ll AS BIGINT) AS m FROM n, total),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_suffix_dedup,
         op10_weak_labels,
         op12_chunked_warc,
+        op13_block_max_maxscore,
     )
 }
 
@@ -190,4 +213,5 @@ ORACLES = {
     "op5_p_stable_hashing": OP5_SQL,
     "op8_canonical_digests": OP8_SQL,
     "op12_chunked_warc": OP12_SQL,
+    "op13_block_max_maxscore": OP13_SQL,
 }
