@@ -9,19 +9,23 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, embedding_dedup, exact_dedup, language_id, lexical_search, licenses, mixing, quality, sharding, simhash, substring_dedup, warc
+from rollcall.llm import alignment, bpe, embedding_dedup, exact_dedup, language_id, lexical_search, licenses, mixing, quality, sharding, simhash, substring_dedup, warc
 from rollcall.llm.storage import documents, numbered, settle, ship
 
 SHARDS = 24
 
 
-def vocabulary_path() -> str:
-    """The word-level vocabulary of the installed public tokenizers; pass another path to the operator if it lies elsewhere."""
+def tokenizer_path(name: str) -> str:
+    """A file of the installed public tokenizers; pass another path to the operator if it lies elsewhere."""
     if importlib.util.find_spec("public_tokenizers"):
         import public_tokenizers
 
-        return str(public_tokenizers.path("word_bpe_49k.json"))
-    return "/opt/tokenizers/word_bpe_49k.json"
+        return str(public_tokenizers.path(name))
+    return f"/opt/tokenizers/{name}"
+
+
+def vocabulary_path() -> str:
+    return tokenizer_path("word_bpe_49k.json")
 
 
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +137,11 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), quality.fit(docs))
 
 
+def op11_perfect_hash_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     read = warc.read_records(warc.write(pages, "page_id", "url", "html"))
@@ -203,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_canonical_digests,
         op9_suffix_dedup,
         op10_weak_labels,
+        op11_perfect_hash_alignment,
         op12_chunked_warc,
         op13_block_max_maxscore,
     )

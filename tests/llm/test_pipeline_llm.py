@@ -49,4 +49,4 @@ def test_stages_take_an_empty_table(spark, stages):
 
 
 def test_queries_are_numbered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
