@@ -44,6 +44,8 @@ BLOCK = 128
 SHARD_BYTES = 16 << 20
 # Bytes of query text searched for together.
 QUERY_BYTES = 8 << 20
+# Rows of the index handed on together.
+ROWS = 20_000
 # Text whose words are split at a time.
 PIECE = 1 << 20
 LANES = 64
@@ -80,20 +82,30 @@ def impacts(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
     return 1_000_000_000 * tf // (1000 * tf + 8 * norm)
 
 
-def pack(docs: np.ndarray, tf: np.ndarray) -> bytes:
-    """Postings as gaps and counts, each in as few bytes as the largest of the block needs."""
-    out = []
-    for values in (np.diff(docs, prepend=-1) - 1, tf):
-        most = int(values.max())
-        width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-        out += [bytes([width]), values.astype(f"<u{width}").tobytes()]
-    return out[0] + out[2] + out[1] + out[3]
-
-
-def unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    wide, cut = data[0], 2 + n * data[0]
-    gaps = np.frombuffer(data, f"<u{wide}", n, 2).astype(np.int64)
-    return np.cumsum(gaps + 1) - 1, np.frombuffer(data, f"<u{data[1]}", n, cut).astype(np.int64)
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes of seven bits, low bits first, the last of a number without the eighth bit; and how many bytes
+    each has."""
+    values = values.astype(np.uint64)
+    width = np.ones(len(values), np.int64)
+    for i in range(1, 10):
+        width += values >> np.uint64(7 * i) > 0
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(int(width.max(initial=0))):
+        has = np.flatnonzero(width > i)
+        part = (values[has] >> np.uint64(7 * i)).astype(np.uint8) & np.uint8(127)
+        out[ends[has] - width[has] + i] = part | (width[has] > i + 1).astype(np.uint8) << np.uint8(7)
+    return out, width
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and counts of a block: gap and count of each posting in turn."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    shift = 7 * (np.arange(len(raw)) - np.repeat(starts, ends - starts + 1))
+    values = np.add.reduceat((raw & 127).astype(np.int64) << shift, starts)
+    return np.cumsum(values[::2] + 1) - 1, values[1::2]
 
 
 # Building
@@ -112,43 +124,60 @@ def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
 
 class _Shard:
-    """The postings of documents met so far."""
+    """The postings of documents met so far, in the order of documents."""
 
     def __init__(self):
-        self.lists: dict[bytes, tuple[array, array]] = {}
+        self.terms: dict[bytes, int] = {}
         self.ids: list[int | None] = []
         self.norms: list[int] = []
+        self.sizes, self.numbers, self.tf = array("q"), array("q"), array("q")
         self.bytes = 0
 
     def add(self, doc_id: int | None, text: str, norm_of) -> None:
-        found = term_counts(text)
+        found, terms = term_counts(text), self.terms
         self.bytes += len(text)
-        if not found:
-            return
-        doc = len(self.ids)
-        self.ids.append(doc_id)
-        self.norms.append(norm_of(found.total()))
-        for term, tf in found.items():
-            held = self.lists.get(term)
-            if held is None:
-                held = self.lists[term] = (array("q"), array("q"))
-            held[0].append(doc)
-            held[1].append(tf)
-
-    def rows(self, shard: int) -> Iterator[tuple]:
+        if found:
+            self.ids.append(doc_id)
+            self.norms.append(norm_of(found.total()))
+            self.sizes.append(len(found))
+            self.numbers.extend([terms.setdefault(t, len(terms)) for t in found])
+            self.tf.extend(found.values())
+
+    def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
+        """One row on the documents, then the blocks of each term."""
         if not self.ids:
             return
         norms = np.array(self.norms, np.int64)
         known = np.array([i is not None for i in self.ids], np.uint8)
         ids = np.array([i or 0 for i in self.ids], np.int64)
-        yield shard, "", 0, len(ids), len(ids) - 1, 0, known.tobytes() + ids.tobytes() + norms.tobytes()
-        for term in sorted(self.lists):
-            docs, tf = (np.frombuffer(a, np.int64) for a in self.lists[term])
-            gains = impacts(tf, norms[docs])
-            name = term.decode()
-            for number, at in enumerate(range(0, len(docs), BLOCK)):
-                d, t = docs[at : at + BLOCK], tf[at : at + BLOCK]
-                yield shard, name, number, len(d), int(d[-1]), int(gains[at : at + BLOCK].max()), pack(d, t)
+        about = known.tobytes() + ids.tobytes() + norms.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, "", 0, len(ids), len(ids) - 1, 0, about), _INDEX, strict=True)], schema=_INDEX)
+        numbers = np.frombuffer(self.numbers, np.int64)
+        order = np.argsort(numbers, kind="stable")
+        numbers, tf = numbers[order], np.frombuffer(self.tf, np.int64)[order]
+        docs = np.repeat(np.arange(len(ids)), np.frombuffer(self.sizes, np.int64))[order]
+        # A block starts with each term, and after every BLOCK postings of one.
+        first = np.flatnonzero(np.diff(numbers, prepend=-1))
+        place = np.arange(len(numbers)) - np.repeat(first, np.diff(first, append=len(numbers)))
+        starts = np.flatnonzero(place % BLOCK == 0)
+        gaps = np.diff(docs, prepend=0) - 1
+        gaps[starts] = docs[starts]
+        data, width = pack(np.stack([gaps, tf], 1).ravel())
+        ends = np.concatenate((starts[1:], [len(numbers)]))
+        offsets = np.concatenate(([0], np.cumsum(width)))[2 * np.concatenate((starts, ends[-1:]))]
+        names = pa.array(list(self.terms), pa.string())
+        columns = [
+            pa.array(np.full(len(starts), shard)),
+            names.take(pa.array(numbers[starts])),
+            pa.array((place[starts] // BLOCK).astype(np.int32)),
+            pa.array((ends - starts).astype(np.int32)),
+            pa.array(docs[ends - 1].astype(np.int32)),
+            pa.array(np.maximum.reduceat(impacts(tf, norms[docs]), starts)),
+            pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, schema=_INDEX)
+        for at in range(0, len(starts), ROWS):
+            yield whole.slice(at, ROWS)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
@@ -160,33 +189,18 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return 10 + 90 * n * n_docs // n_terms
 
     def run(batches):
-        first, number, shard, ready = TaskContext.get().partitionId() << 24, 0, _Shard(), []
-
-        def closed(part):
-            nonlocal ready
-            for row in part.rows(first + number):
-                ready.append(row)
-                if len(ready) >= 4096:
-                    yield _columns(ready)
-                    ready = []
-
+        number, shard = TaskContext.get().partitionId() << 24, _Shard()
         for batch in batches:
             for doc_id, text in zip(batch.column("id"), batch.column("text"), strict=True):
                 shard.add(doc_id.as_py(), text.as_py() or "", norm_of)
                 if shard.bytes >= shard_bytes:
-                    yield from closed(shard)
+                    yield from shard.rows(number)
                     shard, number = _Shard(), number + 1
-        yield from closed(shard)
-        yield _columns(ready)
+        yield from shard.rows(number)
 
     return settle(texts.mapInArrow(tidy(run), INDEX)), n_docs
 
 
-def _columns(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(_INDEX)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _INDEX, strict=True)], schema=_INDEX)
-
-
 # Searching
 
 
@@ -194,14 +208,12 @@ class _List:
     """One term's blocks in a shard."""
 
     def __init__(self):
-        self.n: list[int] = []
         self.last: list[int] = []
         self.top: list[int] = []
         self.data: list[bytes] = []
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def add(self, n, last, top, data) -> None:
-        self.n.append(n)
+    def add(self, last: int, top: int, data: bytes) -> None:
         self.last.append(last)
         self.top.append(top)
         self.data.append(data)
@@ -214,12 +226,12 @@ class _List:
         """Documents and contributions, unpacked once per shard."""
         found = self.open.get(i)
         if found is None:
-            docs, tf = unpack(self.data[i], self.n[i])
+            docs, tf = unpack(self.data[i])
             found = self.open[i] = docs, impacts(tf, self.norms[docs])
         return found
 
     def everything(self) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.block(i) for i in range(len(self.n))]
+        parts = [self.block(i) for i in range(len(self.data))]
         return parts[0] if len(parts) == 1 else tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -324,7 +336,7 @@ def _search_block(index: DataFrame, queries: dict[int, list[str]], n_docs: int,
                 if not term:
                     about = _about(n, data)
                 else:
-                    blocks.setdefault(term, _List()).add(n, last, top, data)
+                    blocks.setdefault(term, _List()).add(last, top, data)
         if blocks:
             _search_shard(shard, blocks, about, weighted, by_term, heaps)
         found = [(q, s, -i if known else None, -place[0], -place[1]) for q, heap in heaps.items() for s, known, i, place in heap.held]

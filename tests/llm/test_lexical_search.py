@@ -79,11 +79,15 @@ def test_empty_tables(spark, docs):
     assert ranked(index, n, spark, ITEMS[:0] + [(1, None)]) == []
 
 
+def packed(docs, tf):
+    return ls.pack(np.stack([np.diff(docs, prepend=-1) - 1, tf], 1).ravel())[0].tobytes()
+
+
 def test_postings_pack_and_unpack():
     for _ in range(50):
         docs = np.array(sorted(RNG.sample(range(RNG.choice((200, 70_000, 2**30))), RNG.randint(1, 128))), np.int64)
-        tf = np.array([RNG.choice((1, 300, 70_000)) for _ in docs], np.int64)
-        got = ls.unpack(ls.pack(docs, tf), len(docs))
+        tf = np.array([RNG.choice((1, 127, 128, 300, 70_000, 2**40)) for _ in docs], np.int64)
+        got = ls.unpack(packed(docs, tf))
         assert (got[0] == docs).all() and (got[1] == tf).all()
 
 
@@ -95,7 +99,7 @@ def test_blocks_without_hope_stay_packed():
         part = ls._List()
         for at in range(0, len(docs), ls.BLOCK):
             d, t = docs[at : at + ls.BLOCK], tf[at : at + ls.BLOCK]
-            part.add(len(d), int(d[-1]), int(ls.impacts(t, norms[d]).max()), ls.pack(d, t))
+            part.add(int(d[-1]), int(ls.impacts(t, norms[d]).max()), packed(d, t))
         part.finish(norms)
         return part
 
