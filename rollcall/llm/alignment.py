@@ -28,9 +28,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ from rollcall.llm.streams import sliced, sorted_groups, tidy
 # A single space that begins a word for both tokenizers.
 CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 # Segments a task remembers, and their characters, before it starts anew.
-SEGMENTS = 100_000
-SEGMENT_CHARS = 8 << 20
+SEGMENTS = 400_000
+SEGMENT_CHARS = 16 << 20
 SLICE_BYTES = 1 << 20
 # Keys a slice of the hash has about, and places a level has per key.
 SLICE_KEYS = 32_768
@@ -95,9 +95,10 @@ class Aligner:
     def forget(self) -> None:
         self.numbers: dict[str, int] = {}
         self.chars = 0
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A and of B, groups; -1 where the bytes differ
-        self.groups: list[bytes] = []
-        self.keys: list[np.ndarray] = []
+        # Of each segment: tokens of A and of B, groups (-1 where the bytes differ), links' keys, groups as text.
+        self.n_a, self.n_b, self.n = (_Grown(np.int32) for _ in range(3))
+        self.keys = _Grown(np.int64)
+        self.groups: list[str] = []
 
     def segments(self, text: str) -> list[str]:
         """``text`` after a space, cut into segments that begin with a space."""
@@ -105,35 +106,77 @@ class Aligner:
             return [" " + text]
         return [" " + part for part in CUT.split(text)]
 
-    def learn(self, segments: list[str]) -> None:
-        fresh = [s for s in dict.fromkeys(segments) if s not in self.numbers]
-        if not fresh:
-            return
-        coded = self.a.encode_batch_fast(fresh, add_special_tokens=False)
-        others = self.b.encode([s[1:] for s in fresh], num_threads=1)
-        for segment, found, b in zip(fresh, coded, others, strict=True):
-            self._add(segment, found.ids, b)
-
-    def _add(self, segment: str, a: list[int], b: list[int]) -> None:
-        raw = segment.encode()
-        self.numbers[segment] = len(self.sizes)
-        self.chars += len(segment)
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            self.sizes.append((-1, -1, -1))
-            self.groups.append(b"")
-            self.keys.append(np.empty(0, np.int64))
-            return
-        _, at_a, at_b = np.intersect1d(np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b]), assume_unique=True, return_indices=True)
-        self.sizes.append((len(a), len(b), len(at_a)))
-        parts, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            parts.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            i, j = x, y
-        self.groups.append(";".join(parts).encode())
-        self.keys.append(np.array(a, np.int64)[at_a] << 32 | np.array(b, np.int64)[at_b])
+    def learn(self, fresh: list[str], groups: bool) -> None:
+        """Aligns new segments, all at once; ``groups``: as text too."""
+        raw = [s.encode() for s in fresh]
+        a = [x.ids for x in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
+        b = self.b.encode([s[1:] for s in fresh], num_threads=1)
+        self.numbers.update(zip(fresh, range(len(self.numbers), len(self.numbers) + len(fresh)), strict=True))
+        self.chars += sum(map(len, fresh))
+        good = np.ones(len(fresh), bool)
+        if not self._spelt(a, b, raw):
+            good[:] = [self._spelt([x], [y], [z]) for x, y, z in zip(a, b, raw, strict=True)]
+            a, b, raw = ([x for x, keep in zip(part, good.tolist(), strict=True) if keep] for part in (a, b, raw))
+        n_a, n_b = (np.array([len(x) for x in part], np.int64) for part in (a, b))
+        flat_a, flat_b = _flat(a), _flat(b)
+        ends_a, ends_b = np.cumsum(self.a_len[flat_a]), np.cumsum(self.b_len[flat_b])
+        segment_ends = np.cumsum([len(r) for r in raw])
+        at = np.searchsorted(ends_b, ends_a)
+        cut_a = ends_b[at] == ends_a if len(at) else np.empty(0, bool)
+        cut_b = np.zeros(len(flat_b), bool)
+        cut_b[at[cut_a]] = True
+        segment = np.searchsorted(segment_ends, ends_a[cut_a])
+        self.keys.extend(flat_a[cut_a] << 32 | flat_b[cut_b])
+        for grown, found in ((self.n_a, n_a), (self.n_b, n_b), (self.n, np.bincount(segment, minlength=len(raw)))):
+            whole = np.full(len(fresh), -1)
+            whole[good] = found
+            grown.extend(whole)
+        if groups:
+            text = iter(self._groups(flat_a, flat_b, cut_a, cut_b, np.cumsum(n_b) - 1))
+            self.groups += [next(text) if keep else "" for keep in good.tolist()]
+
+    def _spelt(self, a: list[list[int]], b: list[list[int]], raw: list[bytes]) -> bool:
+        """Whether the tokens' bytes are those of each segment."""
+        lengths, whole = np.array([len(r) for r in raw]), b"".join(raw)
+        for coded, token, size in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
+            flat = _flat(coded)
+            ends = np.concatenate(([0], np.cumsum(size[flat])))[np.cumsum([len(x) for x in coded])]
+            if not (ends == np.cumsum(lengths)).all() or b"".join(map(token.__getitem__, flat.tolist())) != whole:
+                return False
+        return True
+
+    def _groups(self, a, b, cut_a, cut_b, last) -> list[str]:
+        """Each segment's groups as text. ``last``: position of the last token of B of each segment."""
+        order = np.argsort(np.concatenate((2 * (np.cumsum(cut_a) - cut_a), 2 * (np.cumsum(cut_b) - cut_b) + 1)), kind="stable")
+        end_b = np.where(cut_b, ";", ",")
+        end_b[last] = "\n"
+        marks = np.concatenate((np.where(cut_a, "|", ","), end_b))[order].tolist()
+        ids = np.concatenate((a, b))[order].tolist()
+        return "".join([f"{i}{m}" for i, m in zip(ids, marks, strict=True)]).split("\n")[:-1]
 
     def full(self) -> bool:
-        return len(self.sizes) > SEGMENTS or self.chars > SEGMENT_CHARS
+        return len(self.numbers) > SEGMENTS or self.chars > SEGMENT_CHARS
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.held, self.size = np.empty(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.held):
+            self.held = np.concatenate((self.held[: self.size], np.empty(max(len(values), self.size), self.held.dtype)))
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.size]
 
 
 @lru_cache(maxsize=1)
@@ -141,17 +184,24 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _numbered(batches, text: str, paths: tuple[str, str], forgotten) -> Iterator[tuple[pa.RecordBatch, Aligner, list[list[int]]]]:
-    """Batches with the numbers of each text's segments; no numbers for a text without tokens. ``forgotten`` is called
-    before the remembered segments go."""
+def _numbered(batches, text: str, paths: tuple[str, str], groups: bool, forgotten) -> Iterator[tuple[pa.RecordBatch, Aligner, np.ndarray, np.ndarray]]:
+    """Batches with the numbers of all texts' segments in a row and how many each text has: none if it has no tokens.
+    ``forgotten`` is called before the remembered segments go."""
     both = aligner(*paths)
     both.forget()
     for batch in sliced(batches, text, SLICE_BYTES):
         cut = [both.segments(t) if t else [] for t in batch.column(text).to_pylist()]
-        both.learn([s for segments in cut for s in segments])
-        found = [list(map(both.numbers.__getitem__, segments)) for segments in cut]
-        sizes = both.sizes
-        yield batch, both, [f if all([sizes[s][0] >= 0 for s in f]) else [] for f in found]
+        fresh = list(dict.fromkeys(s for segments in cut for s in segments if s not in both.numbers))
+        if fresh:
+            both.learn(fresh, groups)
+        n = np.array([len(c) for c in cut], np.int64)
+        found = np.fromiter(map(both.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        text_of = np.repeat(np.arange(len(n)), n)
+        bad = np.unique(text_of[both.n_a.all[found] < 0])
+        if len(bad):
+            found = found[~np.isin(text_of, bad)]
+            n[bad] = 0
+        yield batch, both, found, n
         if both.full():
             forgotten(both)
             both.forget()
@@ -166,26 +216,25 @@ def pair_counts(df: DataFrame, text: str, paths: tuple[str, str]) -> DataFrame:
     """Distinct pairs of each task (key: A's id in the upper, B's in the lower 32 bits) and how often it met them."""
 
     def run(batches):
-        met, ready = Counter(), []
+        met, ready = np.zeros(0, np.int64), []  # occurrences of each segment
 
         def forgotten(both):
-            if met:
-                numbers = np.fromiter(met, np.int64, len(met))
-                times = np.fromiter(met.values(), np.int64, len(met))
-                keys = [both.keys[i] for i in numbers.tolist()]
-                found, place = np.unique(np.concatenate(keys), return_inverse=True)
-                counts = np.zeros(len(found), np.int64)
-                np.add.at(counts, place, np.repeat(times, [len(k) for k in keys]))
-                ready.append(pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["key", "n"]))
-                met.clear()
-
-        for _, _, found in _numbered(batches, text, paths, forgotten):
-            for numbers in found:
-                met.update(numbers)
-            while ready:
-                yield ready.pop()
-        while ready:
-            yield ready.pop()
+            nonlocal met
+            found, place = np.unique(both.keys.all, return_inverse=True)
+            times = np.zeros(len(both.numbers), np.int64)
+            times[: len(met)] = met
+            counts = np.bincount(place, np.repeat(times, np.maximum(both.n.all, 0)), len(found)).astype(np.int64)
+            some = counts > 0
+            ready.append(pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(counts[some])], names=["key", "n"]))
+            met = np.zeros(0, np.int64)
+
+        for _, both, found, _ in _numbered(batches, text, paths, False, forgotten):
+            more = np.bincount(found, minlength=len(both.numbers))
+            more[: len(met)] += met
+            met = more
+            yield from ready
+            ready.clear()
+        yield from ready
 
     return df.select(text).mapInArrow(tidy(run), "key long, n long")
 
@@ -358,28 +407,26 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
 
     def run(batches):
         index, counts, is_best = shared.value
-        known: list[tuple[int, int]] = []  # links that are best, and counts, of each segment
+        best, total = _Grown(np.int64), _Grown(np.int64)  # of each segment's links
 
         def look_up(both):
-            fresh = both.keys[len(known) :]
-            if fresh:
-                found = index.number(np.concatenate(fresh))
-                ends = np.cumsum([len(k) for k in fresh])
-                there = found >= 0
-                sums = np.concatenate(([0], np.cumsum(np.where(there, counts[found], 0))))
-                bests = np.concatenate(([0], np.cumsum(there & is_best[found])))
-                starts = ends - [len(k) for k in fresh]
-                known.extend(zip((bests[ends] - bests[starts]).tolist(), (sums[ends] - sums[starts]).tolist(), strict=True))
-
-        for batch, both, found in _numbered(batches, text, paths, lambda _: known.clear()):
+            sizes = np.maximum(both.n.all[best.size :], 0)
+            if len(sizes):
+                found = index.number(both.keys.all[both.keys.size - int(sizes.sum()) :])
+                there, ends = found >= 0, np.concatenate(([0], np.cumsum(sizes)))
+                for grown, values in ((best, is_best), (total, counts)):
+                    run = np.concatenate(([0], np.cumsum(np.where(there, values[found], 0) if len(values) else 0 * found)))
+                    grown.extend(np.diff(run[ends]))
+
+        def forgotten(_):
+            best.size = total.size = 0
+
+        for batch, both, found, n in _numbered(batches, text, paths, True, forgotten):
             look_up(both)
-            rows = []
-            for numbers in found:
-                sizes, looked = [both.sizes[i] for i in numbers], [known[i] for i in numbers]
-                n_a, n_b, n = (sum([s[c] for s in sizes]) for c in range(3))
-                digest = hashlib.sha256(b";".join([both.groups[i] for i in numbers])).hexdigest() if numbers else ""
-                rows.append((n_a, n_b, n, n, sum([x[0] for x in looked]), sum([x[1] for x in looked]), digest))
-            columns = [pa.array(c, pa.string() if i == 6 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, *names])
+            ends = np.concatenate(([0], np.cumsum(n)))
+            sums = [np.diff(np.concatenate(([0], np.cumsum(g.all[found], dtype=np.int64)))[ends]) for g in (both.n_a, both.n_b, both.n, both.n, best, total)]
+            numbers, groups = found.tolist(), both.groups
+            digests = [hashlib.sha256(";".join([groups[i] for i in numbers[a:b]]).encode()).hexdigest() if b > a else "" for a, b in pairwise(ends.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *map(pa.array, sums), pa.array(digests, pa.string())], names=[*kept, *names])
 
     return df.mapInArrow(tidy(run), f"{schema}, {COLUMNS}" if schema else COLUMNS)
