@@ -42,8 +42,12 @@ from rollcall.llm.bpe import byte_symbols
 from rollcall.llm.storage import settle
 from rollcall.llm.streams import sliced, sorted_groups, tidy
 
-# A single space that begins a word for both tokenizers.
+# A single space that begins a word for both tokenizers; a space that does not; a character that may stand beside a cut.
 CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+OTHER_SPACE = re.compile(r" (?![\w!-~])|(?<![\w!-~]) ")
+SOLID = re.compile(r"[\w!-~]")
+# Characters of segments encoded as one text.
+JOINED = 1 << 16
 # Segments a task remembers, and their characters, before it starts anew.
 SEGMENTS = 400_000
 SEGMENT_CHARS = 16 << 20
@@ -101,49 +105,64 @@ class Aligner:
         self.groups: list[str] = []
 
     def segments(self, text: str) -> list[str]:
-        """``text`` after a space, cut into segments that begin with a space."""
+        """``text`` cut into segments; each has a space before it."""
         if not self.cuts:
-            return [" " + text]
-        return [" " + part for part in CUT.split(text)]
-
-    def learn(self, fresh: list[str], groups: bool) -> None:
-        """Aligns new segments, all at once; ``groups``: as text too."""
-        raw = [s.encode() for s in fresh]
-        a = [x.ids for x in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-        b = self.b.encode([s[1:] for s in fresh], num_threads=1)
-        self.numbers.update(zip(fresh, range(len(self.numbers), len(self.numbers) + len(fresh)), strict=True))
-        self.chars += sum(map(len, fresh))
-        good = np.ones(len(fresh), bool)
-        if not self._spelt(a, b, raw):
-            good[:] = [self._spelt([x], [y], [z]) for x, y, z in zip(a, b, raw, strict=True)]
-            a, b, raw = ([x for x, keep in zip(part, good.tolist(), strict=True) if keep] for part in (a, b, raw))
-        n_a, n_b = (np.array([len(x) for x in part], np.int64) for part in (a, b))
+            return [text]
+        return CUT.split(text) if OTHER_SPACE.search(text) else text.split(" ")
+
+    def learn(self, fresh: list[str], alone: set[str], groups: bool) -> None:
+        """Aligns new segments. Those of many are encoded as one text, but for the ones ``alone``, whose first or last
+        character may not stand beside a cut; ``groups``: as text too."""
+        joined, size = [], JOINED + 1
+        for segment in fresh if self.cuts else ():
+            if segment not in alone:
+                if size > JOINED:
+                    joined.append([])
+                    size = 0
+                joined[-1].append(segment)
+                size += len(segment) + 1
+        self._learn(joined, groups)
+        self._learn([[s] for s in fresh if s in alone or not self.cuts], groups)
+
+    def _learn(self, parts: list[list[str]], groups: bool) -> None:
+        if not parts:
+            return
+        texts = [" ".join(p) for p in parts]
+        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        spelt = [self._spells(self.a_bytes, x, t) and self._spells(self.b_bytes, y, t) for x, y, t in zip(a, b, texts, strict=True)]
+        if not all(spelt):
+            single = [[s] for p, good in zip(parts, spelt, strict=True) if not good and len(p) > 1 for s in p]
+            for (segment,) in [p for p, good in zip(parts, spelt, strict=True) if not good and len(p) == 1]:
+                self._add([segment], *[np.array([-1])] * 3, np.empty(0, np.int64), [""] if groups else [])
+            a, b, parts = ([x for x, good in zip(part, spelt, strict=True) if good] for part in (a, b, parts))
+            self._learn(single, groups)
+        segments = list(chain.from_iterable(parts))
+        if not segments:
+            return
         flat_a, flat_b = _flat(a), _flat(b)
         ends_a, ends_b = np.cumsum(self.a_len[flat_a]), np.cumsum(self.b_len[flat_b])
-        segment_ends = np.cumsum([len(r) for r in raw])
+        last = np.cumsum([1 + (len(s) if s.isascii() else len(s.encode())) for s in segments])
         at = np.searchsorted(ends_b, ends_a)
-        cut_a = ends_b[at] == ends_a if len(at) else np.empty(0, bool)
+        cut_a = ends_b[at] == ends_a
         cut_b = np.zeros(len(flat_b), bool)
         cut_b[at[cut_a]] = True
-        segment = np.searchsorted(segment_ends, ends_a[cut_a])
-        self.keys.extend(flat_a[cut_a] << 32 | flat_b[cut_b])
-        for grown, found in ((self.n_a, n_a), (self.n_b, n_b), (self.n, np.bincount(segment, minlength=len(raw)))):
-            whole = np.full(len(fresh), -1)
-            whole[good] = found
-            grown.extend(whole)
-        if groups:
-            text = iter(self._groups(flat_a, flat_b, cut_a, cut_b, np.cumsum(n_b) - 1))
-            self.groups += [next(text) if keep else "" for keep in good.tolist()]
-
-    def _spelt(self, a: list[list[int]], b: list[list[int]], raw: list[bytes]) -> bool:
-        """Whether the tokens' bytes are those of each segment."""
-        lengths, whole = np.array([len(r) for r in raw]), b"".join(raw)
-        for coded, token, size in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
-            flat = _flat(coded)
-            ends = np.concatenate(([0], np.cumsum(size[flat])))[np.cumsum([len(x) for x in coded])]
-            if not (ends == np.cumsum(lengths)).all() or b"".join(map(token.__getitem__, flat.tolist())) != whole:
-                return False
-        return True
+        if not np.isin(last, ends_a[cut_a]).all():
+            raise ValueError("a token crosses a cut")
+        n_a, n_b, n = (np.bincount(np.searchsorted(last, ends), minlength=len(last)) for ends in (ends_a, ends_b, ends_a[cut_a]))
+        text = self._groups(flat_a, flat_b, cut_a, cut_b, np.cumsum(n_b) - 1) if groups else []
+        self._add(segments, n_a, n_b, n, flat_a[cut_a] << 32 | flat_b[cut_b], text)
+
+    def _add(self, segments: list[str], n_a, n_b, n, keys, groups: list[str]) -> None:
+        self.numbers.update(zip(segments, range(len(self.numbers), len(self.numbers) + len(segments)), strict=True))
+        self.chars += sum(map(len, segments))
+        for grown, found in ((self.n_a, n_a), (self.n_b, n_b), (self.n, n), (self.keys, keys)):
+            grown.extend(found)
+        self.groups += groups
+
+    @staticmethod
+    def _spells(tokens: list[bytes], ids: list[int], text: str) -> bool:
+        return b"".join([tokens[i] for i in ids]) == b" " + text.encode()
 
     def _groups(self, a, b, cut_a, cut_b, last) -> list[str]:
         """Each segment's groups as text. ``last``: position of the last token of B of each segment."""
@@ -191,11 +210,14 @@ def _numbered(batches, text: str, paths: tuple[str, str], groups: bool, forgotte
     both.forget()
     for batch in sliced(batches, text, SLICE_BYTES):
         cut = [both.segments(t) if t else [] for t in batch.column(text).to_pylist()]
-        fresh = list(dict.fromkeys(s for segments in cut for s in segments if s not in both.numbers))
-        if fresh:
-            both.learn(fresh, groups)
-        n = np.array([len(c) for c in cut], np.int64)
-        found = np.fromiter(map(both.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        flat, numbers = list(chain.from_iterable(cut)), both.numbers
+        found = list(map(numbers.get, flat))
+        if None in found:
+            ends = {s for c in cut if c for s in (c[0], c[-1])}
+            alone = {s for s in ends if not (SOLID.match(s) and SOLID.match(s[-1]))}
+            both.learn(list(dict.fromkeys([s for s, i in zip(flat, found, strict=True) if i is None])), alone, groups)
+            found = map(numbers.__getitem__, flat)
+        found, n = np.fromiter(found, np.int64, len(flat)), np.array([len(c) for c in cut], np.int64)
         text_of = np.repeat(np.arange(len(n)), n)
         bad = np.unique(text_of[both.n_a.all[found] < 0])
         if len(bad):
