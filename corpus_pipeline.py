@@ -1,7 +1,8 @@
 """A training corpus from raw documents: each stage calls one operator of ``rollcall.llm`` on all its predecessor kept.
 
 Defined cases: each stage's operator states how it treats nulls, blank and long texts, ties, repeated rows and empty
-tables; a table with a column of a name that the last stage adds is refused. Extra columns pass through.
+tables. Extra columns pass through, whatever their names; one named like a column the last stage adds gets ``_input``
+added to its name there.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, exact_dedup, mixing, quality, wide_simhash
+from rollcall.llm import bpe, exact_dedup, mixing, quality, simhash
 from rollcall.llm.queries import vocabulary_path
 from rollcall.llm.storage import documents, settle, ship
 
@@ -28,9 +29,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, an estimated similarity of 0.8 or more."""
+    """One document of each group of near copies: fingerprints of four-word shingles at most four bits apart."""
     ship(spark)
-    return wide_simhash.keep_first_of_wide_groups(docs, width=5, similarity=0.8)
+    return simhash.keep_first_of_groups(docs, width=4, radius=4)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encoded),
 ]
 
-# Hash sketches, trained scores and byte-pair merges are beyond SQL; tests compare run() with its stages,
-# and the two dedup stages with brute force.
+# Fingerprints, trained scores and byte-pair merges are beyond SQL; tests compare run() with its stages, and the two
+# dedup stages with brute force.
 ORACLE_SQL = None
 
 
