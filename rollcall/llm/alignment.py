@@ -19,8 +19,8 @@ different segment is encoded once by the two libraries, and a task remembers seg
 
 Defined cases: a null or empty text, and one whose tokens do not spell it (a text holding U+2581, say), have no tokens
 and count nowhere; strings of special tokens are plain text; null or repeated identifiers are rows like any other; an
-empty table gives no rows; other columns are carried along; a very long text is held once, as its string and its
-segments.
+empty table gives no rows; other columns are carried along, one that has the name of a new one under its name and
+``_input``; a very long text is held once, as its string and its segments.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.bpe import byte_symbols
-from rollcall.llm.storage import settle
+from rollcall.llm.storage import clear_of, settle
 from rollcall.llm.streams import sliced, sorted_groups, tidy
 
 # A single space that begins a word for both tokenizers; a space that does not; a character that may stand beside a cut.
@@ -412,11 +412,10 @@ def _slice(key: tuple[int, int], counts: np.ndarray) -> pa.RecordBatch:
 def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
     """``df`` without ``text``, plus n_a, n_b (tokens), n_groups, n_links, n_best (links whose pair is the most frequent
     of its B token, ties included), count_sum (of the links' counts) and groups_sha256 (of ``a1,a2|b1;a3|b2``; '' for
-    none). ``df`` is read twice, so pass a stored table; it must not have columns of these names."""
-    kept = [c for c in df.columns if c != text]
+    none). ``df`` is read twice, so pass a stored table."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    if {n.lower() for n in names} & {c.lower() for c in kept}:
-        raise ValueError(f"columns {', '.join(names)} are reserved")
+    df = clear_of(df, *names)
+    kept = [c for c in df.columns if c != text]
     paths = (a_path, b_path)
     pairs = settle(pair_counts(df, text, paths))
     index = index_of(pairs, aligner(*paths).most_pairs)

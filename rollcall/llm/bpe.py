@@ -10,7 +10,8 @@ pattern, byte symbols and an end-of-word suffix. Its special tokens are found in
 readable where Python runs; without it on the executors, ship it with ``SparkContext.addFile``.
 
 Defined cases: a null text counts as empty and gives no tokens; rows are independent, so repeated rows and
-identifiers do not matter; an empty table gives an empty result.
+identifiers do not matter; an empty table gives an empty result; a column that has the name of a new one is carried
+along under its name and ``_input``; a very long text is held once, with its words and its ids.
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from rollcall.llm.storage import clear_of
 from rollcall.llm.streams import sliced, tidy
 
 # Words a task remembers before it starts anew.
 CACHED_WORDS = 60_000
 # Longer words are merged one by one.
 BATCH_WIDTH = 32
-BATCH_WORDS = 20_000
+BATCH_WORDS = 4_000
 # Characters of text whose new words are merged together.
 BATCH_CHARS = 500_000
 # Bytes of text encoded before their rows are handed on.
@@ -280,6 +281,7 @@ def _add(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``df`` without ``text``, plus n_tokens, ids_sha256 and decoded_sha256."""
+    df = clear_of(df, "n_tokens", "ids_sha256", "decoded_sha256")
     kept = [c for c in df.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
@@ -301,8 +303,7 @@ def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def encode_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``df`` plus ``tokens`` (array of ids) and ``decoded``."""
-    if {"tokens", "decoded"} & set(df.columns):
-        raise ValueError("columns tokens and decoded are reserved")
+    df = clear_of(df, "tokens", "decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches):
@@ -317,6 +318,7 @@ def encode_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode_tokens(df: DataFrame, path: str, tokens: str = "tokens") -> DataFrame:
     """``df`` plus ``decoded``; null or unknown ids are left out."""
+    df = clear_of(df, "decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches):
@@ -325,7 +327,3 @@ def decode_tokens(df: DataFrame, path: str, tokens: str = "tokens") -> DataFrame
                 yield _add(batch, {"decoded": pa.array([bpe.decode(ids or []) for ids in batch.column(tokens).to_pylist()], pa.string())})
 
     return df.mapInArrow(tidy(run), f"{schema}, decoded string")
-
-
-def total_tokens(df: DataFrame) -> int:
-    return df.agg(F.sum("n_tokens")).first()[0] or 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.storage import numbered, settle
+from rollcall.llm.storage import numbered, settle, spare
 from rollcall.llm.streams import tidy
 from rollcall.llm.trie import Patricia
 
@@ -164,6 +164,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its later copies, columns as they are. ``docs`` should be a stored table."""
-    rows = numbered(docs)
-    dropped = exact_groups(rows, id_col, text_col).where("not kept").select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    row = spare(docs.columns, "_row")
+    rows = numbered(docs, row)
+    found = exact_groups(rows.select(F.col(row).alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    dropped = found.where("not kept").select(F.col("_row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)

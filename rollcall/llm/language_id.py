@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.storage import clear_of
 from rollcall.llm.streams import tidy
 
 UNKNOWN = "und"
@@ -141,6 +142,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", buckets: in
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` without ``text``, plus lang_pred, score, ambiguous."""
+    df = clear_of(df, "lang_pred", "score", "ambiguous")
     kept = [c for c in df.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most bits x BUCKETS numbers

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.storage import numbered
+from rollcall.llm.storage import clear_of, numbered
 
 # Public licence texts and common notices, as published (copyright lines left out).
 KNOWN_TEXTS = {
@@ -63,8 +63,7 @@ def _known(df: DataFrame) -> DataFrame:
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without ``text``, plus license (whole text, or null), notices (array, sorted) and text_digest."""
-    if {"license", "notices", "text_digest"} & set(df.columns):
-        raise ValueError("columns license, notices and text_digest are reserved")
+    df = clear_of(df, "license", "notices", "text_digest", "_row", "_lines")
     rows = numbered(df)
     lined = rows.withColumn("_lines", canonical_lines(F.col(text))).drop(text)
     digest = F.when(F.size("_lines") > 0, F.sha2(F.array_join("_lines", " "), 256))

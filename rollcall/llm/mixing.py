@@ -8,7 +8,8 @@ source's words miss their target by two documents at most, however many it has.
 
 Defined cases: a null text has size 0; null is a source of its own and comes last; sources without words have
 target 0 and take nothing; null or repeated identifiers are rows like any other; an empty table gives an empty
-result; other columns are carried along. One row per source reaches the driver.
+result; other columns are carried along, one that has the name of a new one under its name and ``_input``; a very long
+text is only counted. One row per source reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import prefix
-from rollcall.llm.storage import settle
+from rollcall.llm.storage import clear_of, numbered, settle, spare
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -53,13 +54,17 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     return out
 
 
-def _by_source(table: dict) -> Column:
-    """A literal lookup by source number."""
-    return F.element_at(F.array(*[F.lit(float(v)) for v in table.values()]), F.col("_source").cast("int") + 1)
+DUALS = "_source long, dual double, scale double"
+
+
+def _rate(cap: float) -> Column:
+    """A document's rate by its size and its source's dual value."""
+    return F.least(F.lit(cap), F.exp(F.least(F.lit(700.0), F.col("dual") * F.col("size") / F.col("scale"))))
 
 
 def balance(cells: DataFrame, sizes: dict, wanted: dict, cap: float = CAP) -> dict:
     """The dual variable of each source. ``cells``: _source, size, n."""
+    spark = cells.sparkSession
     mean = {r["_source"]: r["m"] for r in cells.where("size > 0").groupBy("_source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("m")).collect()}
     scale = {s: mean.get(s, 1.0) for s in sizes}
     low, high, t = ({s: v for s in sizes} for v in (-math.inf, math.inf, 0.0))
@@ -68,10 +73,10 @@ def balance(cells: DataFrame, sizes: dict, wanted: dict, cap: float = CAP) -> di
     for _ in range(NEWTON_STEPS):
         if not open_:
             break
-        x = F.col("size") / _by_source(scale)
-        rate = F.least(F.lit(cap), F.exp(F.least(F.lit(700.0), _by_source(t) * x)))
-        mass = F.col("size") * F.col("n") * rate
-        steps = cells.where(F.col("_source").isin(sorted(open_))).groupBy("_source").agg(F.sum(mass).alias("g"), F.sum(F.when(rate < cap, mass * x).otherwise(0.0)).alias("h"))
+        duals = spark.createDataFrame([(s, float(t[s]), float(scale[s])) for s in sorted(open_)], DUALS)
+        rate, mass = _rate(cap), F.col("size") * F.col("n") * _rate(cap)
+        x = F.col("size") / F.col("scale")
+        steps = cells.join(duals, "_source").groupBy("_source").agg(F.sum(mass).alias("g"), F.sum(F.when(rate < cap, mass * x).otherwise(0.0)).alias("h"))
         for r in steps.collect():
             s, gap = r["_source"], r["g"] - wanted[r["_source"]]
             if abs(gap) <= 1e-7 * wanted[s] or (math.isfinite(low[s]) and math.isfinite(high[s]) and high[s] - low[s] < 1e-13):
@@ -90,39 +95,52 @@ def balance(cells: DataFrame, sizes: dict, wanted: dict, cap: float = CAP) -> di
 
 def mix(df: DataFrame, source: str, size: str, id_col: str, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """``df`` with ``source_size``, ``target`` and ``copies`` (0, 1 or 2 with the usual cap). ``df`` is read several
-    times, so pass a stored table."""
-    if {"source_size", "target", "copies"} & set(df.columns):
-        raise ValueError("columns source_size, target and copies are reserved")
-    totals = {r[0]: r[1] for r in df.groupBy(source).agg(F.sum(size)).collect()}
+    times, so pass a stored table. Spark joins the sources' values as a relation, however many there are."""
+    df = clear_of(df, "source_size", "target", "copies")
+    spark, own = df.sparkSession, spare(df.columns, "_row")
+    rows = numbered(df, own).select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"),
+        F.col(source).cast("string").alias("name"),
+        F.col(size).cast("long").alias("size"),
+        F.col(id_col).cast("long").alias("id"),
+        F.col(own).alias("row"),
+    )
+    totals = {r[0]: r[1] or 0 for r in rows.groupBy("name").agg(F.sum("size")).collect()}
     if not totals:
         return df.select("*", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"))
     names = sorted(totals, key=lambda s: (s is None, s or ""))
     wanted = targets(totals, weights, share, cap)
-    table = df.sparkSession.createDataFrame([(s, i, totals[s], float(wanted[s])) for i, s in enumerate(names)], f"{source} string, _source long, source_size long, target double")
-    rows = df.join(table.withColumnRenamed(source, "_name"), F.col(source).eqNullSafe(F.col("_name"))).drop("_name")
-    cells = settle(rows.groupBy("_source", size).agg(F.count("*").alias("n")).withColumnRenamed(size, "size"))
-    number = dict(enumerate(names))
-    solved = balance(cells, {i: totals[s] for i, s in number.items()}, {i: wanted[s] for i, s in number.items()}, cap)
-    finite = {i: max(-1e300, min(1e300, v[0])) for i, v in solved.items()}
-    x = F.col(size) / _by_source({i: v[1] for i, v in solved.items()})
-    rate = F.least(F.lit(cap), F.exp(F.least(F.lit(700.0), _by_source(finite) * x)))
-    keyed = rows.withColumns({
-        "_parts": F.when(F.col(size) > 0, F.round(rate * PARTS).cast("long")).otherwise(F.lit(0).cast("long")),
-        "_hash": F.xxhash64(F.col(id_col), F.col(size)),
-        "_id": F.col(id_col).cast("long"),
-        "_size": F.col(size),
-        "_one": F.lit(1),
-    }).withColumn("_rest", F.col("_parts") % PARTS)
-    keys, count = ["_source", "_size", "_hash", "_id"], df.count()
+    table = [(s, i, totals[s], float(wanted[s])) for i, s in enumerate(names)]
+    numbers = spark.createDataFrame([r[:2] for r in table], "_name string, _source long")
+    cells = rows.groupBy("name", "size").agg(F.count("*").alias("n"))
+    cells = settle(cells.join(numbers, F.col("name").eqNullSafe(F.col("_name"))).select("_source", "size", "n"))
+    solved = balance(cells, {i: t for _, i, t, _ in table}, {i: w for _, i, _, w in table}, cap)
+    finite = [(s, i, t, w, max(-1e300, min(1e300, float(solved[i][0]))), float(solved[i][1])) for s, i, t, w in table]
+    sources = spark.createDataFrame(finite, "_name string, _source long, source_size long, target double, dual double, scale double")
+    valued = rows.join(sources, F.col("name").eqNullSafe(F.col("_name")))
+    keyed = valued.select(
+        "all",
+        "source_size",
+        "target",
+        "_source",
+        "size",
+        F.xxhash64("id", "size").alias("hash"),
+        "id",
+        "row",
+        F.lit(1).alias("one"),
+        F.when(F.col("size") > 0, F.round(_rate(cap) * PARTS).cast("long")).otherwise(F.lit(0).cast("long")).alias("parts"),
+    ).withColumn("rest", F.col("parts") % PARTS)
+    keys, count = ["_source", "size", "hash", "id", "row"], rows.count()
     ranges = min(prefix.MAX_RANGES, max(16, count // ROWS_PER_RANGE))
-    bounds = prefix.boundaries_of(keyed, keys, "_one", id_col, count, ranges)
-    run = prefix.running(keyed, keys, ["_rest"], bounds)
+    bounds = prefix.boundaries_of(keyed, keys, "one", "row", count, ranges)
+    run = prefix.running(keyed, keys, ["rest"], bounds)
     half = PARTS // 2
-    extra = F.floor((F.col("_rest_before") + F.col("_rest") + half) / PARTS) - F.floor((F.col("_rest_before") + half) / PARTS)
-    return run.withColumn("copies", (F.floor(F.col("_parts") / PARTS) + extra).cast("long")).select(*df.columns, "source_size", "target", "copies")
+    extra = F.floor((F.col("rest_before") + F.col("rest") + half) / PARTS) - F.floor((F.col("rest_before") + half) / PARTS)
+    return run.select("all.*", "source_size", "target", (F.floor(F.col("parts") / PARTS) + extra).cast("long").alias("copies"))
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed documents themselves: each as often as the mix takes it, columns as they are."""
-    mixed = mix(docs.withColumn("_words", word_count(F.col(text))), source, "_words", id_col)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(source).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text)).alias("words"))
+    mixed = mix(whole, "source", "words", "id").where("copies > 0")
+    return mixed.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole.*")

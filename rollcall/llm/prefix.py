@@ -1,8 +1,10 @@
 """Exact running totals over a global order, by range partitions whose boundaries come from a weighted sample.
 
 No task holds more than one range. Boundaries are quantiles of a bounded sample drawn with a chance proportional
-to weight; ranges that still hold too much (a frequent key, a sample that missed) are sampled again and subdivided. Only boundaries and one total per range reach the driver, a few times
-``MAX_RANGES`` numbers at most. Key columns are longs; nulls sort first.
+to weight; ranges that still hold too much (a frequent key, a sample that missed) are sampled again and subdivided,
+until none is overfull or ``FRUITLESS`` samples in a row bring no new boundary, which leaves ranges heavy by a single
+row. Only boundaries and one total per range reach the driver, a few times ``MAX_RANGES`` numbers at most. Key columns
+are longs; nulls sort first. The last key should tell all rows apart, or rows equal in all keys stay in one range.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 # Most ranges made at first, and sample rows drawn per range.
 MAX_RANGES = 65_536
 PER_RANGE = 8
-SUBDIVISIONS = 6
+FRUITLESS = 2
 # Ranges of so few rows are left whole whatever they weigh.
 FEW_ROWS = 64
 LOWEST = -(2**63)
@@ -53,7 +55,9 @@ def boundaries_of(df: DataFrame, keys: list[str], weight: str, id_col: str, tota
 
     first = draw(df, total, ranges, 0)[PER_RANGE // 2 :: PER_RANGE]
     bounds = sorted({s[:width] + (LOWEST,) * (len(keys) - width) for s in first})
-    for seed in range(1, SUBDIVISIONS + 1):
+    seed = fruitless = 0
+    while fruitless < FRUITLESS:
+        seed += 1
         ranged = with_range(df, keys, bounds)
         totals = ranged.groupBy("_range").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
         over = totals.where((F.col("w") > limit) & (F.col("n") > FEW_ROWS)).collect()
@@ -61,7 +65,9 @@ def boundaries_of(df: DataFrame, keys: list[str], weight: str, id_col: str, tota
             break
         mass = sum(r["w"] for r in over)
         more = draw(ranged.where(F.col("_range").isin([r["_range"] for r in over])), mass, int(2 * mass / limit) + 1, seed)
-        bounds = sorted({*bounds, *(more[PER_RANGE // 2 :: PER_RANGE])})
+        finer = sorted({*bounds, *(more[PER_RANGE // 2 :: PER_RANGE])})
+        fruitless = fruitless + 1 if finer == bounds else 0
+        bounds = finer
     return bounds
 
 

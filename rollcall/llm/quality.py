@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.storage import clear_of
 from rollcall.llm.streams import sliced, tidy
 
 # Rows the scorer is trained on; more add nothing to so small a model.
@@ -244,6 +245,7 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
 
 def scored(df: DataFrame, model: tuple[LabelModel, Scorer], text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df`` (without ``text`` unless kept) plus votes_good (posterior of the labellers), quality_score, keep."""
+    df = clear_of(df, "votes_good", "quality_score", "keep")
     kept = [c for c in df.columns if keep_text or c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -262,11 +264,6 @@ def scored(df: DataFrame, model: tuple[LabelModel, Scorer], text: str = "text",
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without those the scorer rejects, columns as they are."""
-    if {"votes_good", "quality_score", "keep"} & set(docs.columns):
-        raise ValueError("columns votes_good, quality_score and keep are reserved")
-    return scored(docs, fit(docs, text), text, keep_text=True).where("keep").select(*docs.columns)
-
-
-def accuracy(predicted: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Column:
-    """Share of labelled rows on which ``keep`` agrees with the gold quality."""
-    return predicted.join(labels, id_col).agg(F.avg((F.col("keep").cast("int") == F.col("quality")).cast("double")).alias("accuracy")).first()[0]
+    marked = scored(docs, fit(docs, text), text, keep_text=True).where("keep")
+    own = marked.columns[: len(docs.columns)]
+    return marked.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(own, docs.columns, strict=True)])

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm import prefix
+from rollcall.llm.storage import clear_of, numbered, spare
 
 # Ranges per shard: the share of a shard by which a range may miss.
 RANGES_PER_SHARD = 64
@@ -29,22 +30,23 @@ def shard_by_size(df: DataFrame, shards: int, size: str, group: str, id_col: str
     ``group`` is a hash column: its rows stay in one shard as far as the sizes allow. ``df`` is read several
     times, so pass a stored table.
     """
-    if {"shard", "slot"} & set(df.columns):
-        raise ValueError("columns shard and slot are reserved")
-    total = df.agg(F.sum(size)).first()[0] or 0
+    df = clear_of(df, "shard", "slot")
+    row = spare(df.columns, "_row")
+    rows = numbered(df, row).select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"),
+        F.col(size).cast("long").alias("size"),
+        F.col(group).cast("long").alias("group"),
+        F.col(id_col).cast("long").alias("id"),
+        F.col(row).alias("row"),
+    )
+    total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = min(prefix.MAX_RANGES, max(shards * RANGES_PER_SHARD, total // RANGE_BYTES))
-    key = [group, id_col]
-    bounds = prefix.boundaries_of(df, key, size, id_col, total, ranges, coarse=1) if total else []
-    run = prefix.running(df, key, [size], bounds)
-    copies = Window.partitionBy("_range", group)
-    start, part = F.min(f"{size}_before").over(copies), F.sum(size).over(copies)
+    key = ["group", "id", "row"]
+    bounds = prefix.boundaries_of(rows, key, "size", "row", total, ranges, coarse=1) if total else []
+    run = prefix.running(rows, key, ["size"], bounds)
+    copies = Window.partitionBy("_range", "group")
+    start, part = F.min("size_before").over(copies), F.sum("size").over(copies)
     middle = start + part / 2
     placed = run.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(total, 1)))).cast("int"))
-    placed = placed.drop("_range", f"{size}_before")
-    firsts = placed.groupBy("shard").agg(F.min("_n").alias("_first"))
-    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_n") - F.col("_first")).drop("_n", "_first").select(*df.columns, "shard", "slot")
-
-
-def write_shards(df: DataFrame, path: str, **kwargs) -> None:
-    """Shard ``df`` and write one folder per shard; several tasks may write one shard, each a run of its slots."""
-    shard_by_size(df, **kwargs).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    firsts = placed.groupBy("shard").agg(F.min("_n").alias("first"))
+    return placed.join(F.broadcast(firsts), "shard").select("all.*", "shard", (F.col("_n") - F.col("first")).alias("slot"))

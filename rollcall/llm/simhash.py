@@ -8,7 +8,8 @@ search visits each member once, so a bucket emits fewer links than it has member
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; null or repeated identifiers are
 rows like any other, and a component's identifier is its smallest one (null only if it has none); an empty table
-gives an empty result.
+gives an empty result; only the identifier and text columns are looked at, others are carried along whatever their
+names; a very long text is hashed in parts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.buckets import block_pairs
 from rollcall.llm.components import components
-from rollcall.llm.storage import numbered, settle
+from rollcall.llm.storage import numbered, settle, spare
 from rollcall.llm.streams import sorted_groups, tidy
 
 SHINGLE = 4
@@ -212,14 +213,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     fps = settle(marked.groupBy("fp").agg(best))
     found = components(fingerprint_links(fps.select("fp"), fps.count(), radius))
-    rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best")
-    whole = rooted.groupBy("root").agg(F.min("best").alias("first"))
+    # Both sides are stored, so that adaptive execution can split a root that very many fingerprints have.
+    rooted = settle(fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best"))
+    whole = settle(rooted.groupBy("root").agg(F.min("best").alias("first")))
     named = settle(rooted.join(whole, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.row").alias("first_row")))
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "first_row", F.col("row").alias(row_col))
 
 
 def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near copies, columns as they are. ``docs`` should be a stored table."""
-    rows = numbered(docs)
-    dropped = near_groups(rows, id_col, text_col, width=width, radius=radius).where("first_row <> _row").select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    row = spare(docs.columns, "_row")
+    rows = numbered(docs, row)
+    found = near_groups(rows.select(F.col(row).alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", width=width, radius=radius)
+    dropped = found.where("first_row <> _row").select(F.col("_row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)

@@ -37,8 +37,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, or the first of name_2, name_3, ... that is not a column yet."""
+    taken, n = {c.lower() for c in columns}, 1
+    while (found := name if n == 1 else f"{name}_{n}").lower() in taken:
+        n += 1
+    return found
+
+
+def clear_of(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with room for columns ``names``: columns that have such a name already get ``_input`` added to it."""
+    wanted, columns = {n.lower() for n in names}, list(df.columns)
+    for i, c in enumerate(columns):
+        if c.lower() in wanted:
+            columns[i] = spare([*columns, *names], f"{c}_input")
+    return df.toDF(*columns) if columns != df.columns else df
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A row number that every read agrees on; it tells repeated rows apart.
+    """A row number that every read agrees on; it tells repeated rows apart. ``name`` must be a new column's.
 
     Rows of Parquet files are numbered by their place in their file, which no split of the files changes. Any other
     frame is stored once with its numbers, and read from there.
@@ -47,7 +64,7 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
         raise ValueError(f"column {name} is reserved")
     if not _scans_parquet(df):
         return settle(df.withColumn(name, F.monotonically_increasing_id()))
-    file, ordinal = f"{name}_file", f"{name}_ordinal"
+    file, ordinal = spare(df.columns, f"{name}_file"), spare(df.columns, f"{name}_ordinal")
     placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name))
     files = sorted(r[0] for r in placed.select(file).distinct().collect())
     ordinals = df.sparkSession.createDataFrame(list(enumerate(files)), f"{ordinal} long, {file} string")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.storage import numbered, settle
+from rollcall.llm.storage import clear_of, numbered, settle
 from rollcall.llm.streams import sorted_groups, tidy
 
 LENGTH = 400
@@ -313,8 +313,7 @@ def _merged(spans):
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` plus spans (array of removed byte ranges), n_bytes, kept_bytes (binary) and kept_sha256."""
-    if {"spans", "n_bytes", "kept_bytes", "kept_sha256"} & set(docs.columns):
-        raise ValueError("columns spans, n_bytes, kept_bytes and kept_sha256 are reserved")
+    docs = clear_of(docs, "spans", "n_bytes", "kept_bytes", "kept_sha256", "_row", "_raw")
     rows = numbered(docs)
     spans, sizes = repeated_spans(rows, text, length=length, gram=gram)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")

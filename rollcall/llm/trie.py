@@ -65,17 +65,12 @@ class Patricia:
     def detach_largest(self) -> tuple[bytes, list[tuple[bytes, object]]]:
         """Take the heaviest subtree below the first branching out of the trie; returns its path and entries."""
         path, top = self.branch_point()
-        entries, best, byte = [], -1, None
-        for first, child in top.kids.items():
-            found = list(walk(child, path))
-            weight = sum(len(k) for k, _ in found)
-            if weight > best:
-                best, byte, entries = weight, first, found
-        if byte is None:
+        if not top.kids:
             return path, []
+        byte, weight = max(((first, weight_of(child)) for first, child in top.kids.items()), key=lambda x: x[1])
         child = top.kids.pop(byte)
-        self.size = max(0, self.size - weight_of(child))
-        return path + bytes([byte]), entries
+        self.size = max(0, self.size - weight)
+        return path + bytes([byte]), list(walk(child, path))
 
     def entries(self) -> Iterator[tuple[bytes, object]]:
         return walk(self.root, b"")

@@ -80,10 +80,19 @@ def test_a_third_of_all_rows_with_one_text_is_cut_inside(spark):
     assert len(sizes) == 6 and max(r.s for r in sizes) < 1.2 * min(r.s for r in sizes)
 
 
-def test_shards_of_nothing_and_reserved_names(nothing):
+def test_shards_of_nothing(nothing):
     assert sharded(nothing, 4).count() == 0
-    with pytest.raises(ValueError):
-        sharded(nothing.withColumn("slot", F.lit(1)), 4)
+
+
+def test_equal_rows_without_identifiers_are_cut_apart(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "FEW_ROWS", 2)
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = collected(sharded(df, 8))
+    assert Counter(r["shard"] for r in got) == Counter({s: 500 for s in range(8)}) or max(Counter(r["shard"] for r in got).values()) <= 1.1 * 500
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert len(by) == 8 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
 def test_running_totals_are_exact(spark):

@@ -1,4 +1,4 @@
-"""The pipeline's two dedup stages together against brute force, on the smallest table with planted pairs around 0.8."""
+"""The pipeline's two dedup stages together against brute force, on the smallest table with planted near copies."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import xxhash
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = [f"word{i}" for i in range(600)]
 
 
-def shingles(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def test_dedup_stages_keep_what_brute_force_keeps(spark, tmp_path):
@@ -21,34 +25,29 @@ def test_dedup_stages_keep_what_brute_force_keeps(spark, tmp_path):
     rows, planted = [tuple(r) for r in docs.collect()], []
     for g in range(60):
         rng = random.Random(g)
-        base, part = rng.choices(WORDS, k=300), (0.06 + 0.04 * rng.random() if g % 2 else 0.125 + 0.035 * rng.random())
-        new = rng.choices(WORDS, k=int(300 * part))
-        pair = [" ".join(base), " ".join(base[:90] + new + base[90 + len(new) :])]
-        planted += [(10**6 + 2 * g + i, t, "en", "planted", len(t)) for i, t in enumerate(pair)]
+        base = rng.choices(WORDS, k=300)
+        changed = [*base[:90], *rng.choices(WORDS, k=(1, 3, 60)[g % 3]), *base[90 + (1, 3, 60)[g % 3] :]]
+        planted += [(10**6 + 2 * g + i, " ".join(t), "en", "planted", len(t)) for i, t in enumerate((base, changed))]
     path = str(tmp_path / "docs")
     spark.createDataFrame(rows + planted, docs.schema).repartition(3).write.parquet(path)
 
     first = {}
     for id_, text, *_ in sorted(rows + planted):
-        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), (id_, shingles(text)))
-    left, parent = sorted(first.values(), key=lambda x: x[0]), {}
-    for k, (a, of_a) in enumerate(left):
-        for b, of_b in left[k + 1 :]:
-            common = len(of_a & of_b)
-            if of_a == of_b or common and common / (len(of_a) + len(of_b) - common) >= 0.8:
-                parent.setdefault(b, []).append(a)
-                parent.setdefault(a, []).append(b)
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), (id_, fingerprint(text)))
+    left = sorted(first.values())
+    prints = np.array([f for _, f in left], np.uint64)
     want, seen = set(), set()
-    for id_, _ in left:
-        if id_ not in seen:
+    for i, (id_, _) in enumerate(left):
+        if i not in seen:
             want.add(id_)
-            todo = [id_]
+            todo = [i]
             while todo:
                 x = todo.pop()
                 if x not in seen:
                     seen.add(x)
-                    todo += parent.get(x, [])
-    assert {10**6 + 4 * g + i for g in range(30) for i in (0, 1)} <= want  # 0.70 to 0.79: both stay
+                    todo += np.flatnonzero(np.bitwise_count(prints ^ prints[x]) <= 4).tolist()
+    assert {10**6 + 6 * g + i for g in range(20) for i in (4, 5)} <= want  # a fifth is new: both stay
+    assert len(want) < len(left)
 
     stages = dict(corpus_pipeline.STAGES)
     stages["exact_dedup"](spark, spark.read.parquet(path), SMALL).write.parquet(str(tmp_path / "distinct"))
