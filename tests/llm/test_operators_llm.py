@@ -188,8 +188,8 @@ def test_bpe_over_a_table(docs, nothing, reference_tokenizer):
     got = bpe.decode_tokens(bpe.encode_tokens(docs, vocabulary_path()).withColumnRenamed("decoded", "shown"), vocabulary_path())
     assert all(r["decoded"] == r["shown"] and len(r["tokens"]) == len(reference_tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in collected(got))
     assert bpe.encode_digests(nothing, vocabulary_path()).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode_tokens(docs.withColumn("tokens", F.lit(1)), vocabulary_path())
+    clashing = bpe.encode_tokens(docs.withColumn("tokens", F.lit(1)), vocabulary_path())
+    assert clashing.columns == [*docs.columns, "tokens_input", "tokens", "decoded"]
 
 
 # Components, SimHash
