@@ -46,10 +46,14 @@ from rollcall.llm.streams import sliced, sorted_groups, tidy
 CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 OTHER_SPACE = re.compile(r" (?![\w!-~])|(?<![\w!-~]) ")
 SOLID = re.compile(r"[\w!-~]")
+# How A's pre-tokenizer splits text, for the second library that reads its vocabulary.
+A_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Printable ASCII and Latin letters, whose classes are the same in all versions of Unicode.
+PLAIN = re.compile(r"[ -~À-ÖØ-öø-ſ]*").fullmatch
 # Characters of segments encoded as one text.
 JOINED = 1 << 16
 # Segments a task remembers, and their characters, before it starts anew.
-SEGMENTS = 400_000
+SEGMENTS = 500_000
 SEGMENT_CHARS = 16 << 20
 SLICE_BYTES = 1 << 20
 # Keys a slice of the hash has about, and places a level has per key.
@@ -79,6 +83,7 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.b = SentencePieceProcessor(model_file=b_path)
+        self.a_plain = _plain_encoder(a_path)
         byte_of = {s: i for i, s in enumerate(byte_symbols())}
         self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
         for token, i in self.a.get_vocab().items():
@@ -89,6 +94,7 @@ class Aligner:
         self.b_len = np.array([len(t) for t in self.b_bytes])
         # Pieces with a space behind another character could cross a cut.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.marked = [f"{i}{m}" for m in ",|;\n" for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.forget()
 
     @property
@@ -113,22 +119,24 @@ class Aligner:
     def learn(self, fresh: list[str], alone: set[str], groups: bool) -> None:
         """Aligns new segments. Those of many are encoded as one text, but for the ones ``alone``, whose first or last
         character may not stand beside a cut; ``groups``: as text too."""
-        joined, size = [], JOINED + 1
-        for segment in fresh if self.cuts else ():
-            if segment not in alone:
-                if size > JOINED:
-                    joined.append([])
-                    size = 0
-                joined[-1].append(segment)
-                size += len(segment) + 1
-        self._learn(joined, groups)
-        self._learn([[s] for s in fresh if s in alone or not self.cuts], groups)
-
-    def _learn(self, parts: list[list[str]], groups: bool) -> None:
+        plain, other, single = [], [], []
+        for segment in fresh:
+            if not self.cuts or segment in alone:
+                single.append([segment])
+            else:
+                (plain if PLAIN(segment) else other).append(segment)
+        self._learn(_joined(plain), groups, self.a_plain)
+        self._learn(_joined(other), groups)
+        self._learn(single, groups)
+
+    def _learn(self, parts: list[list[str]], groups: bool, encoder=None) -> None:
         if not parts:
             return
         texts = [" ".join(p) for p in parts]
-        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        if encoder:
+            a = [encoder(" " + t) for t in texts]
+        else:
+            a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         spelt = [self._spells(self.a_bytes, x, t) and self._spells(self.b_bytes, y, t) for x, y, t in zip(a, b, texts, strict=True)]
         if not all(spelt):
@@ -167,16 +175,43 @@ class Aligner:
     def _groups(self, a, b, cut_a, cut_b, last) -> list[str]:
         """Each segment's groups as text. ``last``: position of the last token of B of each segment."""
         order = np.argsort(np.concatenate((2 * (np.cumsum(cut_a) - cut_a), 2 * (np.cumsum(cut_b) - cut_b) + 1)), kind="stable")
-        end_b = np.where(cut_b, ";", ",")
-        end_b[last] = "\n"
-        marks = np.concatenate((np.where(cut_a, "|", ","), end_b))[order].tolist()
-        ids = np.concatenate((a, b))[order].tolist()
-        return "".join([f"{i}{m}" for i, m in zip(ids, marks, strict=True)]).split("\n")[:-1]
+        end_b = 2 * cut_b
+        end_b[last] = 3
+        marks = np.concatenate((1 * cut_a, end_b)) * (len(self.marked) // 4)
+        return "".join(map(self.marked.__getitem__, (marks + np.concatenate((a, b)))[order].tolist())).split("\n")[:-1]
 
     def full(self) -> bool:
         return len(self.numbers) > SEGMENTS or self.chars > SEGMENT_CHARS
 
 
+def _plain_encoder(path: str):
+    """A's encoder of ``PLAIN`` text by the quicker library, as classes of characters can't differ there; None unless the
+    file's merges come in the order of their ids, as that library takes ids for ranks."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, byte_of = model["vocab"], {s: i for i, s in enumerate(byte_symbols())}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if merged != list(range(256, 256 + len(merged))) or {t for t, i in vocab.items() if i < 256} != set(byte_of):
+        return None
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merged)}
+    return tiktoken.Encoding("plain", pat_str=A_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _joined(segments: list[str]) -> list[list[str]]:
+    out, size = [], JOINED + 1
+    for segment in segments:
+        if size > JOINED:
+            out.append([])
+            size = 0
+        out[-1].append(segment)
+        size += len(segment) + 1
+    return out
+
+
 def _flat(lists: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int64)
 
@@ -210,14 +245,12 @@ def _numbered(batches, text: str, paths: tuple[str, str], groups: bool, forgotte
     both.forget()
     for batch in sliced(batches, text, SLICE_BYTES):
         cut = [both.segments(t) if t else [] for t in batch.column(text).to_pylist()]
-        flat, numbers = list(chain.from_iterable(cut)), both.numbers
-        found = list(map(numbers.get, flat))
-        if None in found:
+        flat = list(chain.from_iterable(cut))
+        fresh = set(flat).difference(both.numbers)
+        if fresh:
             ends = {s for c in cut if c for s in (c[0], c[-1])}
-            alone = {s for s in ends if not (SOLID.match(s) and SOLID.match(s[-1]))}
-            both.learn(list(dict.fromkeys([s for s, i in zip(flat, found, strict=True) if i is None])), alone, groups)
-            found = map(numbers.__getitem__, flat)
-        found, n = np.fromiter(found, np.int64, len(flat)), np.array([len(c) for c in cut], np.int64)
+            both.learn(list(fresh), {s for s in ends if not (SOLID.match(s) and SOLID.match(s[-1]))}, groups)
+        found, n = np.fromiter(map(both.numbers.__getitem__, flat), np.int64, len(flat)), np.array([len(c) for c in cut], np.int64)
         text_of = np.repeat(np.arange(len(n)), n)
         bad = np.unique(text_of[both.n_a.all[found] < 0])
         if len(bad):

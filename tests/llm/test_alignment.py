@@ -105,6 +105,14 @@ def test_a_full_memory_is_forgotten(monkeypatch):
     assert seen == [len(both.a.encode(" " + t, add_special_tokens=False).ids) if "▁" not in t else 0 for t in texts]
 
 
+def test_both_libraries_agree_on_plain_text():
+    both = alignment.aligner(*PATHS)
+    letters = [chr(c) for c in range(32, 384) if alignment.PLAIN(chr(c))]
+    texts = ["".join(RNG.choices(letters, k=RNG.randint(1, 60))) for _ in range(3000)] + [f"a{c}b {c}{c} '{c}1{c}" for c in letters]
+    texts += [RNG.choice(["", " ", "  "]).join(RNG.choices(["'s", "'LL", "don't", "été", "  ", "naïve", "über", "12", "x1", "...", "Ĳ", "the", "ing"], k=12)) for _ in range(2000)]
+    assert both.a_plain and [both.a_plain(t) for t in texts] == [x.ids for x in both.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_empty_table_and_clashing_names(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(empty, *PATHS).collect() == []
