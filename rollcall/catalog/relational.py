@@ -21,9 +21,9 @@ from rollcall.operators import dossier as d
 from rollcall.operators.dedup import current_by_cpf
 from rollcall.operators.evidence import cpf_evidence, cpf_person_map, cpf_trail
 from rollcall.operators.headcount import count_by_uf
-from rollcall.operators.keysets import families_on_payroll, families_prequalified, family_benefits, flag_membership
+from rollcall.operators.keysets import families_on_payroll, families_prequalified, family_benefits, flag_membership, members_of
 from rollcall.operators.recency import recency_buckets
-from rollcall.operators.joins import scattered
+from rollcall.operators.skew import join_salted
 from rollcall.operators.sampling import first_per_stratum, simple_sample, take_by_relation
 from rollcall.operators.sizing import measure_keys
 from rollcall.operators.universe import active_universe, families_of, persons_of
@@ -73,8 +73,7 @@ def _people(s: Star) -> DataFrame:
 
 def _listed_with_evidence(s: Star) -> DataFrame:
     evidence = cpf_evidence(_trail(s)).select("CPF_NUM", "FL_TEM_PESSOA", "FL_FAM_3")
-    listed = s.people.withColumn("_key", scattered("CPF_NUM"))
-    return listed.join(evidence.withColumnRenamed("CPF_NUM", "_key"), "_key", "left").select(
+    return join_salted(s.people, evidence, "CPF_NUM", "left").select(
         "NOME", F.coalesce("FL_TEM_PESSOA", F.lit(0)).alias("FL_TEM_PESSOA"), F.coalesce("FL_FAM_3", F.lit(0)).alias("FL_FAM_3")
     )
 
@@ -247,12 +246,12 @@ ENTRIES = [
     ),
     Entry(
         "r23_semi_join",
-        lambda s: _people(s).join(_paid(s), FAMILY, "left_semi").select("NU_NIS_PESSOA"),
+        lambda s: members_of(_people(s), _paid(s), FAMILY, FAMILY).select("NU_NIS_PESSOA"),
         oracle("SELECT NU_NIS_PESSOA FROM TB_PESSOA_04 JOIN paid ON CO_FAMILIAR = CO_FAMILIAR_FAM"),
     ),
     Entry(
         "r24_anti_join",
-        lambda s: _people(s).join(_paid(s), FAMILY, "left_anti").select("NU_NIS_PESSOA"),
+        lambda s: members_of(_people(s), _paid(s), FAMILY, FAMILY, absent=True).select("NU_NIS_PESSOA"),
         oracle("SELECT NU_NIS_PESSOA FROM TB_PESSOA_04 p WHERE NOT EXISTS (SELECT 1 FROM paid x WHERE x.CO_FAMILIAR = p.CO_FAMILIAR_FAM)"),
     ),
     Entry(

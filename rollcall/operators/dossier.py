@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollcall.operators.joins import attach
 from rollcall.operators.sizing import Measured, measure, measure_keys
-from rollcall.operators.skew import hot_keys, join_unique
+from rollcall.operators.skew import join_salted
 from rollcall.registry import Registry
 
 PERSON_KEY = "CO_CHV_NATURAL_PESSOA"
@@ -135,8 +135,12 @@ def dossier_rows(
         narrowed = found.narrow(benefits, "CO_FAMILIAR", "PES_" + FAMILY_KEY)
         household = household.join(narrowed, on_family, "left").drop("CO_FAMILIAR")
     household = household.withColumn("PES_" + FAMILY_KEY, F.col("FAM_" + FAMILY_KEY))
-    crowded = [] if found.small else hot_keys(reg.person, FAMILY_KEY)
-    out = join_unique(found.frame, household, "PES_" + FAMILY_KEY, crowded)
+    on = "PES_" + FAMILY_KEY
+    if found.small:
+        out = found.frame.join(household, on)
+    else:
+        vary = ("DOC_" + PERSON_KEY, "DOC_NU_CPF_PESSOA")
+        out = join_salted(found.frame, household, on, counted=reg.person.select(F.col(FAMILY_KEY).alias(on)), vary=vary)
     if contact:
         family_keys = found.frame.select("PES_" + FAMILY_KEY)
         phones = found.narrow(contacts(reg.contact), "CONT_FAMILY", "PES_" + FAMILY_KEY)

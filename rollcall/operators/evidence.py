@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.cpf import parse_cpf
 from rollcall.operators.keysets import has_flag
-from rollcall.operators.skew import join_unique
+from rollcall.operators.skew import join_salted
 from rollcall.operators.universe import REGISTERED
 
 # The person columns the evidence is drawn from.
@@ -27,15 +25,15 @@ def cpf_person_map(document: DataFrame) -> DataFrame:
 
 
 def cpf_trail(
-    cpf_map: DataFrame, person: DataFrame, family: DataFrame, benefits: DataFrame, hot_families: Sequence = ()
+    cpf_map: DataFrame, person: DataFrame, family: DataFrame, benefits: DataFrame, few: bool = False
 ) -> DataFrame:
     """Every (tax id, person, family) occurrence with states, dates and benefit flags.
 
     Each tax id also has one row with nothing but itself per document person, which keeps those without a
     person. Persons are found by an inner join, where a person key with very many rows can be split; the
     aggregates over a tax id are maxima, so the extra rows change none of them. The family side (unique per
-    family) is put together first, so the person rows meet it in one join; ``hot_families`` are families
-    with very many persons.
+    family) is put together first, so the person rows meet it in one join, which spreads a family with very
+    many persons and the persons without a family; ``few`` says that ``person`` was counted and is small.
     """
     households = (
         family.select(
@@ -49,7 +47,11 @@ def cpf_trail(
     found = cpf_map.withColumnRenamed("CO_CHV_NATURAL_PESSOA", "_p")
     linked = found.join(people, F.col("_p") == F.col("PERSON_KEY")).drop("_p")
     households = households.withColumn("CO_FAMILIAR_FAM", F.col("FAM_KEY"))
-    trail = join_unique(linked, households, "CO_FAMILIAR_FAM", hot_families, "left")
+    if few:
+        trail = linked.join(households, "CO_FAMILIAR_FAM", "left")
+    else:
+        vary = ("CPF_NUM", "PERSON_KEY")
+        trail = join_salted(linked, households, "CO_FAMILIAR_FAM", "left", counted=person, vary=vary)
     return trail.unionByName(cpf_map.select("CPF_NUM"), allowMissingColumns=True)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.benefits import ACTIVE_SITUATIONS, HELD_SITUATIONS
-from rollcall.operators.skew import join_unique
+from rollcall.operators.skew import join_salted
 
 FAMILY_KEY = "CO_FAMILIAR"
 
@@ -78,6 +78,11 @@ def has_flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
+def members_of(df: DataFrame, keys: DataFrame, on: str, key: str = FAMILY_KEY, absent: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``on`` occurs in ``keys[key]``; with ``absent`` those whose ``on`` does not, NULLs included."""
+    return join_salted(df, keys.select(F.col(key).alias(on)).distinct(), on, "left_anti" if absent else "left_semi")
+
+
 def flag_membership(
     df: DataFrame,
     keys: DataFrame,
@@ -86,15 +91,14 @@ def flag_membership(
     out: str = "FLAG",
     yes: object = "SIM",
     no: object = "NAO",
-    hot: Sequence = (),
 ) -> DataFrame:
     """Add ``out``: ``yes`` where ``df[on]`` occurs in ``keys[key]``, else ``no``. Rows never multiply.
 
-    ``hot`` names values of ``on`` that hold very many rows (see ``skew.hot_keys``).
+    A value of ``on`` that holds very many rows, or a missing one, is spread over many tasks.
     """
     marked = keys.select(F.col(key).alias(on)).distinct().withColumn("_hit", F.lit(True))
     return (
-        join_unique(df, marked, on, hot, "left")
+        join_salted(df, marked, on, "left")
         .withColumn(out, F.when(F.col("_hit"), F.lit(yes)).otherwise(F.lit(no)))
         .drop("_hit")
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.operators.skew import hot_keys, join_unique
+from rollcall.operators.skew import join_salted
 
 # Registration states.
 REGISTERED = 3
@@ -76,19 +76,14 @@ def active_universe(
     rule: str = "strict",
     person_columns: Sequence[str] = ("CO_CHV_NATURAL_PESSOA",),
     family_columns: Sequence[str] = ("CO_MUNIC_IBGE_2_FAM",),
-    hot: Sequence = (),
+    derived: bool = False,
 ) -> DataFrame:
     """Persons joined to their family under a status policy; one row per (person, family) row pair.
 
     Adaptive execution splits a family with very many persons when ``family`` is a stored table. For a
-    derived ``family`` (joined or aggregated by family) give such families as ``hot``.
+    ``derived`` one (joined or aggregated by family) the join deals such a family over many tasks itself.
     """
     key = "CO_FAMILIAR_FAM"
     left = persons_of(person, rule).select(key, *person_columns)
     right = families_of(family, rule).select(key, *family_columns)
-    return join_unique(left, right, key, hot)
-
-
-def crowded_families(person: DataFrame, rule: str = "strict") -> list:
-    """Families with so many persons under the policy that joins should set them apart."""
-    return hot_keys(persons_of(person, rule), "CO_FAMILIAR_FAM")
+    return join_salted(left, right, key) if derived else left.join(right, key)

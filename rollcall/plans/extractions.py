@@ -44,7 +44,7 @@ from rollcall.operators.keysets import (
 )
 from rollcall.operators.sampling import simple_sample, stratified_sample
 from rollcall.operators.sizing import Measured, measure
-from rollcall.operators.skew import hot_keys, join_unique
+from rollcall.operators.skew import join_salted
 from rollcall.operators.universe import families_of, persons_of
 from rollcall.params import CandidateRules, Period, SamplePlan, Territory
 from rollcall.registry import Registry
@@ -63,8 +63,12 @@ class _People:
 
     rows: DataFrame
     people: Measured
-    hot_families: list
-    hot_persons: list
+
+    def with_unique(self, rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+        """Left join to a derived table with one row per key; a very frequent key of many rows is spread."""
+        if self.people.small:
+            return rows.join(table, key, "left")
+        return join_salted(rows, table, key, "left", vary=(_PES_KEY, _FAM_KEY, "DOC_" + d.PERSON_KEY))
 
     def of_person(self, table: DataFrame) -> DataFrame:
         return self.people.narrow(table, d.PERSON_KEY, _PES_KEY)
@@ -96,24 +100,19 @@ def _people_of(
         families.hinted(), F.col("PES_" + d.FAMILY_KEY) == F.col(_FAM_KEY)
     )
     people = measure(joined, keep=True) if families.small else Measured(joined, None)
-    hot_families, hot_persons = [], []
-    if not people.small:
-        hot_families = hot_keys(person, d.FAMILY_KEY)
-        hot_persons = list({*hot_keys(person, d.PERSON_KEY), *hot_keys(reg.document, d.PERSON_KEY)})
-
     documents = people.narrow(reg.document.where(F.col("NU_CPF_PESSOA").isNotNull()), d.PERSON_KEY, _PES_KEY)
     rows = people.frame.join(
         d.prefixed(documents, "DOC_", document_columns),
         F.col(_PES_KEY) == F.col("DOC_" + d.PERSON_KEY),
     )
-    return _People(rows, people, hot_families, hot_persons)
+    return _People(rows, people)
 
 
 def _with_schooling(found: _People, rows: DataFrame, schooling: DataFrame, level: Column, default: str) -> DataFrame:
     """Left-join the schooling level; repeated schooling rows of a person give one level."""
     levels = schooling.select(F.col(d.PERSON_KEY).alias(_PES_KEY), level.alias("ESCOLARIDADE"))
     levels = levels.groupBy(_PES_KEY).agg(F.min("ESCOLARIDADE").alias("ESCOLARIDADE"))
-    joined = join_unique(rows, levels, _PES_KEY, found.hot_persons, "left")
+    joined = found.with_unique(rows, levels, _PES_KEY)
     return joined.withColumn("ESCOLARIDADE", F.coalesce("ESCOLARIDADE", F.lit(default)))
 
 
@@ -126,7 +125,7 @@ def _with_household(found: _People, rows: DataFrame, *tables: DataFrame) -> Data
     household = first.withColumnRenamed(first.columns[0], _FAM_KEY)
     for other in others:
         household = household.join(other.withColumnRenamed(other.columns[0], _FAM_KEY), _FAM_KEY, "full")
-    return join_unique(rows, household, _FAM_KEY, found.hot_families, "left")
+    return found.with_unique(rows, household, _FAM_KEY)
 
 
 def _place(municipality: str | None = None) -> list[Column]:

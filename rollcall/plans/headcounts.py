@@ -13,7 +13,7 @@ from rollcall.operators.headcount import count_by_uf
 from rollcall.operators.keysets import families_on_payroll, families_prequalified
 from rollcall.operators.recency import recency_buckets
 from rollcall.operators.sizing import measure
-from rollcall.operators.universe import active_universe, crowded_families, families_of, persons_of
+from rollcall.operators.universe import active_universe, families_of, persons_of
 from rollcall.params import Period, Territory
 from rollcall.registry import Registry
 
@@ -38,7 +38,7 @@ def queued_persons_by_uf(reg: Registry, period: Period) -> DataFrame:
     """(person, family, state) rows of queued families per state and in total."""
     queued = _on_family(families_prequalified(reg.queue, period.rf_queue))
     families = reg.family.join(queued, FAMILY, "left_semi")
-    rows = active_universe(reg.person, families, hot=crowded_families(reg.person))
+    rows = active_universe(reg.person, families, derived=True)
     rows = rows.select(PERSON, FAMILY, UF_CODE).distinct()
     counted = count_by_uf(rows, uf_sigla(F.col(UF_CODE)), "Qtd_Pessoas_PreHabilitadas", total_row=True)
     return counted.orderBy("UF")
@@ -91,8 +91,7 @@ def persons_registered_and_paid(reg: Registry, period: Period) -> DataFrame:
     """
     paid = _on_family(families_on_payroll(reg.payroll, period.rf_payroll)).withColumn("_paid", F.lit(True))
     families = families_of(reg.family, "strict").join(paid, FAMILY, "left")
-    hot = crowded_families(reg.person)
-    pairs = active_universe(reg.person, families, family_columns=("_paid",), hot=hot).distinct()
+    pairs = active_universe(reg.person, families, family_columns=("_paid",), derived=True).distinct()
     return pairs.agg(
         F.count(F.lit(1)).alias("Pessoas_inscritos_CadUnico"),
         F.count_distinct(F.when(F.col("_paid"), F.col(PERSON))).alias("Pessoas_inscritas_BolsaFamilia"),
@@ -104,7 +103,7 @@ def paid_persons_by_uf(reg: Registry, period: Period) -> DataFrame:
     paid = _on_family(families_on_payroll(reg.payroll, period.rf_payroll))
     families = reg.family.join(paid, FAMILY, "left_semi")
     counted = count_by_uf(
-        active_universe(reg.person, families, hot=crowded_families(reg.person)),
+        active_universe(reg.person, families, derived=True),
         uf_sigla(F.col(UF_CODE)),
         "Qtd_Pessoas_inscritas_BolsaFamilia_PorUF",
         distinct=PERSON,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +14,9 @@ from rollcall.operators.evidence import (
     evidence_columns,
     payroll_columns,
 )
-from rollcall.operators.joins import scattered
 from rollcall.operators.keysets import family_benefits
 from rollcall.operators.sizing import Measured, measure, measure_keys
-from rollcall.operators.skew import hot_keys, join_unique
+from rollcall.operators.skew import join_salted
 from rollcall.params import Period
 from rollcall.registry import Registry
 
@@ -55,17 +52,21 @@ def reconcile_report(
     per_cpf: DataFrame,
     wording: dict[str, str],
     same_row: bool = False,
-    hot_cpfs: Sequence = (),
+    few: bool = False,
 ) -> DataFrame:
     """The list with answers and reasons; every list row is kept, repeated ones too.
 
     ``per_cpf`` has one row per tax id with the evidence and payroll flags. By default ATIVO asks for a
     state-3 person and a state-3 family that may be on different occurrences; ``same_row`` wants one
-    occurrence with both. ``hot_cpfs`` are tax ids that fill a large part of the list.
+    occurrence with both. A tax id that fills a large part of the list, and the rows without one, are spread
+    over many tasks; ``few`` says that ``per_cpf`` is small and broadcast, so that the list stays in place.
     """
     # The source task is the last sort column: it lets the sort part rows of equal name and tax id.
-    keyed = people.withColumn("_key", scattered("CPF_NUM")).withColumn("_task", F.spark_partition_id())
-    joined = join_unique(keyed, per_cpf.withColumnRenamed("CPF_NUM", "_key"), "_key", hot_cpfs, "left")
+    listed = people.withColumn("_task", F.spark_partition_id())
+    if few:
+        joined = listed.join(F.broadcast(per_cpf), "CPF_NUM", "left")
+    else:
+        joined = join_salted(listed, per_cpf, "CPF_NUM", "left", counted=people, vary=("NOME", "CPF_NUM"))
 
     active = _is_set("FL_MESMA_LINHA") if same_row else _is_set("FL_PESSOA_3") & _is_set("FL_FAM_3")
     reason_registry = (
@@ -120,12 +121,7 @@ def reconcile(
         period.rf_payroll,
         period.rf_queue,
     )
-    crowded = [] if found.small else hot_keys(reg.person, "CO_FAMILIAR_FAM")
-    trail = cpf_trail(known.frame, found.frame, family, benefits, crowded)
+    trail = cpf_trail(known.frame, found.frame, family, benefits, found.small)
     per_cpf = trail.groupBy("CPF_NUM").agg(*evidence_columns(), *payroll_columns(policy))
-    if wanted.small:
-        # At most one row per counted tax id. The list itself is then not shuffled, however often it
-        # repeats one of them.
-        per_cpf = F.broadcast(per_cpf)
-    frequent = [] if wanted.small else hot_keys(people, "CPF_NUM")
-    return reconcile_report(people, per_cpf, WORDING[policy], same_row, frequent)
+    # At most one row per counted tax id: a counted list is not shuffled, however often it repeats one of them.
+    return reconcile_report(people, per_cpf, WORDING[policy], same_row, few=wanted.small)

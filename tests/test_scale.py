@@ -10,6 +10,9 @@ from rollcall.catalog import all_entries
 from rollcall.catalog.entries import PERIOD, Star
 from rollcall.operators import sampling, sizing, skew
 from rollcall.operators.dedup import current_by_cpf
+from rollcall.operators.evidence import cpf_evidence, cpf_payroll_flag, cpf_trail
+from rollcall.operators.keysets import flag_membership, members_of
+from rollcall.operators.universe import active_universe
 from rollcall.params import SamplePlan
 from rollcall.plans import headcounts, reconciliation
 from rollcall.registry import Registry
@@ -78,12 +81,6 @@ def hot_family(spark):
     return Registry(open_table), people
 
 
-@pytest.fixture
-def low_hot_limit(monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 5_000)
-    monkeypatch.setattr(skew, "SAMPLE_FRACTION", 1.0)
-
-
 def test_hot_family_is_split_where_stored_tables_meet(spark, hot_family):
     """Adaptive execution splits it, also below a distinct that reuses the join's partitioning."""
     reg, _ = hot_family
@@ -94,28 +91,91 @@ def test_hot_family_is_split_where_stored_tables_meet(spark, hot_family):
         assert "skew=true" in plan and rows == [("SP", ROWS)]
 
 
-def test_hot_family_is_set_apart_where_derived_families_are_joined(spark, hot_family, low_hot_limit):
+def balanced(df, tasks=16):
+    """Rows of each task that makes ``df``; the fullest has at most twice its share."""
+    with settings(df.sparkSession, spark__sql__shuffle__partitions=str(tasks), spark__sql__adaptive__coalescePartitions__enabled="false"):
+        counts = [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(counts) <= 2 * sum(counts) / tasks, sorted(counts)
+    return sum(counts)
+
+
+def test_hot_family_is_spread_where_derived_families_are_joined(spark, hot_family):
     reg, people = hot_family
-    assert skew.hot_keys(people, "CO_FAMILIAR_FAM") == [7]
+    assert list(skew.frequent_keys(people, "CO_FAMILIAR_FAM").first()[0]) == [7]
     in_paid = sum(1 for i in range(ROWS) if (7 if i % 3 == 0 else i % 5000) < 10)
     with shuffled(spark):
         rows, plan = executed(headcounts.persons_registered_and_paid(reg, PERIOD))
-        assert rows == [(ROWS, in_paid)]
-        assert "Union" in plan and plan.split("Initial Plan")[0].count("BroadcastHashJoin") == 1
+        assert rows == [(ROWS, in_paid)] and "Union" not in plan
         rows, _ = executed(headcounts.paid_persons_by_uf(reg, PERIOD))
         assert rows == [("SP", in_paid)]
+        families = reg.family.join(reg.family.select("CO_FAMILIAR_FAM").distinct(), "CO_FAMILIAR_FAM", "left_semi")
+        assert balanced(active_universe(reg.person, families, derived=True)) == ROWS
+
+
+@pytest.fixture
+def third_hot_third_null(spark):
+    return hot(spark, 7, F.when(F.col("id") % 3 == 1, F.col("id") % 5000))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_plain_join(spark, third_hot_third_null, how):
+    left = third_hot_third_null
+    right = spark.range(0, 3000).select(F.when(F.col("id") != 5, F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
+    right = right.unionByName(right.where("k in (7, 10)"))  # keys may repeat
+    with shuffled(spark):
+        salted = skew.join_salted(left, right, "k", how)
+        plain = left.join(right, "k", how).select(*salted.columns)
+        assert salted.count() == plain.count()
+        assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
 
 
-def test_join_unique_equals_plain_join(spark, low_hot_limit):
-    left = hot(spark, 7, F.when(F.col("id") % 3 == 1, F.col("id") % 5000))  # a third hot, a third NULL
-    right = spark.range(0, 3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    hot_ones = skew.hot_keys(left, "k")
-    assert hot_ones == [7]
-    for how in ("inner", "left", "left_semi"):
-        split = skew.join_unique(left, right, "k", hot_ones, how)
-        plain = left.join(right, "k", how)
-        assert split.count() == plain.count()
-        assert split.exceptAll(plain.select(*split.columns)).count() == 0
+def test_salted_join_is_balanced_and_costs_one_more_exchange(spark, third_hot_third_null):
+    left = third_hot_third_null
+    right = spark.range(0, 20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.max("id").alias("v"))
+    with shuffled(spark):
+        assert balanced(skew.join_salted(left, right, "k", "left")) == ROWS
+        assert balanced(skew.join_salted(left, right, "k", "inner")) == 2 * ROWS // 3
+        assert balanced(skew.join_salted(left, right.where("k % 2 = 0"), "k", "left_anti")) > ROWS // 2
+
+        def exchanges(df):
+            return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+        assert exchanges(skew.join_salted(left, right, "k", "left")) == 1.5 * exchanges(left.join(right, "k", "left")) == 3
+
+
+def test_frequent_keys_are_all_found_however_many(spark):
+    """300 keys with a five-hundredth of the rows each stay unmarked, 100 with a 150th each are all marked."""
+    even = spark.range(0, 50_000).select((F.col("id") % 500).alias("k"))
+    assert skew.frequent_keys(even, "k").first()[0] == {}
+    some = spark.range(0, 60_000).select(F.when(F.col("id") % 3 < 2, F.col("id") % 100 - 100).otherwise(F.col("id")).alias("k"))
+    found = skew.frequent_keys(some, "k").first()[0]
+    assert set(found) == set(range(-100, 0)) and set(found.values()) <= {6, 7, 8}
+    assert skew.frequent_keys(spark.range(0), "id").first()[0] == {}
+
+
+def test_memberships_with_a_hot_and_a_missing_family_are_balanced(spark, third_hot_third_null):
+    people, keys = third_hot_third_null, spark.range(0, 2000).select(F.col("id").alias("CO_FAMILIAR"))
+    inside = people.where("k < 2000").count()
+    with shuffled(spark):
+        flagged = flag_membership(people, keys, "k", out="FL", yes=1, no=0)
+        assert balanced(flagged) == ROWS and flagged.agg(F.sum("FL")).first()[0] == inside
+        assert balanced(members_of(people, keys, "k")) == inside
+        assert balanced(members_of(people, keys, "k", absent=True)) == ROWS - inside
+
+
+def test_evidence_with_a_third_of_persons_in_one_family_and_a_third_in_none_is_balanced(spark, third_hot_third_null):
+    people = third_hot_third_null.selectExpr("id AS CO_CHV_NATURAL_PESSOA", "k AS CO_FAMILIAR_FAM", "3 AS CO_EST_CADASTRAL_MEMB", "DATE '2000-01-01' AS DT_ATUAL_MEMB")
+    families = spark.range(0, 5000).selectExpr("id AS CO_FAMILIAR_FAM", "3 AS CO_EST_CADASTRAL_FAM", "DATE '2000-01-01' AS DT_ATUALIZACAO_FAM")
+    benefits = spark.range(0, 10).selectExpr("id AS CO_FAMILIAR", "true AS ON_PAYROLL", "false AS IN_QUEUE")
+    numbers = people.selectExpr("CAST(CO_CHV_NATURAL_PESSOA % 20000 AS DECIMAL(20,0)) AS CPF_NUM", "CO_CHV_NATURAL_PESSOA")
+    with shuffled(spark):
+        trail = cpf_trail(numbers, people, families, benefits)
+        assert balanced(trail.where("PERSON_KEY IS NOT NULL")) == ROWS
+        evidence = cpf_evidence(trail).agg(F.count("*"), F.sum("FL_TEM_FAMILIA"), F.sum("FL_PESSOA_3")).first()
+        paid = cpf_payroll_flag(trail, "any_family").agg(F.sum("FL_PBF")).first()[0]
+    in_family = {i % 20000 for i in range(ROWS) if i % 3 < 2}
+    in_paid = {i % 20000 for i in range(ROWS) if i % 3 == 0 or i % 3 == 1 and i % 5000 < 10}
+    assert tuple(evidence) == (20000, len(in_family), 20000) and paid == len(in_paid)
 
 
 def test_hot_family_shrinks_before_the_shuffle_when_only_keys_matter(spark, hot_family):
@@ -134,22 +194,23 @@ def test_hot_cpf_is_cut_before_the_shuffle(spark):
     assert best.where("k = '00000000000'").select("id").collect()[0][0] == 99  # day 49, smallest multiple of 3
 
 
-def test_hot_cpf_in_a_large_list(spark, monkeypatch, low_hot_limit):
-    """A list too large to broadcast, a third of it one tax id and a third without any."""
+@pytest.mark.parametrize("files", [1, 6])
+def test_hot_cpf_in_a_large_list(spark, monkeypatch, files):
+    """A list too large to broadcast, a third of it one tax id and a third without any, also from a single file."""
     monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", -1)
     raw = F.when(F.col("id") % 3 == 0, "7").when(F.col("id") % 3 == 1, F.lit(None).cast("string")).otherwise(F.col("id").cast("string"))
     people = people_list(
-        spark.range(0, ROWS, numPartitions=6).select(F.concat(F.lit("N"), F.col("id") % 100).alias("NOME"), raw.alias("CPF_RAW"))
+        spark.range(0, ROWS, numPartitions=files).select(F.concat(F.lit("N"), F.col("id") % 1000).alias("NOME"), raw.alias("CPF_RAW"))
     )
     with shuffled(spark):
         star = Star(spark, SF_DIR)
         report = reconciliation.reconcile(star.reg, people, PERIOD, "any_family")
         rows, plan = executed(report)
+        evidence = spark.range(0, 100).selectExpr("CAST(id AS DECIMAL(20,0)) AS CPF_NUM", "1 AS FL").distinct()
+        assert balanced(skew.join_salted(people, evidence, "CPF_NUM", "left", vary=("NOME", "CPF_NUM"))) == ROWS
     assert len(rows) == ROWS
     assert sum(r[1] is None for r in rows) == ROWS // 3
     assert sum(r[1] == "00000000007" for r in rows) == ROWS // 3
-    # The frequent tax id is joined apart, against its one evidence row.
-    assert "Union" in plan and "BroadcastHashJoin" in plan.split("Initial Plan")[0]
 
 
 def test_large_sample_is_ranked_in_many_small_groups(spark):
