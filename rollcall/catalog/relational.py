@@ -34,7 +34,7 @@ from rollcall.plans.headcounts import (
     payroll_months,
     registered_persons,
 )
-from rollcall.sources import SnapshotStore, people_list
+from rollcall.sources import SnapshotStore, people_list, rejected
 
 PERSON, FAMILY = "CO_CHV_NATURAL_PESSOA", "CO_FAMILIAR_FAM"
 _ALL_PERSON = "CO_CHV_NATURAL_PESSOA, CO_FAMILIAR_FAM, " + ", ".join(d.PERSON_ALL[2:]) + ", CO_SEXO_PESSOA"
@@ -101,6 +101,24 @@ ENTRIES = [
         lambda s: people_list(s.raw_list).withColumn("CPF_NUM", F.col("CPF_NUM").cast("string")),
         oracle("SELECT NOME, CPF_RAW, CAST(cpf_num AS VARCHAR) AS CPF_NUM FROM listed"),
     ),
+    Entry(
+        "r51_rejected_tax_ids",
+        lambda s: rejected(s.people),
+        oracle(
+            """SELECT NOME, CPF_RAW, CASE WHEN coalesce(digits, '') = '' THEN 'EMPTY' WHEN NOT regexp_full_match(digits, '[0-9]+') THEN 'NOT DIGITS'
+                 ELSE 'TOO LONG' END AS PROBLEMA
+               FROM (SELECT *, regexp_replace(CPF_RAW, '[ ./-]', '', 'g') AS digits FROM listed WHERE cpf_num IS NULL) t"""
+        ),
+    ),
+    Entry(
+        "r51_rejected_counts",
+        lambda s: rejected(s.people).groupBy("PROBLEMA").agg(F.count(F.lit(1)).alias("rows")),
+        oracle(
+            """SELECT CASE WHEN coalesce(digits, '') = '' THEN 'EMPTY' WHEN NOT regexp_full_match(digits, '[0-9]+') THEN 'NOT DIGITS'
+                 ELSE 'TOO LONG' END AS PROBLEMA, count(*) AS rows
+               FROM (SELECT *, regexp_replace(CPF_RAW, '[ ./-]', '', 'g') AS digits FROM listed WHERE cpf_num IS NULL) t GROUP BY 1"""
+        ),
+    ),
     Entry(
         "r04_constants",
         lambda s: s.reg.payroll.where(F.col("RF_FOLHA") == PERIOD.rf_payroll)

@@ -32,6 +32,16 @@ def clean_cpf(text: Column) -> Column:
     return parse_cpf(strip_mask(text))
 
 
+def cpf_problem(text: Column) -> Column:
+    """Why ``clean_cpf`` gives no number: EMPTY, NOT DIGITS or TOO LONG; NULL where it gives one."""
+    plain = F.trim(strip_mask(text))
+    return (
+        F.when(F.coalesce(plain, F.lit("")) == "", "EMPTY")
+        .when(~plain.rlike("^[0-9]+$"), "NOT DIGITS")
+        .when(plain.try_cast(CPF_NUMBER).isNull(), "TOO LONG")
+    )
+
+
 def format_cpf(number: Column) -> Column:
     """Zero-padded text of 11 digits; longer numbers are cut to their first 11, as padding does."""
     return F.lpad(number.cast("string"), CPF_DIGITS, "0")

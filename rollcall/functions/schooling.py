@@ -25,8 +25,9 @@ LEVELS: dict[str, tuple[Rule, ...]] = {
     "EFI": (
         Rule(NOW, (7,), (1, 10)),
         Rule(NOW, (10, 11)),
-        Rule(PAST, (5, 7), (8, 10)),
+        Rule(PAST, (5,), (8, 10)),
         Rule(PAST, (6,), (9, 10)),
+        Rule(PAST, (7,), (8, 10)),
         Rule(PAST, (11,)),
     ),
     "EFC": (

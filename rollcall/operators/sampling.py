@@ -2,7 +2,8 @@
 
 The random order is the MD5 of the tax id, then the tax id itself: any two runs pick the same rows. A seed put
 before the tax id gives another draw, as repeatable as the first.
-No step ranks all rows of a stratum in one task.
+No step ranks all rows of a stratum in one task. A large sample reads its input twice and copies none of it: once the
+key and stratum only, for the histogram of hash prefixes, and once to rank the rows whose prefix can be in the sample.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.params import SamplePlan
-from rollcall.session import settle
 
 # Up to this many ranks per stratum Spark cuts each task's rows to the ranks asked for before the shuffle
 # (its own default for that optimisation). Larger samples find their cut-off from a histogram.
@@ -53,7 +53,7 @@ def simple_sample(df: DataFrame, n: int, key: str = "CPF", seed: int | None = No
     """``n`` rows in hash order (all rows when there are fewer)."""
     if n <= GROUP_LIMIT_RANKS:
         return df.withColumn("_hash", hash_order(key, seed)).orderBy("_hash", key).limit(n).drop("_hash")
-    rows = _bucketed(settle(df), key, seed).withColumn("_all", F.lit(0))
+    rows = _bucketed(df, key, seed).withColumn("_all", F.lit(0))
     ranked = _ranked_by_histogram(rows, _histogram(rows, "_all"), F.lit(n), key, "_all")
     return ranked.where(F.col("_rn") <= n).select(*df.columns)
 
@@ -62,7 +62,7 @@ def take_by_relation(
     df: DataFrame, one_row: DataFrame, count: str, key: str = "CPF", seed: int | None = None
 ) -> DataFrame:
     """The first rows in hash order, as many as ``one_row[count]`` says (a relation of one row)."""
-    rows = _bucketed(settle(df), key, seed).withColumn("_all", F.lit(0))
+    rows = _bucketed(df, key, seed).withColumn("_all", F.lit(0))
     wanted = F.broadcast(one_row.select(F.col(count).alias("_wanted")))
     histogram = _histogram(rows, "_all").crossJoin(wanted)
     ranked = _ranked_by_histogram(rows, histogram, F.col("_wanted"), key, "_all").crossJoin(wanted)
@@ -85,7 +85,7 @@ def first_per_stratum(
         hashed = df.where(F.col(stratum).isin(*quotas)).withColumn("_hash", hash_order(key, seed))
         ranked = hashed.withColumn(rank, F.row_number().over(by_stratum)).where(F.col(rank) <= most)
     else:
-        rows = _bucketed(settle(df.where(F.col(stratum).isin(*quotas))), key, seed)
+        rows = _bucketed(df.where(F.col(stratum).isin(*quotas)), key, seed)
         ranked = _ranked_by_histogram(rows, _histogram(rows, stratum), quota, key, stratum).withColumn(
             rank, F.col("_rn").cast("int")
         )
@@ -124,7 +124,7 @@ def stratified_sample(df: DataFrame, plan: SamplePlan, key: str = "CPF", stratum
         picked = F.sum(F.when(F.col("_rn") <= quota, 1).otherwise(0)).over(everything)
         ranked = ranked.withColumn("_missing", F.lit(wanted) - picked)
     else:
-        rows = _bucketed(settle(df), key, plan.seed)
+        rows = _bucketed(df, key, plan.seed)
         histogram = _histogram(rows, stratum)
         per_stratum = histogram.groupBy(stratum).agg(F.sum("_n").alias("_n"))
         missing = per_stratum.agg(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rollcall.session import settle
@@ -47,12 +47,17 @@ class Measured:
 def measure(df: DataFrame, max_rows: int | None = None, keep: bool = False) -> Measured:
     """Count ``df``; nothing but the count reaches the driver.
 
-    ``keep`` writes the relation to the checkpoint folder first and counts it there, so that neither the
-    count nor the joins built on it compute it again. Use it for what is expected to be a small part of a
+    ``keep`` writes the relation to the checkpoint folder and counts it in that same pass, so that neither
+    the count nor the joins built on it compute it again. Use it for what is expected to be a small part of a
     large table.
     """
-    frame = settle(df) if keep else df
-    rows = frame.count()
+    if keep:
+        # Counted while it is written; a task that ran twice can only make the count too large.
+        seen = Observation()
+        frame = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        rows = seen.get["rows"]
+    else:
+        frame, rows = df, df.count()
     return Measured(frame, rows if rows <= _limit(max_rows) else None)
 
 

@@ -223,12 +223,18 @@ def municipal_current(
 
 
 def state_candidates(
-    reg: Registry, territory: Territory, period: Period, rules: CandidateRules
+    reg: Registry,
+    territory: Territory,
+    period: Period,
+    rules: CandidateRules,
+    sample_size: int | None = None,
+    seed: int | None = None,
 ) -> DataFrame:
     """Candidates of a state by age, schooling and update recency, one current record per tax id.
 
     The current record is chosen first and the schooling filter applied to it afterwards. Tax ids are
-    compared as numbers; unreadable ones stay apart under their own text, with an empty CPF.
+    compared as numbers; unreadable ones stay apart under their own text, with an empty CPF. ``sample_size``
+    draws so many of them by the hash of the tax id.
     """
     found = _people_of(
         reg, territory, "strict", rules, period, document_columns=(d.PERSON_KEY, "NU_CPF_PESSOA")
@@ -242,6 +248,8 @@ def state_candidates(
     rows = _with_schooling(found, rows, found.of_person(reg.schooling), schooling_level_short(), OTHERS)
     if rules.schooling is not None:
         rows = rows.where(F.col("ESCOLARIDADE").isin(*rules.schooling))
+    if sample_size is not None:
+        rows = simple_sample(rows, sample_size, "_key", seed)
     rows = _with_household(found, rows, _one_contact(found, reg), _benefits(found, reg, period))
     paid, queued = has_flag("ON_PAYROLL"), has_flag("IN_QUEUE")
     return rows.select(
@@ -258,11 +266,17 @@ def state_candidates(
 
 
 def eligible_candidates(
-    reg: Registry, territory: Territory, period: Period, rules: CandidateRules
+    reg: Registry,
+    territory: Territory,
+    period: Period,
+    rules: CandidateRules,
+    sample_size: int | None = None,
+    seed: int | None = None,
 ) -> DataFrame:
     """Eligible candidates of a state, one current record per tax id among those with the wanted schooling.
 
-    Here the schooling filter comes before the choice of the current record.
+    Here the schooling filter comes before the choice of the current record. ``sample_size`` draws so many of
+    them by the hash of the tax id.
     """
     found = _people_of(
         reg, territory, "eligible", rules, period, document_columns=(d.PERSON_KEY, "NU_CPF_PESSOA")
@@ -276,6 +290,8 @@ def eligible_candidates(
         rows = rows.where(F.col("ESCOLARIDADE").isin(*wanted))
     order = member_recency("PES_DT_ATUAL_MEMB", "FAM_DT_ATUALIZACAO_FAM", _PES_KEY, _FAM_KEY)
     rows = current_by_cpf(rows, order, "DOC_NU_CPF_PESSOA")
+    if sample_size is not None:
+        rows = simple_sample(rows, sample_size, "DOC_NU_CPF_PESSOA", seed)
     rows = _with_household(found, rows, _one_contact(found, reg), _benefits(found, reg, period))
     return rows.select(
         F.col("DOC_NU_CPF_PESSOA").alias("CPF"),

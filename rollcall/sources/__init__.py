@@ -1,14 +1,16 @@
 """Readers and writers: monthly snapshots, monthly benefit views, caller lists, reports."""
 
-from rollcall.sources.people_list import people_list, read_people_list
+from rollcall.sources.people_list import people_list, read_people_list, rejected
 from rollcall.sources.reports import write_report
-from rollcall.sources.snapshots import Snapshot, SnapshotStore, write_monthly_view, write_snapshot_table
+from rollcall.sources.snapshots import Snapshot, SnapshotStore, write_bucketed, write_monthly_view, write_snapshot_table
 
 __all__ = [
     "Snapshot",
     "SnapshotStore",
     "people_list",
     "read_people_list",
+    "rejected",
+    "write_bucketed",
     "write_monthly_view",
     "write_report",
     "write_snapshot_table",

@@ -34,6 +34,20 @@ CLUSTERED_BY = {
 }
 
 
+# Key whose buckets a catalogue table is stored in: tables that meet by family stay in place when they are joined, and a
+# document joined to its person moves the persons only.
+BUCKETED_BY = {
+    "TB_FAMILIA_01": "CO_FAMILIAR_FAM",
+    "TB_PESSOA_04": "CO_FAMILIAR_FAM",
+    "TB_DOCUMENTO_05": "CO_CHV_NATURAL_PESSOA",
+    "TB_ESCOLARIDADE_07": "CO_CHV_NATURAL_PESSOA",
+    "TB_CONTATO_09": "CO_FAMILIAR_FAM",
+    "TB_PESSOA_EXCLUIDA_19": "CO_CHV_NATURAL_PESSOA",
+    "VW_FOLHA_PAGAMENTO": "CO_FAMILIAR",
+    "VW_PRE_HABILITACAO_PBF": "CO_FAMILIAR",
+}
+
+
 @dataclass(frozen=True)
 class SnapshotStore:
     """Where the tables come from: a function from table name to the frame holding all its months."""
@@ -100,3 +114,28 @@ def write_monthly_view(df: DataFrame, root: str, name: str) -> None:
         .partitionBy(VIEW_MONTH_COLUMN)
         .parquet(f"{root.rstrip('/')}/{name}")
     )
+
+
+def write_bucketed(
+    df: DataFrame, name: str, buckets: int, anomes_ods: int | None = None, database: str | None = None, path: str | None = None
+) -> None:
+    """Store a table in the session catalogue, in ``buckets`` buckets of its join key, sorted by it.
+
+    A registry table replaces one month (``anomes_ods``), a benefit view the months present in ``df``; other
+    months stay. Use the same number of buckets for all tables, about one for each 128 MB of the largest
+    month. ``path`` keeps a new table's files there instead of in the warehouse. Read it with
+    ``SnapshotStore.catalog``.
+    """
+    spark, table, key = df.sparkSession, f"{database}.{name}" if database else name, BUCKETED_BY[name]
+    rows, month = conform(df, TABLES[name], name), VIEW_MONTH_COLUMN
+    if name not in MONTHLY_VIEWS:
+        if anomes_ods is None:
+            raise ValueError(f"{name} is stored by snapshot month: give anomes_ods")
+        rows, month = rows.withColumn(MONTH_COLUMN, F.lit(Month(anomes_ods).yyyymm)), MONTH_COLUMN
+    # The month goes last, as the partition column does in the stored table. Each task writes whole buckets.
+    rows = rows.select(*[c for c in rows.columns if c != month], month).repartition(buckets, key)
+    if spark.catalog.tableExists(table):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    else:
+        writer = rows.write.format("parquet").partitionBy(month).bucketBy(buckets, key).sortBy(key)
+        (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -226,6 +226,18 @@ def test_large_sample_is_ranked_in_many_small_groups(spark):
     assert {r[0]: r[1] for r in out.groupBy("CATEGORIA").count().collect()} == plan.quotas()
 
 
+def test_large_samples_write_no_table(spark, monkeypatch):
+    """The population is not copied: rows are read once for the cut-off, key and stratum only, and once for the sample."""
+    from rollcall import session
+
+    monkeypatch.setattr(session, "settle", None)
+    df = spark.range(0, 50_000).selectExpr("IF(id % 2 = 0, 'CAD', 'PRE') AS CATEGORIA", "CAST(id AS STRING) AS CPF", "id AS other")
+    assert sampling.simple_sample(df, 5_000).count() == 5_000
+    picked = sampling.stratified_sample(df, SamplePlan(total=3_000, shares={"CAD": 0.5, "PRE": 0.5}))
+    assert picked.count() == 3_000
+    assert sampling.take_by_relation(df, spark.sql("SELECT 2000 AS n"), "n").count() == 2_000
+
+
 def test_small_sample_is_cut_before_the_shuffle(spark):
     df = spark.range(0, 1000).selectExpr("IF(id % 2 = 0, 'CAD', 'PRE') AS CATEGORIA", "CAST(id AS STRING) AS CPF")
     text = sampling.stratified_sample(df, SamplePlan(100))._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from rollcall.schemas import FAMILY, PAYROLL, PEOPLE_LIST, TABLES, MissingColumns, conform
 from rollcall.sources import (
     SnapshotStore,
+    people_list,
     read_people_list,
+    rejected,
+    write_bucketed,
     write_monthly_view,
     write_report,
     write_snapshot_table,
@@ -87,6 +90,56 @@ def test_catalog_store(spark, frame):
     spark.catalog.dropTempView("VW_FOLHA_PAGAMENTO")
 
 
+@pytest.fixture
+def bucketed(spark, frame, tmp_path):
+    spark.sql("CREATE DATABASE bucketed")
+    for month, shift in ((200005, 0), (200006, 1000), (200006, 500)):  # the last replaces its month
+        rows = [{"CO_FAMILIAR_FAM": shift + i, "CO_EST_CADASTRAL_FAM": 3, "CO_MUNIC_IBGE_2_FAM": 35} for i in range(200)]
+        write_bucketed(frame(FAMILY, rows), "TB_FAMILIA_01", 4, month, "bucketed", str(tmp_path / "families"))
+        people = [{"CO_CHV_NATURAL_PESSOA": i, "CO_FAMILIAR_FAM": shift + i % 200, "CO_EST_CADASTRAL_MEMB": 3} for i in range(600)]
+        write_bucketed(frame(TABLES["TB_PESSOA_04"], people), "TB_PESSOA_04", 4, month, "bucketed", str(tmp_path / "people"))
+        documents = [{"CO_CHV_NATURAL_PESSOA": i, "NU_CPF_PESSOA": str(i)} for i in range(600)]
+        write_bucketed(frame(TABLES["TB_DOCUMENTO_05"], documents), "TB_DOCUMENTO_05", 4, month, "bucketed", str(tmp_path / "documents"))
+    pay = [{"CO_FAMILIAR": f, "RF_FOLHA": m} for m in (200006, 200007) for f in range(500, 520)]
+    write_bucketed(frame(PAYROLL, pay), "VW_FOLHA_PAGAMENTO", 4, database="bucketed", path=str(tmp_path / "paid"))
+    yield SnapshotStore.catalog(spark, "bucketed").at(200006).registry()
+    spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def test_bucketed_tables_are_joined_without_moving_either(spark, frame, bucketed):
+    from rollcall.operators.universe import active_universe
+
+    reg = bucketed
+    threshold, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(threshold, "-1")
+    try:
+        joined = active_universe(reg.person, reg.family)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 600
+        paid = reg.payroll.where("RF_FOLHA = 200007").select(F.col("CO_FAMILIAR").alias("CO_FAMILIAR_FAM")).distinct()
+        families = reg.family.join(paid, "CO_FAMILIAR_FAM", "left_semi")
+        assert "Exchange" not in families._jdf.queryExecution().executedPlan().toString() and families.count() == 20
+        documents = reg.document.join(reg.person, "CO_CHV_NATURAL_PESSOA")
+        assert documents._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert documents.count() == 600
+    finally:
+        spark.conf.set(threshold, before)
+    with pytest.raises(ValueError, match="anomes_ods"):
+        write_bucketed(frame(FAMILY, [{}]), "TB_FAMILIA_01", 4)
+
+
+def test_people_list_counts_what_it_rejects(spark):
+    from pyspark.sql import Observation
+
+    raw = [None, "", " .-/", "12A45", "1\t2", "9" * 21, "0" * 30 + "7", "123.456.789-09", "9" * 20]
+    seen = Observation()
+    people = people_list(spark.createDataFrame([(f"N{i}", r) for i, r in enumerate(raw)], "NOME string, CPF_RAW string"), seen)
+    bad = {r["NOME"]: r["PROBLEMA"] for r in rejected(people).collect()}
+    assert bad == {"N0": "EMPTY", "N1": "EMPTY", "N2": "EMPTY", "N3": "NOT DIGITS", "N4": "NOT DIGITS", "N5": "TOO LONG"}
+    assert seen.get == {"rows": 9, "empty": 3, "not_digits": 2, "too_long": 1}
+
+
 def test_conform_checks_and_casts(spark):
     df = spark.createDataFrame([("1", "200001", None, "x")], "CO_FAMILIAR string, RF_FOLHA string, NO_TIPO_SITIUACAO_BEN string, other string")
     assert [tuple(r) for r in conform(df, PAYROLL).collect()] == [(1, 200001, None)]
