@@ -1,33 +1,57 @@
 """Size-checked broadcasting.
 
-A relation is broadcast only after its rows were counted and found to be few. Beyond the limit the same
-result comes from shuffled joins, which adaptive execution splits where a key is hot.
+A relation is broadcast only after its rows were counted and their bytes added up, in one pass. Whole rows are broadcast
+up to ``MAX_BROADCAST_BYTES``; of a wider relation of few rows only the keys are, as an early semi-join, and its columns
+are attached by a shuffled join. Beyond both limits the same result comes from shuffled joins alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.session import settle
 
 # Key rows (a few columns wide) that every executor can hold many times over.
 MAX_BROADCAST_ROWS = 1_000_000
+# Bytes of whole rows broadcast at most, as ``row_bytes`` counts them.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: eight bytes a column, sixteen a decimal, and texts in full."""
+    sizes = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            sizes.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 8)
+        else:
+            sizes.append(F.lit(16 if isinstance(f.dataType, T.DecimalType) else 8))
+    return sum(sizes, F.lit(8)).cast("long")
 
 
 @dataclass(frozen=True)
 class Measured:
-    """A relation known to have at most ``rows`` rows, or too many or an unknown number (``None``)."""
+    """A relation known to have at most ``rows`` rows, or too many or an unknown number (``None``).
+
+    ``bytes`` is their size; unknown only where ``rows`` is.
+    """
 
     frame: DataFrame
     rows: int | None
+    bytes: int | None = None
 
     @property
     def small(self) -> bool:
         return self.rows is not None
 
+    @property
+    def light(self) -> bool:
+        """Whether whole rows may be broadcast."""
+        return self.small and self.bytes is not None and self.bytes <= MAX_BROADCAST_BYTES
+
     def narrow(self, big: DataFrame, big_key: str, key: str | None = None) -> DataFrame:
         """Rows of ``big`` whose key occurs here, found by a map-side semi-join when this is small.
 
@@ -40,8 +64,8 @@ class Measured:
         return big.join(F.broadcast(keys), big_key, "left_semi")
 
     def hinted(self) -> DataFrame:
-        """The frame, marked for broadcast only when it is small."""
-        return F.broadcast(self.frame) if self.small else self.frame
+        """The frame, marked for broadcast only when its rows are few and light."""
+        return F.broadcast(self.frame) if self.light else self.frame
 
 
 def measure(df: DataFrame, max_rows: int | None = None, keep: bool = False) -> Measured:
@@ -51,14 +75,19 @@ def measure(df: DataFrame, max_rows: int | None = None, keep: bool = False) -> M
     the count nor the joins built on it compute it again. Use it for what is expected to be a small part of a
     large table.
     """
+    sizes = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")]
     if keep:
-        # Counted while it is written; a task that ran twice can only make the count too large.
+        # Counted while it is written; a task that ran twice can only make the figures too large.
         seen = Observation()
-        frame = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-        rows = seen.get["rows"]
+        frame = settle(df.observe(seen, *sizes))
+        found = seen.get
     else:
-        frame, rows = df, df.count()
-    return Measured(frame, rows if rows <= _limit(max_rows) else None)
+        frame, found = df, df.agg(*sizes).first()
+    return _measured(frame, found["rows"], found["bytes"], max_rows)
+
+
+def _measured(frame: DataFrame, rows: int, size: int, max_rows: int | None) -> Measured:
+    return Measured(frame, rows, size) if rows <= _limit(max_rows) else Measured(frame, None)
 
 
 def measure_keys(keys: DataFrame, max_rows: int | None = None) -> Measured:
@@ -68,9 +97,9 @@ def measure_keys(keys: DataFrame, max_rows: int | None = None) -> Measured:
     counted when there are too many rows to tell.
     """
     distinct = keys.where(F.col(keys.columns[0]).isNotNull()).distinct()
-    rows = keys.count()
-    if rows <= _limit(max_rows):
-        return Measured(distinct, rows)
+    found = keys.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(keys)), F.lit(0)).alias("bytes")).first()
+    if found["rows"] <= _limit(max_rows):
+        return Measured(distinct, found["rows"], found["bytes"])
     return measure(distinct, max_rows)
 
 

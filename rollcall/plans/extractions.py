@@ -96,6 +96,8 @@ def _people_of(
     if rules.months_since_update is not None:
         lo, hi = rules.months_since_update
         person = person.where(recency_filter(F.col("DT_ATUAL_MEMB"), period.anomes_ods, lo, hi))
+    if not families.light:  # else the join itself leaves the persons where they are
+        person = families.narrow(person, d.FAMILY_KEY, _FAM_KEY)
     joined = d.prefixed(person, "PES_", person_columns).join(
         families.hinted(), F.col("PES_" + d.FAMILY_KEY) == F.col(_FAM_KEY)
     )

@@ -226,6 +226,25 @@ def test_large_sample_is_ranked_in_many_small_groups(spark):
     assert {r[0]: r[1] for r in out.groupBy("CATEGORIA").count().collect()} == plan.quotas()
 
 
+def test_wide_rows_are_not_broadcast_but_their_keys_are(spark, monkeypatch):
+    wide = spark.range(0, 100).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("text"), F.lit(1).cast("decimal(20,0)").alias("n"))
+    for keep in (False, True):
+        found = sizing.measure(wide, keep=keep)
+        assert (found.rows, found.bytes) == (100, 100 * (8 + 8 + 1008 + 16))
+    big = spark.range(0, 10_000).withColumnRenamed("id", "k")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+
+        def plan(df):
+            return df._jdf.queryExecution().executedPlan().toString()
+
+        assert "BroadcastHashJoin" in plan(big.join(found.hinted(), "k"))
+        monkeypatch.setattr(sizing, "MAX_BROADCAST_BYTES", 50_000)
+        joined = found.narrow(big, "k").join(found.hinted(), "k")
+        assert "SortMergeJoin" in plan(joined) and plan(joined).count("BroadcastHashJoin") == 1 and joined.count() == 100
+    keys = sizing.measure_keys(spark.createDataFrame([("ab",), ("ab",), (None,)], "k string"))
+    assert (keys.rows, keys.bytes, keys.frame.count()) == (3, 3 * 16 + 4, 1)
+
+
 def test_large_samples_write_no_table(spark, monkeypatch):
     """The population is not copied: rows are read once for the cut-off, key and stratum only, and once for the sample."""
     from rollcall import session
