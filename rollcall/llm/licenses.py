@@ -12,11 +12,12 @@ gives an empty result; other columns are carried along.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.storage import clear_of, numbered
 
+KNOWN = "entire boolean, license string, raw string"
 # Public licence texts and common notices, as published (copyright lines left out).
 KNOWN_TEXTS = {
     "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
@@ -30,6 +31,61 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+}
+# Titles a published file may begin with.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License"],
 }
 KNOWN_NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
@@ -39,7 +95,8 @@ KNOWN_NOTICES = {
 }
 # Spellings that count as the same word.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("favour", "favor"), ("whilst", "while"), ("merchantibility", "merchantability")]
-COPYRIGHT = r"^[^a-z0-9©]*(copyright|\(c\)|©).*$"
+# A line that says whose work it is, with a year or a sign, or reserves all rights.
+COPYRIGHT = r"^[^a-z0-9©]*(copyright.*([0-9]{4}|\(c\)|©)|\(c\)|©)|^[^a-z0-9]*all rights reserved[^a-z0-9]*$"
 
 
 def _canonical_line(line: Column) -> Column:
@@ -55,14 +112,28 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), _canonical_line), lambda x: x != "")
 
 
-def _known(df: DataFrame) -> DataFrame:
-    rows = [(True, n, t) for n, t in KNOWN_TEXTS.items()] + [(False, n, t) for n, ts in KNOWN_NOTICES.items() for t in ts]
-    table = df.sparkSession.createDataFrame(rows, "entire boolean, license string, raw string")
-    return table.select("entire", "license", F.sha2(F.array_join(canonical_lines(F.col("raw")), " "), 256).alias("digest"))
+def known_rows() -> list[tuple[bool, str, str]]:
+    """The licences this module knows: whether a row is an entire text or a line, the licence's name, and the text. A
+    text counts with each of its titles and without."""
+    texts = [(True, n, f"{title}\n\n{t}") for n, t in KNOWN_TEXTS.items() for title in ("", *TITLES.get(n, ()))]
+    return texts + [(False, n, t) for n, ts in KNOWN_NOTICES.items() for t in ts]
+
+
+def known_licenses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(known_rows(), KNOWN)
+
+
+def _digests(table: DataFrame) -> DataFrame:
+    return table.select("entire", "license", F.sha2(F.array_join(canonical_lines(F.col("raw")), " "), 256).alias("digest")).distinct()
+
 
+def scan(df: DataFrame, text: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """``df`` without ``text``, plus license (whole text, or null), notices (array, sorted) and text_digest.
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` without ``text``, plus license (whole text, or null), notices (array, sorted) and text_digest."""
+    ``known``: a table (entire, license, raw) of licence texts and one-line notices, such as ``known_licenses`` with
+    rows of your own; one digest a row is joined, and Spark chooses how by its size.
+    """
+    spark = df.sparkSession
     df = clear_of(df, "license", "notices", "text_digest", "_row", "_lines")
     rows = numbered(df)
     lined = rows.withColumn("_lines", canonical_lines(F.col(text))).drop(text)
@@ -72,7 +143,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     entire = F.array(F.struct(F.lit(True).alias("entire"), F.col("text_digest").alias("digest")))
     each = F.transform(F.array_distinct(F.coalesce("_lines", F.array().cast("array<string>"))), lambda x: F.struct(F.lit(False).alias("entire"), F.sha2(x, 256).alias("digest")))
     units = marked.select("_row", F.explode(F.concat(entire, each)).alias("u")).select("_row", "u.entire", "u.digest")
-    hits = units.join(F.broadcast(_known(df)), ["entire", "digest"])
+    hits = units.join(_digests(known_licenses(spark) if known is None else known), ["entire", "digest"])
     found = hits.groupBy("_row").agg(F.min(F.when(F.col("entire"), F.col("license"))).alias("license"), F.sort_array(F.collect_set(F.when(~F.col("entire"), F.col("license")))).alias("notices"))
     kept = [c for c in df.columns if c != text]
     out = marked.select("_row", *kept, "text_digest").join(found, "_row", "left")

@@ -104,8 +104,7 @@ def _op8_sql() -> str:
     low = "lower(line)"
     for old, new in licenses.SPELLINGS:
         low = f"replace({low}, {_quoted(old)}, {_quoted(new)})"
-    known = [f"(TRUE, {_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN_TEXTS.items()]
-    known += [f"(FALSE, {_quoted(n)}, {_quoted(t)})" for n, ts in licenses.KNOWN_NOTICES.items() for t in ts]
+    known = [f"({entire}, {_quoted(name)}, {_quoted(text)})" for entire, name, text in licenses.known_rows()]
     lines = rf"""
   SELECT id, i, line FROM (
     SELECT id, i, CASE WHEN regexp_matches(low, {_quoted(licenses.COPYRIGHT)}) THEN '' ELSE trim(regexp_replace(low, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) END AS line
