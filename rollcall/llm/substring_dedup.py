@@ -9,7 +9,8 @@ two orders follows for every offset which strings of ``LENGTH`` bytes are equal.
 
 Texts with an equal copy elsewhere are settled by their digest first, and one of them stands for all. A task
 resolves equal surroundings among its own rows and hands on one of them, so a passage that a third of all texts share
-arrives as one row per task.
+with the same text around it arrives as one row per ``SEEN`` surroundings of a task. What is different around one anchor
+meets in one task, at some 8 KB a member.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` keep every byte; overlapping occurrences count,
 also within one text; null or repeated identifiers are rows like any other; an empty table gives an empty result.
@@ -18,12 +19,13 @@ also within one text; null or repeated identifiers are rows like any other; an e
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cmp_to_key, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.storage import clear_of, numbered, settle
@@ -33,6 +35,9 @@ LENGTH = 400
 GRAM = 64
 # Bytes of a text whose anchors are sought at once; longer texts are done in overlapping parts.
 PART = 1 << 20
+# Different surroundings a task remembers before it hands them on and starts anew, and their bytes.
+SEEN = 20_000
+SEEN_BYTES = 16 << 20
 BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -105,13 +110,13 @@ class Members:
         self.hashes = tuple(self._prefixes(side) for side in self.sides)
 
     @staticmethod
-    def _prefixes(texts: list[bytes]) -> list[list[int]]:
+    def _prefixes(texts: list[bytes]) -> list[array]:
         out = []
         for text in texts:
             raw = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
             prefix = np.zeros(len(text) + 1, np.uint64)
             np.cumsum(raw * _powers(BASE, max(2048, len(text)))[: len(text)], out=prefix[1:])
-            out.append(prefix.tolist())
+            out.append(array("Q", prefix.tobytes()))
         return out
 
     def common(self, side: int, i: int, j: int) -> int:
@@ -188,9 +193,20 @@ def _local_candidates(length: int, gram: int):
     """Surroundings of repeated anchors, each distinct one once per task; what a task can tell by itself it tells."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list] = {}
+        spans: list[tuple[int, int, int]] = []
+        size = 0
+
+        def flushed():
+            nonlocal size
+            out = [*seen.values(), *(((row * 31 + a) % (1 << 63), row, None, None, None, None, None, None, a, b) for row, a, b in spans)]
+            for at in range(0, len(out), 20_000):
+                yield _found_batch(out[at : at + 20_000])
+            seen.clear()
+            spans.clear()
+            size = 0
+
         for batch in batches:
-            seen: dict[bytes, list] = {}
-            spans: list[tuple[int, int, int]] = []
             for row, text, wanted in zip(batch.column("_row").to_pylist(), batch.column("raw"), batch.column("repeated"), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 known = set(wanted.values.to_pylist())
@@ -203,14 +219,15 @@ def _local_candidates(length: int, gram: int):
                     entry = seen.get(key)
                     if entry is None:
                         seen[key] = [h, row, p, p - b, p - a, p - a, around, False, None, None]
+                        size += len(around)
                         continue
                     if not entry[7]:
                         entry[7] = True
                         spans.append((entry[1], entry[2] - entry[4], entry[2] - entry[3] + length))
                     spans.append((row, a, b + length))
-            out = [*seen.values(), *((row * 31 + a, row, None, None, None, None, None, None, a, b) for row, a, b in spans)]
-            for at in range(0, len(out), 20_000):
-                yield _found_batch(out[at : at + 20_000])
+            if len(seen) + len(spans) > SEEN or size > SEEN_BYTES:
+                yield from flushed()
+        yield from flushed()
 
     return run
 
@@ -295,20 +312,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", row_col: str = "_row", l
     spans = around.repartition("hash").sortWithinPartitions("hash").mapInArrow(tidy(_resolve(length)), "_row long, begin long, stop long")
     own = rows.where(F.col("copied") & (F.col("n_bytes") >= length)).select("_row", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("stop"))
     lost = spans.join(own.select("_row"), "_row", "left_anti").unionByName(own)
-    listed = lost.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans"))
-    return listed.select("_row", _merged(F.col("spans")).alias("spans")), rows
-
-
-def _merged(spans):
-    """Sorted spans with those that touch or overlap made one."""
-    none = F.array().cast("array<struct<begin:bigint,stop:bigint>>")
+    return _merged(lost), rows
 
-    def add(done, s):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last.begin.alias("begin"), F.greatest(last.stop, s.stop).alias("stop"))))
-        return F.when(F.size(done) == 0, F.array(s)).when(last.stop >= s.begin, joined).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(spans, none, add)
+def _merged(lost: DataFrame) -> DataFrame:
+    """(_row, spans): each row's spans in order, those that touch or overlap made one in a single sweep."""
+    sweep = Window.partitionBy("_row").orderBy("begin", "stop")
+    reach = F.max("stop").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
+    marked = lost.withColumn("first", F.when(reach >= F.col("begin"), 0).otherwise(1)).withColumn("run", F.sum("first").over(sweep))
+    runs = marked.groupBy("_row", "run").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"))
+    return runs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -326,7 +339,8 @@ def _kept(df: DataFrame, raw) -> DataFrame:
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s.stop))
     stops = F.concat(F.transform("spans", lambda s: s.begin), F.array(F.col("n_bytes")))
     pieces = F.zip_with(starts, stops, lambda a, b: F.substring(F.col("_raw"), (a + 1).cast("int"), (b - a).cast("int")))
-    whole = F.aggregate(pieces, F.lit(b"").cast("binary"), lambda done, x: F.concat(done, x))
+    # Joined as strings, which Spark takes as the bytes they are: each byte is copied once, however many pieces there are.
+    whole = F.array_join(F.transform(pieces, lambda x: x.cast("string")), "").cast("binary")
     kept = df.withColumn("_raw", raw).withColumn("kept_bytes", whole).drop("_raw")
     return kept.withColumn("kept_sha256", F.sha2("kept_bytes", 256))
 
