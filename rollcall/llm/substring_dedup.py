@@ -10,7 +10,8 @@ two orders follows for every offset which strings of ``LENGTH`` bytes are equal.
 Texts with an equal copy elsewhere are settled by their digest first, and one of them stands for all. A task
 resolves equal surroundings among its own rows and hands on one of them, so a passage that a third of all texts share
 with the same text around it arrives as one row per ``SEEN`` surroundings of a task. What is different around one anchor
-meets in one task, at some 8 KB a member.
+meets in one task, at some 8 KB a member, up to ``CROWD`` members; larger groups are first cut by more of the bytes that
+their strings have in common, until they are small or one single string.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` keep every byte; overlapping occurrences count,
 also within one text; null or repeated identifiers are rows like any other; an empty table gives an empty result.
@@ -38,6 +39,8 @@ PART = 1 << 20
 # Different surroundings a task remembers before it hands them on and starts anew, and their bytes.
 SEEN = 20_000
 SEEN_BYTES = 16 << 20
+# Members of one anchor that a task sorts together; a larger group is cut finer first.
+CROWD = 10_000
 BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -186,7 +189,7 @@ def repeated_starts(members: Members, low: np.ndarray, high: np.ndarray, twice:
     return out
 
 
-FOUND = "hash long, _row long, pos long, lo int, hi int, lead int, around binary, twice boolean, begin long, stop long"
+FOUND = "hash long, _row long, pos long, lo int, hi int, around binary, twice boolean, begin long, stop long"
 
 
 def _local_candidates(length: int, gram: int):
@@ -199,7 +202,7 @@ def _local_candidates(length: int, gram: int):
 
         def flushed():
             nonlocal size
-            out = [*seen.values(), *(((row * 31 + a) % (1 << 63), row, None, None, None, None, None, None, a, b) for row, a, b in spans)]
+            out = [*seen.values(), *((None, row, None, None, None, None, None, a, b) for row, a, b in spans)]
             for at in range(0, len(out), 20_000):
                 yield _found_batch(out[at : at + 20_000])
             seen.clear()
@@ -218,11 +221,11 @@ def _local_candidates(length: int, gram: int):
                     key = hashlib.blake2b(b"%d %d %d " % (h, p - a, b - a) + around, digest_size=16).digest()
                     entry = seen.get(key)
                     if entry is None:
-                        seen[key] = [h, row, p, p - b, p - a, p - a, around, False, None, None]
+                        seen[key] = [h, row, p, p - b, p - a, around, False, None, None]
                         size += len(around)
                         continue
-                    if not entry[7]:
-                        entry[7] = True
+                    if not entry[6]:
+                        entry[6] = True
                         spans.append((entry[1], entry[2] - entry[4], entry[2] - entry[3] + length))
                     spans.append((row, a, b + length))
             if len(seen) + len(spans) > SEEN or size > SEEN_BYTES:
@@ -244,26 +247,18 @@ def _resolve(length: int):
 
     def spans_of(group: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
         data = group.to_pydict()
-        at = [i for i, x in enumerate(data["around"]) if x is not None]
-        for i in range(group.num_rows):
-            if data["around"][i] is None:
-                yield data["_row"][i], data["begin"][i], data["stop"][i]
-        if not at:
-            return
-        lead = [data["lead"][i] for i in at]
-        texts = [data["around"][i] for i in at]
+        texts, lead = data["around"], data["hi"]
         members = Members([t[:k][::-1] for t, k in zip(texts, lead, strict=True)], [t[k:] for t, k in zip(texts, lead, strict=True)])
-        low, high = np.array([data["lo"][i] for i in at]), np.array([data["hi"][i] for i in at])
-        twice = np.array([data["twice"][i] for i in at])
-        for i, found in zip(at, repeated_starts(members, low, high, twice, length), strict=True):
-            if data["twice"][i]:
-                continue  # told by the task that saw it twice
+        low, high, twice = np.array(data["lo"]), np.array(data["hi"]), np.array(data["twice"])
+        for i, found in enumerate(repeated_starts(members, low, high, twice, length)):
+            if twice[i]:
+                continue  # told where it was seen twice
             for a, b in found:
                 yield data["_row"][i], data["pos"][i] - b, data["pos"][i] - a + length
 
     def run(batches):
         out: list[tuple[int, int, int]] = []
-        for group in sorted_groups(batches, ["hash"], least=1):
+        for group in sorted_groups(batches, ["hash"]):
             out.extend(spans_of(group))
             if len(out) > 50_000:
                 yield _span_batch(out)
@@ -278,6 +273,41 @@ def _span_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["_row", "begin", "stop"])
 
 
+def _uncrowded(members: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``members`` (stored) with groups of more than ``crowd`` cut finer, and the spans found on the way.
+
+    A group answers for distances from string start to anchor in a band [x, y], at first all of them. Whatever the
+    distance, its strings hold the bytes from x before the anchor to ``length`` - y behind it, so those that are equal
+    agree in this core, and half a band has a longer one. Each member of a crowded group becomes one for either half,
+    with the bytes that half needs, grouped by anchor and core; then equal members become one. A band of one distance
+    leaves one member for each string, so the rounds are at most the binary logarithm of the distances.
+    """
+    members = members.withColumn("x", F.lit(0)).withColumn("y", F.lit(length - gram))
+    done, spans = [], []
+    while True:
+        crowded = settle(members.where("x < y").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("hash"))
+        if crowded.isEmpty():
+            break
+        done.append(members.join(crowded, "hash", "left_anti"))
+        middle = F.expr("(x + y) div 2").cast("int")
+        halves = F.explode(F.array(F.struct(F.col("x").alias("from"), middle.alias("to")), F.struct((middle + 1).alias("from"), F.col("y").alias("to"))))
+        part = members.join(crowded, "hash", "left_semi").select("*", halves.alias("half"))
+        part = part.withColumn("least", F.greatest("lo", "half.from")).withColumn("most", F.least("hi", "half.to")).where("least <= most")
+        bytes_ = F.substring("around", F.col("hi") - F.col("most") + 1, F.col("most") - F.col("least") + length)
+        part = part.select("hash", "_row", "pos", F.col("least").alias("lo"), F.col("most").alias("hi"), bytes_.alias("around"), "twice", F.col("half.from").alias("x"), F.col("half.to").alias("y"))
+        core = F.substring("around", F.col("hi") - F.col("x") + 1, F.lit(length) - F.col("y") + F.col("x"))
+        part = settle(part.withColumn("hash", F.xxhash64("hash", "x", "y", core)))
+        same = ["hash", "x", "y", "lo", "hi", "around"]
+        alike = part.groupBy(*same).agg(F.min("_row").alias("_row"), F.min("pos").alias("pos"), F.max("twice").alias("twice"), F.count("*").alias("n"))
+        alike = settle(alike.withColumn("twice", F.col("twice") | (F.col("n") > 1)))
+        told = part.where("not twice").join(alike.where("n > 1").select(*same), same, "left_semi")
+        spans.append(told.select("_row", (F.col("pos") - F.col("hi")).alias("begin"), (F.col("pos") - F.col("lo") + length).alias("stop")))
+        members = alike.drop("n")
+    for other in done:
+        members = members.unionByName(other)
+    return members.drop("x", "y"), spans
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
@@ -293,7 +323,9 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", row_col: str = "_row", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(
+    docs: DataFrame, text: str = "text", row_col: str = "_row", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD
+) -> tuple[DataFrame, DataFrame]:
     """(_row, spans) for rows of ``docs`` that lose bytes: sorted, disjoint, maximal (begin, stop) pairs; and a stored
     table (_row, n_bytes, sha, copied) of all rows. ``docs`` should be a stored table."""
     texts = docs.select(F.col(row_col).alias("_row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
@@ -308,8 +340,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", row_col: str = "_row", l
     repeated = each.groupBy("hash").agg(F.sum("times").alias("times")).where("times > 1").select("hash")
     wanted = each.join(repeated, "hash", "left_semi").groupBy("_row").agg(F.collect_list("hash").alias("repeated"))
     near = texts.join(wanted, "_row")
-    around = near.mapInArrow(tidy(_local_candidates(length, gram)), FOUND)
-    spans = around.repartition("hash").sortWithinPartitions("hash").mapInArrow(tidy(_resolve(length)), "_row long, begin long, stop long")
+    found = settle(near.mapInArrow(tidy(_local_candidates(length, gram)), FOUND))
+    members, told = _uncrowded(found.where("around is not null").drop("begin", "stop"), length, gram, crowd)
+    spans = members.repartition("hash").sortWithinPartitions("hash").mapInArrow(tidy(_resolve(length)), "_row long, begin long, stop long")
+    for more in [found.where("around is null").select("_row", "begin", "stop"), *told]:
+        spans = spans.unionByName(more)
     own = rows.where(F.col("copied") & (F.col("n_bytes") >= length)).select("_row", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("stop"))
     lost = spans.join(own.select("_row"), "_row", "left_anti").unionByName(own)
     return _merged(lost), rows
@@ -324,11 +359,11 @@ def _merged(lost: DataFrame) -> DataFrame:
     return runs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``docs`` plus spans (array of removed byte ranges), n_bytes, kept_bytes (binary) and kept_sha256."""
     docs = clear_of(docs, "spans", "n_bytes", "kept_bytes", "kept_sha256", "_row", "_raw")
     rows = numbered(docs)
-    spans, sizes = repeated_spans(rows, text, length=length, gram=gram)
+    spans, sizes = repeated_spans(rows, text, length=length, gram=gram, crowd=crowd)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     joined = rows.join(sizes.select("_row", "n_bytes"), "_row").join(spans, "_row", "left")
     bounded = joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<begin:bigint,stop:bigint>>")))
@@ -345,11 +380,13 @@ def _kept(df: DataFrame, raw) -> DataFrame:
     return kept.withColumn("kept_sha256", F.sha2("kept_bytes", 256))
 
 
-def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def removal_digests(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD
+) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256. Only texts that lose a part of
     themselves are read again."""
     rows = numbered(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
-    spans, sizes = repeated_spans(rows, "text", length=length, gram=gram)
+    spans, sizes = repeated_spans(rows, "text", length=length, gram=gram, crowd=crowd)
     spans = settle(spans)
     entire = (F.size("spans") == 1) & (F.col("spans")[0].stop - F.col("spans")[0].begin == F.col("n_bytes"))
     cut = sizes.select("_row", "n_bytes").join(spans, "_row").where(~entire)

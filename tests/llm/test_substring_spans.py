@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rollcall.llm import substring_dedup
@@ -50,3 +51,31 @@ def test_row_numbers_of_very_many_files(spark):
     docs = spark.range(4).select((F.col("id") + (1 << 61)).alias("_row"), F.concat(text, F.col("id").cast("string")).alias("text"))
     spans, _ = substring_dedup.repeated_spans(docs.repartition(1))
     assert {r["_row"] - (1 << 61) for r in spans.collect()} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("crowd", [1, 4, 30])
+def test_crowded_groups_are_cut_and_lose_nothing(spark, crowd, monkeypatch):
+    """One passage in most texts, with different bytes on both sides, some equal for a while, and some twice in a text."""
+    monkeypatch.setattr(substring_dedup, "SEEN", 7)
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefgh", k=90))
+
+    def side(n):
+        return "".join(rng.choices("xyz", k=n))
+
+    near = [side(25) for _ in range(4)]
+    texts = [side(rng.randint(0, 40)) + rng.choice(["", *near]) + passage[rng.randint(0, 9) : rng.randint(75, 90)] + rng.choice(["", *near]) + side(30) for _ in range(120)]
+    texts += [side(12) + passage + side(9) + passage + side(12) for _ in range(10)] + texts[:5] + [passage, passage[:39], None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["kept_sha256"] for r in substring_dedup.removal_digests(docs, length=40, gram=8, crowd=crowd).collect()}
+    assert [got[i] for i in range(len(texts))] == [hashlib.sha256(w).hexdigest() for w in removed(texts, 40)]
+
+
+def test_a_crowd_shrinks_to_what_lies_at_the_edge(spark):
+    """Two hundred different surroundings of one passage: no group keeps more than the limit, whatever is found meanwhile."""
+    passage = "".join(random.Random(2).choices("abcdefgh", k=40))
+    rows = [(9, i, 30, 0, 20, (f"{i:020d}" + passage).encode(), False) for i in range(200)]
+    members = spark.createDataFrame(rows, "hash long, _row long, pos long, lo int, hi int, around binary, twice boolean")
+    left, spans = substring_dedup._uncrowded(members, 40, 20, 50)
+    assert left.groupBy("hash").count().agg(F.max("count")).first()[0] <= 50
+    assert {r["_row"] for s in spans for r in s.where("begin <= 30 and stop = 70").collect()} == set(range(200))
