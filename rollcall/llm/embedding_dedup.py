@@ -40,14 +40,14 @@ def usable(vector: str):
 
 
 def hash_codes(vectors: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> np.ndarray:
-    """One 64-bit bucket number per vector and table."""
+    """One 32-bit bucket number per vector and table. Different cells may share a number: they are compared together."""
     rng = np.random.default_rng([SEED, vectors.shape[1]])
     axes = rng.standard_normal((vectors.shape[1], tables * projections))
     offsets = rng.uniform(0, width, tables * projections)
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     cells = np.floor((unit @ axes + offsets) / width).astype(np.int64).reshape(len(vectors), tables, projections)
     odd = rng.integers(1, 1 << 62, projections, dtype=np.int64) | 1
-    return (cells * odd).sum(2)
+    return ((cells * odd).sum(2) >> 32).astype(np.int32)
 
 
 def _with_codes(nodes: DataFrame) -> DataFrame:
@@ -61,10 +61,11 @@ def _with_codes(nodes: DataFrame) -> DataFrame:
             for at in by_length.values():
                 for i, row in zip(at, hash_codes(_scaled(np.array([lists[i] for i in at], float))).tolist(), strict=True):
                     codes[i] = row
-            columns = [*batch.columns, pa.array(codes, pa.list_(pa.int64()))]
+            columns = [*batch.columns, pa.array(codes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "codes"])
 
-    return nodes.mapInArrow(tidy(run), "node long, n long, vector array<double>, codes array<long>")
+    kind = nodes.schema["vector"].dataType.simpleString()
+    return nodes.mapInArrow(tidy(run), f"node long, n long, vector {kind}, codes array<int>")
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -74,11 +75,11 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 def bucket_links(batch: pa.RecordBatch, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """For one group: how many vectors each member newly links with, and a spanning forest (positions, two rows)."""
-    flat = batch.column("vector").flatten().to_numpy()
+    flat = batch.column("vector").flatten().to_numpy().astype(np.float64)
     n = batch.num_rows
     x = _scaled(flat.reshape(n, -1))
     norm = np.sqrt((x * x).sum(1))
-    codes = batch.column("codes").flatten().to_numpy().reshape(n, -1)[:, : batch.column("t")[0].as_py()]
+    earlier = batch.column("earlier").flatten().to_numpy().reshape(n, batch.column("t")[0].as_py())
     weight, own = batch.column("n").to_numpy(), batch.column("_own").to_numpy()
     cross = batch.column("_lo")[0].as_py() != batch.column("_hi")[0].as_py()
     counts, parent = np.zeros(n, np.int64), np.arange(n)
@@ -96,7 +97,7 @@ def bucket_links(batch: pa.RecordBatch, cosine: float) -> tuple[np.ndarray, np.n
             near &= own[at : at + step, None] != own
         i, j = np.nonzero(near)
         i += at
-        new = (i != j) & ~(codes[i] == codes[j]).any(1)
+        new = (i != j) & ~(earlier[i] == earlier[j]).any(1)
         i, j = i[new], j[new]
         np.add.at(counts, i, weight[j])
         for a, b in zip(i[i < j].tolist(), j[i < j].tolist(), strict=True):
@@ -110,6 +111,8 @@ def bucket_links(batch: pa.RecordBatch, cosine: float) -> tuple[np.ndarray, np.n
 def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``nodes`` (node, n, vector, codes), stored. Rows (a, null, count) add to a node's links; (a, b, null) connect."""
     rows = nodes.select("*", F.posexplode("codes").alias("t", "code"), F.size("vector").alias("dim"))
+    # A row carries its numbers in the tables before its own, which tell whether a pair was met already.
+    rows = rows.withColumn("earlier", F.slice("codes", F.lit(1), F.col("t"))).drop("codes")
     keys = ["dim", "t", "code"]
     groups = [*keys, "_lo", "_hi"]
     met = block_pairs(rows, keys, "node", BLOCK)
@@ -128,11 +131,13 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """One row per row of ``df``: id, n_links, component_id, kept. ``df`` should be a stored table."""
-    rows = numbered(df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector")))
+    # Single-precision components travel as such, at half the bytes; cosines are taken in double precision.
+    kind = "float" if df.select(vector).schema[0].dataType.simpleString() == "array<float>" else "double"
+    rows = numbered(df.select(F.col(id_col).alias("id"), F.col(vector).cast(f"array<{kind}>").alias("vector")))
     rows = settle(rows.select("_row", "id", F.when(usable("vector"), F.col("vector")).alias("vector")))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("_row").alias("row"))).alias("best")
     # -0.0 and 0.0 are one value; the vector itself is the key, so equal hashes cannot mix vectors up.
-    plain = F.transform("vector", lambda v: v + F.lit(0.0))
+    plain = F.transform("vector", lambda v: v + F.lit(0.0).cast(kind))
     distinct = rows.where("vector is not null").select(plain.alias("vector"), "id", "_row").groupBy("vector").agg(F.count("*").alias("n"), best)
     distinct = settle(distinct.select(F.col("best.row").alias("node"), "n", "vector", "best"))
     coded = settle(_with_codes(distinct.select("node", "n", "vector")))

@@ -277,6 +277,17 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_single_precision_vectors_as_their_doubles(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 8)).astype(np.float32)
+    near = (base + rng.normal(0, 0.1, base.shape)).astype(np.float32)
+    data = [*base.tolist(), *near.tolist(), base[3].tolist(), [-0.0, *base[4][1:].tolist()], [0.0, *base[4][1:].tolist()], None, [0.0] * 8, [float("nan")] * 8]
+    frames = [spark.createDataFrame(list(enumerate(data)), f"vec_id long, embedding array<{kind}>") for kind in ("float", "double")]
+    single, double = (sorted(map(tuple, embedding_dedup.near_vectors(f).collect()), key=str) for f in frames)
+    assert single == double
+    assert {r[0]: r[1] for r in single}[82] >= 1
+
+
 # Languages
 
 
