@@ -142,14 +142,12 @@ def dossier_rows(
         vary = ("DOC_" + PERSON_KEY, "DOC_NU_CPF_PESSOA")
         out = join_salted(found.frame, household, on, counted=reg.person.select(F.col(FAMILY_KEY).alias(on)), vary=vary)
     if contact:
-        family_keys = found.frame.select("PES_" + FAMILY_KEY)
         phones = found.narrow(contacts(reg.contact), "CONT_FAMILY", "PES_" + FAMILY_KEY)
-        out = attach(out, phones, "FAM_" + FAMILY_KEY, "CONT_FAMILY", family_keys)
+        out = attach(out, phones, "FAM_" + FAMILY_KEY, "CONT_FAMILY")
     if exclusions:
-        person_keys = found.frame.select("PES_" + PERSON_KEY)
         removed = found.narrow(reg.exclusion, PERSON_KEY, "PES_" + PERSON_KEY)
         removed = prefixed(removed, "EXC_", (PERSON_KEY,) + EXCLUSION_ALL)
-        out = attach(out, removed, "PES_" + PERSON_KEY, "EXC_" + PERSON_KEY, person_keys)
+        out = attach(out, removed, "PES_" + PERSON_KEY, "EXC_" + PERSON_KEY)
     return out
 
 

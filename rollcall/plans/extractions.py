@@ -180,7 +180,7 @@ def municipal_history(
     """
     found = _people_of(reg, territory, rule, CandidateRules(), period, d.PERSON_ALL, (*d.FAMILY_ALL, *d.TERRITORY))
     phones = found.of_family(d.contacts(reg.contact), "CONT_FAMILY")
-    rows = attach(found.rows, phones, _FAM_KEY, "CONT_FAMILY", found.people.frame.select(_FAM_KEY))
+    rows = attach(found.rows, phones, _FAM_KEY, "CONT_FAMILY")
     return rows.select(
         *d.with_prefix("DOC_", d.DOCUMENT_ALL),
         *d.with_prefix("PES_", d.PERSON_ALL),

@@ -107,9 +107,9 @@ def test_one_per_key(spark):
 
 
 def test_attach_equals_left_join(spark):
-    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "k long, t string")
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k long, t string")
     table = spark.createDataFrame([(1, "x"), (1, "y"), (3, None), (7, "z")], "tk long, v string")
-    got = attach(rows, table, "k", "tk", rows.select("k"))
+    got = attach(rows, table, "k", "tk")
     want = rows.join(table, rows.k == table.tk, "left").select("k", "t", "v")
     assert rows_of(got.select("k", "t", "v")) == rows_of(want)
 

@@ -11,6 +11,7 @@ from rollcall.catalog.entries import PERIOD, Star
 from rollcall.operators import sampling, sizing, skew
 from rollcall.operators.dedup import current_by_cpf
 from rollcall.operators.evidence import cpf_evidence, cpf_payroll_flag, cpf_trail
+from rollcall.operators.joins import attach
 from rollcall.operators.keysets import flag_membership, members_of
 from rollcall.operators.universe import active_universe
 from rollcall.params import SamplePlan
@@ -143,6 +144,20 @@ def test_salted_join_is_balanced_and_costs_one_more_exchange(spark, third_hot_th
         assert exchanges(skew.join_salted(left, right, "k", "left")) == 1.5 * exchanges(left.join(right, "k", "left")) == 3
 
 
+def test_repeated_rows_of_a_hot_key_are_attached_in_balance(spark, third_hot_third_null):
+    """A third of the attached table on one key, which some rows have, some lack, and some rows have none."""
+    table = third_hot_third_null.select(F.col("k").alias("tk"), F.col("id").alias("v"))
+    rows = spark.range(0, 9000, numPartitions=3).selectExpr("IF(id % 3 = 0, NULL, id) AS k", "id AS r")
+    rows = rows.unionByName(spark.range(2).selectExpr("7L AS k", "id + 9000 AS r"))
+    with shuffled(spark):
+        got = attach(rows, table, "k", "tk")
+        assert got.columns == ["k", "r", "v"]
+        want = rows.join(table, rows.k == table.tk, "left").select("k", "r", "v")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        tasks = got.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.sum("count")).first()
+        assert tasks[0] < 0.2 * tasks[1]
+
+
 def test_frequent_keys_are_all_found_however_many(spark):
     """300 keys with a five-hundredth of the rows each stay unmarked, 100 with a 150th each are all marked."""
     even = spark.range(0, 50_000).select((F.col("id") % 500).alias("k"))
