@@ -10,9 +10,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.catalog.star_views import StarTables
-from rollcall.params import Period
+from rollcall.params import Period, Territory
 from rollcall.registry import Registry
+from rollcall.session import settle
 from rollcall.sources import people_list
+from rollcall.sources.parameters import parameter_rows
 
 # The month and day every catalogue query is run for.
 PERIOD = Period(200006, as_of=date(2000, 6, 30))
@@ -38,6 +40,10 @@ class Star:
     def raw_list(self) -> DataFrame:
         return self.tables.view("VT_LISTA_CPF")
 
+    @cached_property
+    def parameters(self) -> DataFrame:
+        return settle(parameter_rows(self.spark, {"country": (PERIOD, None), "state": (PERIOD, Territory(35))}))
+
     @cached_property
     def people(self) -> DataFrame:
         return people_list(self.raw_list)

@@ -34,7 +34,7 @@ from rollcall.plans.headcounts import (
     payroll_months,
     registered_persons,
 )
-from rollcall.sources import SnapshotStore, people_list, rejected
+from rollcall.sources import SnapshotStore, count_for, people_list, rejected
 
 PERSON, FAMILY = "CO_CHV_NATURAL_PESSOA", "CO_FAMILIAR_FAM"
 _ALL_PERSON = "CO_CHV_NATURAL_PESSOA, CO_FAMILIAR_FAM, " + ", ".join(d.PERSON_ALL[2:]) + ", CO_SEXO_PESSOA"
@@ -121,15 +121,7 @@ ENTRIES = [
     ),
     Entry(
         "r04_constants",
-        lambda s: s.reg.payroll.where(F.col("RF_FOLHA") == PERIOD.rf_payroll)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(
-            F.lit(PERIOD.anomes_ods).alias("ANOMES_ODS"),
-            F.lit(PERIOD.rf_payroll).alias("RF_FOLHA_PBF"),
-            F.lit(PERIOD.rf_queue).alias("RF_FOLHA_PRE"),
-            F.lit(PERIOD.month.absolute).alias("REF_YM"),
-            "rows",
-        ),
+        lambda s: count_for(s.parameters, "country", s.reg.payroll, "RF_FOLHA", "RF_FOLHA_PBF", "rows").drop("UF_CD", "MUN_CD"),
         oracle(
             """SELECT a AS ANOMES_ODS, b AS RF_FOLHA_PBF, c AS RF_FOLHA_PRE, y AS REF_YM,
                  (SELECT count(*) FROM VW_FOLHA_PAGAMENTO WHERE RF_FOLHA = b) AS rows FROM prm""",
@@ -528,9 +520,7 @@ ENTRIES = [
     ),
     Entry(
         "r52_parameter_row",
-        lambda s: s.reg.family.where(F.col("CO_MUNIC_IBGE_2_FAM") == 35)
-        .agg(F.count(F.lit(1)).alias("families"))
-        .select(F.lit(PERIOD.anomes_ods).alias("ANOMES_ODS"), F.lit(35).alias("UF_CD"), "families"),
+        lambda s: count_for(s.parameters, "state", s.reg.family, "CO_MUNIC_IBGE_2_FAM", "UF_CD", "families").select("ANOMES_ODS", "UF_CD", "families"),
         oracle(
             "SELECT ANOMES_ODS, UF_CD, (SELECT count(*) FROM TB_FAMILIA_01 WHERE CO_MUNIC_IBGE_2_FAM = UF_CD) AS families FROM prm",
             prm="SELECT 200006 AS ANOMES_ODS, 35 AS UF_CD",

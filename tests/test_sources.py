@@ -3,9 +3,12 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.params import Period, Territory
 from rollcall.schemas import FAMILY, PAYROLL, PEOPLE_LIST, TABLES, MissingColumns, conform
 from rollcall.sources import (
     SnapshotStore,
+    count_for,
+    parameter_rows,
     people_list,
     read_people_list,
     rejected,
@@ -169,3 +172,17 @@ def test_write_report_csv(spark, tmp_path):
     assert sorted((r.UF, r.n) for r in back.collect()) == [("MG", "2"), ("SP", "1")]
     with pytest.raises(ValueError):
         write_report(df, str(tmp_path / "x"), "xlsx")
+
+
+def test_stored_parameters_are_joined_and_prune_the_months(spark, tmp_path):
+    jobs = {"state": (Period(202312), Territory(35)), "country": (Period(202312, queue_offset=1), None)}
+    parameter_rows(spark, jobs).write.parquet(str(tmp_path / "parameters"))
+    stored = spark.read.parquet(str(tmp_path / "parameters"))
+    spark.range(90).selectExpr("id", "CAST(202311 + IF(id % 3 = 0, 90, id % 3) AS INT) AS RF_FOLHA").write.partitionBy("RF_FOLHA").parquet(str(tmp_path / "view"))
+    view = spark.read.parquet(str(tmp_path / "view"))
+    counted = count_for(stored, "state", view, "RF_FOLHA", "RF_FOLHA_PBF", "rows")
+    assert "dynamicpruning" in formatted_plan(counted).lower()
+    assert counted.columns == ["ANOMES_ODS", "RF_FOLHA_PBF", "RF_FOLHA_PRE", "REF_YM", "UF_CD", "MUN_CD", "rows"]
+    assert [tuple(r) for r in counted.collect()] == [(202312, 202401, 202312, 2023 * 12 + 12, 35, None, 30)]
+    assert count_for(stored, "country", view, "RF_FOLHA", "UF_CD", "rows").first()["rows"] == 0
+    assert count_for(stored, "other", view, "RF_FOLHA", "RF_FOLHA_PBF", "rows").isEmpty()
