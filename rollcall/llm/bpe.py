@@ -6,12 +6,15 @@ holds no rank. Short words are merged many at a time, one tree per row of an arr
 the words it has met, within a bound.
 
 The vocabulary file is a parameter: a tokenizer file with NFC, white-space and lower-case normalisation, a split
-pattern, byte symbols and an end-of-word suffix. Its special tokens are found in the raw text. The file must be
-readable where Python runs; without it on the executors, ship it with ``SparkContext.addFile``.
+pattern, byte symbols and an end-of-word suffix. Its special tokens are found in the raw text. Latin-1 text is cut
+into words by a plain pattern, other text by the normaliser and the split of the tokenizers library, whose Unicode
+version decides what is a letter; merging and decoding are done here for both. The file must be readable where Python
+runs; without it on the executors, ship it with ``SparkContext.addFile``.
 
 Defined cases: a null text counts as empty and gives no tokens; rows are independent, so repeated rows and
 identifiers do not matter; an empty table gives an empty result; a column that has the name of a new one is carried
-along under its name and ``_input``; a very long text is held once, with its words and its ids.
+along under its name and ``_input``; a very long text is held once, with its words and its ids, and cut into words a
+part at a time.
 """
 
 from __future__ import annotations
@@ -20,13 +23,11 @@ import gc
 import hashlib
 import json
 import re
-import unicodedata
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from rollcall.llm.storage import clear_of
@@ -42,6 +43,11 @@ BATCH_CHARS = 500_000
 # Bytes of text encoded before their rows are handed on.
 SLICE_BYTES = 1 << 20
 NONE = np.int64(1) << 62
+# Segments between spaces of other than Latin-1 text whose words are remembered, and their longest length.
+SEGMENTS = 60_000
+SEGMENT_CHARS = 64
+# White space at which such text is cut first: no word crosses it and nothing composes with it.
+SPACES = str.maketrans("\n\u3000", "  ")
 # Letters and numbers of lower-case Latin-1 text, as ranges of a character class.
 LATIN_LETTERS = "a-zªµºß-öø-ÿ"
 LATIN_NUMBERS = "0-9²³¹¼-¾"
@@ -64,12 +70,15 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # What comes before the merges, as the library reads it; it needs some model to be a tokenizer.
+        self.cutting = {**spec, "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][0]}
+        self.cutting |= {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        pattern = self.cutting["pre_tokenizer"]["pattern"]["Regex"]
         # The same pattern for lower-case Latin-1 text, where the plain engine is faster. No two alternatives but the
         # apostrophe's begin alike, so runs of letters may be tried first.
-        latin = self.words.pattern.replace(r"\s", r"\x09-\x0d\x20\x85\xa0").replace(r"\p{L}", LATIN_LETTERS).replace(r"\p{N}", LATIN_NUMBERS)
+        latin = pattern.replace(r"\s", r"\x09-\x0d\x20\x85\xa0").replace(r"\p{L}", LATIN_LETTERS).replace(r"\p{N}", LATIN_NUMBERS)
         self.latin_words = re.compile(f"[{LATIN_LETTERS}]+|{latin}")
-        self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.cut = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.names = {i: t for t, i in (*self.vocab.items(), *self.special.items())}
         symbols = byte_symbols()
         self.inner = np.array([self.vocab[s] for s in symbols])
@@ -82,18 +91,30 @@ class WordBpe:
         self.keys, self.ranks, self.made = keys[order], order, made[order]
         self.cache: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
+        self.segments: dict[str, list[str]] = {}
 
-    def normal(self, text: str) -> str:
-        # Case is folded letter by letter, so a final sigma is like any other.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    @cached_property
+    def cutter(self):
+        """The library's normaliser and split, without a vocabulary; loaded only where other than Latin-1 text occurs."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self.cutting))
 
     def split(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.words.findall(self.normal(text))
+            return [word for segment in text.translate(SPACES).split(" ") for word in self.segments.get(segment) or self.cut_segment(segment)]
         return self.latin_words.findall(text.lower())
 
+    def cut_segment(self, segment: str) -> list[str]:
+        words = [w for w, _ in self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalizer.normalize_str(segment))] if segment else []
+        if len(segment) <= SEGMENT_CHARS:
+            if len(self.segments) >= SEGMENTS:
+                self.segments.clear()
+            self.segments[segment] = words
+        return words
+
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens in order."""
         if self.cut is None or "<|" not in text and not self.cut.search(text):
@@ -273,6 +294,7 @@ def tokenizer(path: str):
     finally:
         bpe.cache.clear()
         bpe.shown.clear()
+        bpe.segments.clear()
 
 
 def _add(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -184,6 +184,19 @@ def test_bpe_equals_the_tokenizers_library(reference_tokenizer):
         assert shown == reference_tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_reads_every_letter_as_the_library_does(reference_tokenizer):
+    """Code points that Unicode versions class differently among them, and long mixed text."""
+    codes = [*range(0x250, 0x3400), *range(0xA640, 0xAC00, 3), *range(0xFB00, 0x11000), *range(0x11000, 0x20000, 5), *range(0x30000, 0x32000, 61)]
+    codes = [c for c in [*codes, 0x558, 0x58B, 0x208F, 0xA7CB, 0x130, 0x1E9E] if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b{chr(c)} 1{chr(c).upper()}" for c in codes[at : at + 200]) for at in range(0, len(codes), 200)]
+    rng, pool = random.Random(5), "\u0020\n\u3042\u0301\u00e9A\u0130\U0001f600\u0085\u00a0\u2028\u3000\u110b\u1161\u11a8"
+    texts += ["".join(rng.choices(pool, k=50_000)), "\u0430\u0431" * 500 + " \u0430"]
+    for text, (ids, shown) in zip(texts, bpe.WordBpe(vocabulary_path()).encode(texts), strict=True):
+        want = reference_tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert shown == reference_tokenizer.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_over_a_table(docs, nothing, reference_tokenizer):
     got = bpe.decode_tokens(bpe.encode_tokens(docs, vocabulary_path()).withColumnRenamed("decoded", "shown"), vocabulary_path())
     assert all(r["decoded"] == r["shown"] and len(r["tokens"]) == len(reference_tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in collected(got))
