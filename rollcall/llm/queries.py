@@ -131,6 +131,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(documents(spark, sf_dir))
 
 
+# Every string of LENGTH bytes is grouped, as hex of the text: it shows what the query finds from anchors alone.
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT r, p, md5(substr(h, 2 * p + 1, 2 * {substring_dedup.LENGTH})) AS s FROM (SELECT r, h, unnest(range(n - {substring_dedup.LENGTH} + 1)) AS p FROM d WHERE n >= {substring_dedup.LENGTH})),
+again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY s) AS times FROM starts) WHERE times > 1),
+led AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= {substring_dedup.LENGTH} THEN 0 ELSE 1 END AS first FROM again),
+runs AS (SELECT r, min(p) AS a, max(p) + {substring_dedup.LENGTH} AS b FROM (SELECT r, p, sum(first) OVER (PARTITION BY r ORDER BY p) AS run FROM led) GROUP BY r, run),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS prior FROM runs),
+cut AS (
+  SELECT g.r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(d.h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS head
+  FROM gaps g JOIN d ON d.r = g.r GROUP BY g.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+
 def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.scored(docs.select("doc_id", "text"), quality.fit(docs))
@@ -221,6 +238,7 @@ ORACLES = {
     "op2_patricia_owners": OP2_SQL,
     "op5_p_stable_hashing": OP5_SQL,
     "op8_canonical_digests": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
     "op12_chunked_warc": OP12_SQL,
     "op13_block_max_maxscore": OP13_SQL,
 }

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from rollcall.llm import mixing, quality
+from rollcall.llm import language_id, mixing, quality
 from rollcall.llm.queries import QUERIES
 from rollcall.llm.storage import settle
 
@@ -91,6 +91,52 @@ def test_op7_marks_held_out_documents_and_scores(spark, docs):
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in known) >= 0.9 * len(known)
 
 
+def test_op7_predicts_as_plain_log_odds_do(spark, docs):
+    """Every prediction again from dictionaries of n-grams: smoothed frequencies, all splits, loss-weighted decoding."""
+    training = [r for i, r in docs.items() if r["text"] is not None and r["lang"] not in (None, "und") and zlib.crc32(str(i).encode()) % 3 != 1]
+    seen: dict[str, Counter] = defaultdict(Counter)
+    for r in training:
+        seen[r["lang"]].update(plain_ngrams(r["text"]))
+    names = sorted(seen)
+    total = {s: sum(seen[s].values()) for s in names}
+    smooth = language_id.SMOOTHING / sum(total.values())
+    code = language_id.codebook(len(names))
+    assert len({tuple(word) for word in code.tolist()}) == len(names)
+
+    def mean(names_of_half, gram):
+        return sum(seen[s][gram] / total[s] for s in names_of_half) / len(names_of_half)
+
+    for r in rows(spark, "op7_output_codes")[:60]:
+        text = docs[r["doc_id"]]["text"] or ""
+        if not any(map(str.isalpha, text)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        grams = plain_ngrams(text)
+        margins = []
+        for bit in range(code.shape[1]):
+            halves = [[s for s, word in zip(names, code[:, bit], strict=True) if word == side] for side in (1, -1)]
+            odds = sum(n * (math.log(mean(halves[0], g) + smooth) - math.log(mean(halves[1], g) + smooth)) for g, n in grams.items())
+            margins.append(odds / math.sqrt(sum(grams.values())))
+        sure = [abs(m) / sum(map(abs, margins)) for m in margins]
+        loss = [sum(w * math.log1p(math.exp(-max(-700.0, c * m))) for w, c, m in zip(sure, word, margins, strict=True)) for word in code.tolist()]
+        best = min(range(len(names)), key=lambda i: (loss[i], i))
+        assert r["lang_pred"] == names[best]
+        share = 1 / sum(math.exp(loss[best] - other) for other in loss)
+        assert math.isclose(r["score"], share, abs_tol=1e-3)
+
+
+def plain_ngrams(text):
+    """Byte n-grams, in the hash buckets that the classifiers count."""
+    raw, found = f" {' '.join(text.lower().split())} ".encode(), Counter()
+    for n in language_id.NGRAMS:
+        for at in range(len(raw) - n + 1):
+            value = n
+            for byte in raw[at : at + n]:
+                value = (value * 257 + byte) % 2**64
+            found[(value * 0x9E3779B97F4A7C15 % 2**64 >> 40) % language_id.BUCKETS] += 1
+    return found
+
+
 def test_op10_recovers_known_accuracies():
     """Votes drawn from labellers of known accuracy, without any label."""
     rng, m = np.random.default_rng(8), len(quality.LABELLERS)
