@@ -145,8 +145,14 @@ ENTRIES = [
     ),
     Entry(
         "s18_current_date",
-        lambda s: s.reg.person.select("NU_NIS_PESSOA", (age_years(F.col("DT_NASC_PESSOA")) >= 60).alias("is_60")),
-        oracle("SELECT NU_NIS_PESSOA, (current_date - DT_NASC_PESSOA) // 365 >= 60 AS is_60 FROM TB_PESSOA_04"),
+        # Today, but not after the job's date: the result does not change at midnight.
+        lambda s: s.reg.person.select(
+            "NU_NIS_PESSOA", (age_years(F.col("DT_NASC_PESSOA"), F.least(F.current_date(), F.lit(PERIOD.as_of))) >= 60).alias("is_60")
+        ),
+        oracle(
+            """SELECT NU_NIS_PESSOA, (least(current_date, DATE '2000-06-30') - DT_NASC_PESSOA) // 365 >= 60 AS is_60
+               FROM TB_PESSOA_04"""
+        ),
     ),
     Entry(
         "s19_ceiling",

@@ -15,6 +15,7 @@ from rollcall.operators.joins import attach
 from rollcall.operators.sizing import Measured, measure, measure_keys
 from rollcall.operators.skew import join_salted
 from rollcall.registry import Registry
+from rollcall.session import MAX_LITERAL_KEYS
 
 PERSON_KEY = "CO_CHV_NATURAL_PESSOA"
 FAMILY_KEY = "CO_FAMILIAR_FAM"
@@ -91,11 +92,13 @@ def contacts(contact: DataFrame) -> DataFrame:
 def documents_of(document: DataFrame, cpfs: Sequence[str] | DataFrame | None) -> Measured:
     """Documents with the given tax ids (text form), measured; ``None`` takes every document.
 
-    A Python list is pushed into the scan. A frame of tax ids (first column) becomes a semi-join, whose
+    A Python list of up to ``MAX_LITERAL_KEYS`` is pushed into the scan; a longer one becomes a frame. A frame of tax ids (first column) becomes a semi-join, whose
     keys are broadcast only when they were counted and are few.
     """
     if cpfs is None:
         return Measured(document, None)
+    if not isinstance(cpfs, DataFrame) and len(cpfs) > MAX_LITERAL_KEYS:
+        cpfs = document.sparkSession.createDataFrame([(c,) for c in cpfs], "NU_CPF_PESSOA string")
     if isinstance(cpfs, DataFrame):
         keys = measure_keys(cpfs.select(F.col(cpfs.columns[0]).alias("NU_CPF_PESSOA")))
         hits = document.join(keys.hinted(), "NU_CPF_PESSOA", "left_semi")

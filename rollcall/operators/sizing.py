@@ -3,17 +3,20 @@
 A relation is broadcast only after its rows were counted and their bytes added up, in one pass. Whole rows are broadcast
 up to ``MAX_BROADCAST_BYTES``; of a wider relation of few rows only the keys are, as an early semi-join, and its columns
 are attached by a shuffled join. Beyond both limits the same result comes from shuffled joins alone.
+
+The keys of a stored relation of very few rows go into the scan as literals instead, where Parquet skips the row groups
+whose range or Bloom filter excludes them all: a lookup of one tax id then does not read the keys of whole tables.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.session import settle
+from rollcall.session import MAX_LITERAL_KEYS, settle
 
 # Key rows (a few columns wide) that every executor can hold many times over.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -36,12 +39,15 @@ def row_bytes(df: DataFrame) -> Column:
 class Measured:
     """A relation known to have at most ``rows`` rows, or too many or an unknown number (``None``).
 
-    ``bytes`` is their size; unknown only where ``rows`` is.
+    ``bytes`` is their size; unknown only where ``rows`` is. ``kept`` relations are stored, so reading their keys
+    costs nothing but these rows.
     """
 
     frame: DataFrame
     rows: int | None
     bytes: int | None = None
+    kept: bool = False
+    _literals: dict[str, list] = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def small(self) -> bool:
@@ -53,16 +59,25 @@ class Measured:
         return self.small and self.bytes is not None and self.bytes <= MAX_BROADCAST_BYTES
 
     def narrow(self, big: DataFrame, big_key: str, key: str | None = None) -> DataFrame:
-        """Rows of ``big`` whose key occurs here, found by a map-side semi-join when this is small.
+        """Rows of ``big`` whose key occurs here, found by a map-side semi-join when this is small, or by the scan
+        when this is stored and has at most ``MAX_LITERAL_KEYS`` rows.
 
         A large relation returns ``big`` as it is: the join that follows does the matching anyway, so
         this is only ever an early reduction.
         """
         if not self.small:
             return big
+        if self.kept and self.rows <= MAX_LITERAL_KEYS:
+            return big.where(F.col(big_key).isin(self._few(key or big_key)))
         keys = self.frame.select(F.col(key or big_key).alias(big_key)).distinct()
         return big.join(F.broadcast(keys), big_key, "left_semi")
 
+    def _few(self, key: str) -> list:
+        """The different values of ``key``, which are at most ``rows``; NULL matches nothing and is left out."""
+        if key not in self._literals:
+            self._literals[key] = sorted({r[0] for r in self.frame.select(key).collect()} - {None})
+        return self._literals[key]
+
     def hinted(self) -> DataFrame:
         """The frame, marked for broadcast only when its rows are few and light."""
         return F.broadcast(self.frame) if self.light else self.frame
@@ -83,11 +98,8 @@ def measure(df: DataFrame, max_rows: int | None = None, keep: bool = False) -> M
         found = seen.get
     else:
         frame, found = df, df.agg(*sizes).first()
-    return _measured(frame, found["rows"], found["bytes"], max_rows)
-
-
-def _measured(frame: DataFrame, rows: int, size: int, max_rows: int | None) -> Measured:
-    return Measured(frame, rows, size) if rows <= _limit(max_rows) else Measured(frame, None)
+    rows = found["rows"]
+    return Measured(frame, rows, found["bytes"], keep) if rows <= _limit(max_rows) else Measured(frame, None)
 
 
 def measure_keys(keys: DataFrame, max_rows: int | None = None) -> Measured:

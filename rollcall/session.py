@@ -7,19 +7,24 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Keys that a lookup writes into a scan as literals at most.
+MAX_LITERAL_KEYS = 50
+
 # Skewed join partitions are split at run time. The "force" flag lets Spark split them also where the
 # join's partitioning is reused further up; it then adds one shuffle, and only when skew was measured.
-ADAPTIVE = {
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A list of looked-up keys is tested one by one against a row group's Bloom filter, not only as a range.
+    "spark.sql.parquet.pushdown.inFilterThreshold": str(MAX_LITERAL_KEYS),
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on adaptive execution with skew splitting for this session."""
-    for key, value in ADAPTIVE.items():
+    """Switch on adaptive execution with skew splitting, and key lookups in scans, for this session."""
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 

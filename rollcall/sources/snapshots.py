@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.params import Month
@@ -33,6 +33,12 @@ CLUSTERED_BY = {
     "VW_PRE_HABILITACAO_PBF": ("CO_FAMILIAR",),
 }
 
+# Keys looked up by which a stored table is not sorted first: a Bloom filter in each row group tells whether one is there.
+BLOOM_KEYS = {
+    "TB_FAMILIA_01": ("CO_FAMILIAR_FAM",),
+    "TB_PESSOA_04": ("CO_CHV_NATURAL_PESSOA",),
+    "TB_DOCUMENTO_05": ("CO_CHV_NATURAL_PESSOA", "NU_CPF_PESSOA"),
+}
 
 # Key whose buckets a catalogue table is stored in: tables that meet by family stay in place when they are joined, and a
 # document joined to its person moves the persons only.
@@ -96,10 +102,18 @@ def _clustered(df: DataFrame, name: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def _with_bloom_filters(writer: DataFrameWriter, name: str) -> DataFrameWriter:
+    """The writer with a filter for each key in ``BLOOM_KEYS``, as large as the row group's keys need."""
+    for key in BLOOM_KEYS.get(name, ()):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    return writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+
+
 def write_snapshot_table(df: DataFrame, root: str, name: str, anomes_ods: int) -> None:
     """Store one month of a registry table, replacing that month only."""
     target = f"{root.rstrip('/')}/{name}/{MONTH_COLUMN}={Month(anomes_ods).yyyymm}"
-    _clustered(conform(df, TABLES[name], name), name).write.mode("overwrite").parquet(target)
+    writer = _clustered(conform(df, TABLES[name], name), name).write.mode("overwrite")
+    _with_bloom_filters(writer, name).parquet(target)
 
 
 def write_monthly_view(df: DataFrame, root: str, name: str) -> None:
@@ -137,5 +151,5 @@ def write_bucketed(
     if spark.catalog.tableExists(table):
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
     else:
-        writer = rows.write.format("parquet").partitionBy(month).bucketBy(buckets, key).sortBy(key)
+        writer = _with_bloom_filters(rows.write.format("parquet"), name).partitionBy(month).bucketBy(buckets, key).sortBy(key)
         (writer.option("path", path) if path else writer).saveAsTable(table)

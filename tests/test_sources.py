@@ -87,6 +87,75 @@ def test_jobs_push_filters_into_stored_tables(spark, stored):
     assert f"GreaterThanOrEqual(DT_NASC_PESSOA,{oldest})" in plan
 
 
+def scanned(spark, df):
+    """Rows that came out of each scan of the executed plan, from its metrics."""
+    df.collect()
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name == "FileSourceScanExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_looked_up_person_is_found_by_the_bloom_filter(spark, frame, tmp_path):
+    """Persons are sorted by family, so each file spans all person keys; only its Bloom filter can exclude it."""
+    n = 20_000
+    person = frame(TABLES["TB_PESSOA_04"], [{"CO_FAMILIAR_FAM": i, "CO_CHV_NATURAL_PESSOA": i * 7919 % n} for i in range(n)])
+    shuffle, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(shuffle)
+    spark.conf.set(shuffle, "8")
+    spark.conf.set(coalesce, "false")
+    try:
+        write_snapshot_table(person, str(tmp_path), "TB_PESSOA_04", 200006)
+    finally:
+        spark.conf.set(shuffle, before)
+        spark.conf.unset(coalesce)
+    # Parquet could also tell by its dictionaries, which it drops for many different values.
+    plain = spark.read.option("parquet.filter.dictionary.enabled", "false").option("parquet.filter.columnindex.enabled", "false")
+    stored = SnapshotStore(lambda name: plain.parquet(f"{tmp_path}/{name}")).at(200006).registry().person
+    assert len(stored.inputFiles()) == 8
+    spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")  # whole row groups are counted either way
+    try:
+        assert sum(scanned(spark, stored.where("CO_CHV_NATURAL_PESSOA = 12345").select("CO_FAMILIAR_FAM"))) <= n / 4
+    finally:
+        spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+
+
+def test_lookup_of_one_tax_id_reaches_every_scan(spark, frame, tmp_path):
+    from rollcall.plans import dossiers
+    from rollcall.session import tune
+
+    root, i = str(tmp_path), range(300)
+    tables = {
+        "TB_DOCUMENTO_05": [{"CO_CHV_NATURAL_PESSOA": k, "NU_CPF_PESSOA": f"{k % 100:011d}"} for k in i],
+        "TB_PESSOA_04": [{"CO_CHV_NATURAL_PESSOA": k, "CO_FAMILIAR_FAM": k // 3} for k in i],
+        "TB_FAMILIA_01": [{"CO_FAMILIAR_FAM": k} for k in range(100)],
+        "TB_PESSOA_EXCLUIDA_19": [{"CO_CHV_NATURAL_PESSOA": 107, "CO_MOTIVO_EXCLUSAO": 4}],
+    }
+    for name, rows in tables.items():
+        write_snapshot_table(frame(TABLES[name], rows), root, name, 200006)
+    reg = SnapshotStore.parquet(spark, root).at(200006).registry()
+    tune(spark)
+    got = dossiers.exclusion_dossier(reg, ["00000000007"])
+    plan = formatted_plan(got)
+    pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
+    assert pushed and all("In(" in line for line in pushed)
+    assert any("In(CO_FAMILIAR_FAM, [2,35,69])" in line for line in pushed)
+    assert any("In(CO_CHV_NATURAL_PESSOA, [107,207,7])" in line for line in pushed)
+    assert sorted((r.PES_CO_CHV_NATURAL_PESSOA, r.FAM_CO_FAMILIAR_FAM, r.EXC_CO_MOTIVO_EXCLUSAO) for r in got.collect()) == [
+        (7, 2, None), (107, 35, 4), (207, 69, None),
+    ]
+    assert dossiers.exclusion_dossier(reg, ["99999999999"]).isEmpty()
+    many = [f"{k:011d}" for k in range(250)]  # more than go into a scan as literals
+    assert dossiers.full_dossier(reg, many).count() == 300
+
+
 def test_catalog_store(spark, frame):
     frame(PAYROLL, [{"CO_FAMILIAR": 1, "RF_FOLHA": 200001}]).createOrReplaceTempView("VW_FOLHA_PAGAMENTO")
     assert SnapshotStore.catalog(spark).at(200001).registry().payroll.count() == 1
