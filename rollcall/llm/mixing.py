@@ -98,12 +98,15 @@ def mix(df: DataFrame, source: str, size: str, id_col: str, weights=WEIGHTS, sha
     times, so pass a stored table. Spark joins the sources' values as a relation, however many there are."""
     df = clear_of(df, "source_size", "target", "copies")
     spark, own = df.sparkSession, spare(df.columns, "_row")
-    rows = numbered(df, own).select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"),
-        F.col(source).cast("string").alias("name"),
-        F.col(size).cast("long").alias("size"),
-        F.col(id_col).cast("long").alias("id"),
-        F.col(own).alias("row"),
+    whole = numbered(df, own)
+    # Sizes are taken in one pass; all that follows reads these few columns, and rows meet their copies by number.
+    rows = settle(
+        whole.select(
+            F.col(source).cast("string").alias("name"),
+            F.col(size).cast("long").alias("size"),
+            F.col(id_col).cast("long").alias("id"),
+            F.col(own).alias("row"),
+        )
     )
     totals = {r[0]: r[1] or 0 for r in rows.groupBy("name").agg(F.sum("size")).collect()}
     if not totals:
@@ -119,7 +122,6 @@ def mix(df: DataFrame, source: str, size: str, id_col: str, weights=WEIGHTS, sha
     sources = spark.createDataFrame(finite, "_name string, _source long, source_size long, target double, dual double, scale double")
     valued = rows.join(sources, F.col("name").eqNullSafe(F.col("_name")))
     keyed = valued.select(
-        "all",
         "source_size",
         "target",
         "_source",
@@ -136,7 +138,8 @@ def mix(df: DataFrame, source: str, size: str, id_col: str, weights=WEIGHTS, sha
     run = prefix.running(keyed, keys, ["rest"], bounds)
     half = PARTS // 2
     extra = F.floor((F.col("rest_before") + F.col("rest") + half) / PARTS) - F.floor((F.col("rest_before") + half) / PARTS)
-    return run.select("all.*", "source_size", "target", (F.floor(F.col("parts") / PARTS) + extra).cast("long").alias("copies"))
+    found = run.select(F.col("row").alias(own), "source_size", "target", (F.floor(F.col("parts") / PARTS) + extra).cast("long").alias("copies"))
+    return whole.join(found, own).select(*[F.col(f"`{c}`") for c in df.columns], "source_size", "target", "copies")
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
